@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import bpe, quality, sharding, simhash, toxicity
+from stratalog.llm import bpe, multiset, quality, sharding, simhash, toxicity
 from stratalog.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprint_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(spark, table(spark, sf_dir, "documents"), shards=8)
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_bpe_encode": op2_bpe_encode,
         "op5_simhash_near_dup": op5_simhash_near_dup,
+        "op7_multiset_fingerprint": op7_multiset_fingerprint,
         "op9_shard_by_bytes": op9_shard_by_bytes,
         "op10_toxicity": op10_toxicity,
     }

@@ -37,6 +37,8 @@ SHORTEST, LONGEST, MOST_TERMS = 4, 16, 500
 LEAST_CONTEXTS, LENGTHEN = 0.5, 0.8
 #: Words on either side of a hit that make its window.
 WINDOW = 8
+#: What an edit takes off a hit.
+MISSPELT = 0.2
 #: Reporting words, fixed values: a hit beside one is likely mentioned, not used.
 REPORTING = frozenset("said says saying wrote writes called calls quoted quote quotes word words term terms phrase meaning means dit mot appelle sagte wort nannte dijo palabra llama".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
@@ -207,7 +209,7 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
 
 
 def features(text: str, automaton: Automaton) -> list[float]:
-    """Exact and misspelled hits weighed by their windows, hits by length, hits in other hits' windows."""
+    """Hits weighed by their windows and edits, the same by length, hits in other hits' windows, misspelt hits."""
     low = text.lower()
     if len(low) != len(text):
         text = low
@@ -217,7 +219,7 @@ def features(text: str, automaton: Automaton) -> list[float]:
     found = [(m.start(), m.group()) for m in WORD.finditer(low)]
     hits = [(i, start, e) for i, (start, w) in enumerate(found) if (e := edits(w)) >= 0]
     spans = quoted_spans(text)
-    exact = near = together = 0.0
+    total = near = together = 0.0
     k, last = 0, -WINDOW * 2
     for i, start, e in hits:
         while k < len(spans) and spans[k][1] <= start:
@@ -227,11 +229,9 @@ def features(text: str, automaton: Automaton) -> list[float]:
         weight = (0.15 if quoted else 1.0) * (0.5 if told else 1.0)
         together += weight * (i - last <= WINDOW)
         last = i
-        if e == 0:
-            exact += weight
-        else:
-            near += weight / e
-    return [math.log1p(exact), math.log1p(near), math.log1p(100 * (exact + near) / (len(found) + 50)), math.log1p(together)]
+        total += weight * (1 - MISSPELT * e)
+        near += weight * (e > 0)
+    return [math.log1p(total), math.log1p(100 * total / (len(found) + 50)), math.log1p(together), math.log1p(near)]
 
 
 @dataclass
