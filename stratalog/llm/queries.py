@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import bpe, multiset, quality, sharding, simhash, toxicity
+from stratalog.llm import bpe, multiset, pii, quality, sharding, simhash, toxicity, warc
 from stratalog.llm.common import table
 
 
@@ -19,10 +19,18 @@ def op2_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_bpe_encode": op2_bpe_encode,
+        "op3_warc_archive": op3_warc_archive,
         "op5_simhash_near_dup": op5_simhash_near_dup,
+        "op6_personal_data": op6_personal_data,
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
         "op9_shard_by_bytes": op9_shard_by_bytes,
         "op10_toxicity": op10_toxicity,
@@ -47,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_archive": warc.ARCHIVE_SQL}
