@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import bpe, multiset, pii, quality, sharding, simhash, toxicity, warc
+from stratalog.llm import bpe, embeddings, multiset, pii, quality, sharding, simhash, toxicity, warc
 from stratalog.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op9_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(spark, table(spark, sf_dir, "documents"), shards=8)
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_near_dup": op5_simhash_near_dup,
         "op6_personal_data": op6_personal_data,
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
+        "op8_embedding_near_dup": op8_embedding_near_dup,
         "op9_shard_by_bytes": op9_shard_by_bytes,
         "op10_toxicity": op10_toxicity,
     }
