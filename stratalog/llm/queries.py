@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import bpe, embeddings, multiset, pii, quality, sharding, simhash, toxicity, warc
+from stratalog.llm import bpe, embeddings, mixing, multiset, pii, quality, sharding, simhash, toxicity, warc
 from stratalog.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_bpe_encode": op2_bpe_encode,
         "op3_warc_archive": op3_warc_archive,
+        "op4_mixing_rates": op4_mixing_rates,
         "op5_simhash_near_dup": op5_simhash_near_dup,
         "op6_personal_data": op6_personal_data,
         "op7_multiset_fingerprint": op7_multiset_fingerprint,
