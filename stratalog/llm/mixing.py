@@ -130,7 +130,7 @@ def flattened_targets(have: list[float], cover: bool) -> list[float]:
 
 
 def fit_rates(posterior: DataFrame, domains: list[str], weights: dict[str, float] | None = None, cover: bool = False, floor: float = 0.0) -> Rates:
-    """Projected gradient until every domain's total is within TOLERANCE of its target."""
+    """Projected gradient until every domain's total is within TOLERANCE of its target, or no longer moves."""
     have = totals(posterior, len(domains), F.lit(1.0))
     if weights:
         whole = sum(weights.get(d, 0.0) for d in domains) or 1.0
@@ -142,7 +142,9 @@ def fit_rates(posterior: DataFrame, domains: list[str], weights: dict[str, float
         if max((abs(a - t) / max(t, 1.0) for a, t in zip(now, target, strict=True)), default=0.0) <= TOLERANCE:
             break
         rates.steps.append([(a - t) / h if h else 0.0 for a, t, h in zip(now, target, have, strict=True)])
-        now = totals(posterior, len(domains), rates.column())
+        last, now = now, totals(posterior, len(domains), rates.column())
+        if max((abs(a - b) / max(t, 1.0) for a, b, t in zip(now, last, target, strict=True)), default=0.0) <= TOLERANCE / 10:
+            break  # the floor keeps the targets out of reach
     return rates
 
 
@@ -167,7 +169,7 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, label_col: str = "lang",
 def mix(spark: SparkSession, docs: DataFrame, label_col: str = "lang", cover: bool = True) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says; with ``cover`` every one at least once."""
     model = fit_classifier(docs, label_col)
-    posterior = Scratch(spark, "mixing").save(with_posterior(docs.select("text"), model).drop("text"), "posterior")
+    posterior = Scratch(spark, "mixing").save(with_posterior(docs, model), "posterior")
     rates = fit_rates(posterior, model.domains, cover=cover, floor=1.0 if cover else 0.0)
-    rated = with_posterior(docs, model).withColumn("_rate", rates.column()).withColumn("_copies", copies(F.col("_rate"), "doc_id", "text"))
-    return rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rated = posterior.withColumn("_copies", copies(rates.column(), "doc_id", "text"))
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
