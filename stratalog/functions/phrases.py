@@ -1,0 +1,97 @@
+"""Display and classification functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def duration_phrase(seconds: Column) -> Column:
+    """Seconds, minutes or hours, whichever is the largest whole unit."""
+    of = lambda n, u: F.concat(F.floor(n).cast("string"), F.lit(u))
+    return F.when(seconds < 60, of(seconds, " s")).when(seconds < 3600, of(seconds / 60, " min")).otherwise(of(seconds / 3600, " h"))
+
+
+def human_bytes(n: Column) -> Column:
+    scaled = lambda by, u: F.concat(F.format_string("%.1f", F.floor(n * 10 / by) / 10), F.lit(u))
+    return (
+        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1024, " KB"))
+        .when(n < 1024**3, scaled(1024**2, " MB")).otherwise(scaled(1024**3, " GB"))
+    )
+
+
+def spend_phrase(tokens: Column, cents: Column) -> Column:
+    """``1,234 tokens · $0.12``; without a price only the tokens."""
+    words = F.concat(F.format_number(tokens, 0), F.when(tokens == 1, " token").otherwise(" tokens"))
+    return F.when(cents.isNull(), words).otherwise(F.concat(words, F.lit(" · $"), F.format_string("%d.%02d", F.floor(cents / 100), F.pmod(cents, F.lit(100)))))
+
+
+def confidence_phrase(score: Column) -> Column:
+    return F.when(score >= 0.85, "certain").when(score >= 0.6, "likely").when(score >= 0.35, "uncertain").otherwise("doubtful")
+
+
+def confidence(agreeing: Column, quotes: Column, conflict: Column) -> Column:
+    """0.68, more for agreeing documents and further quotes, less for a conflict; from 0.05 to 0.98."""
+    raw = F.lit(0.68) + 0.12 * F.least(F.greatest(agreeing - 1, F.lit(0)), F.lit(2)) + F.when(quotes > 1, 0.04).otherwise(0.0) - F.when(conflict, 0.35).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), raw)), 6)
+
+
+def wire_status(status: Column) -> Column:
+    return F.when(status == "proposed", "draft").when(status == "conflicted", "conflict").otherwise(status)
+
+
+def gate(status: Column, n_evidence: Column) -> Column:
+    """What may be served: approved with evidence in full, open ones by name only, the rest withheld."""
+    return F.when((status == "approved") & (n_evidence > 0), "full").when(status.isin("proposed", "conflicted"), "name_only").otherwise("withheld")
+
+
+def attribute_app(client: Column) -> Column:
+    """The application that a client's name speaks of, by the first match; null if none."""
+    low = F.lower(client)
+    return F.when(low.contains("desktop"), "desktop").when(low.contains("code"), "editor").when(low.contains("web"), "web").when(low.contains("mobile"), "mobile")
+
+
+def classify_error(message: Column) -> Column:
+    low = F.lower(message)
+    return (
+        F.when(low.rlike("quota|rate limit|usage limit"), "unavailable_quota").when(low.rlike("log ?in|unauthorized|api key"), "unavailable_login")
+        .when(low.rlike("timed? ?out|connection|network|reset"), "transport").otherwise("refused")
+    )
+
+
+def backoff_seconds(attempts: Column, job_id: Column, base: int = 5) -> Column:
+    """Seconds to the next try, doubling, with a spread by the job's id; dead (-1) from the sixth attempt."""
+    return F.when(attempts >= 6, -1).otherwise(F.lit(base) * F.pow(F.lit(2), attempts).cast("long") + F.pmod(job_id, F.lit(base))).cast("long")
+
+
+def skip_reason(name: Column, text: Column, table: Column) -> Column:
+    """Why a document isn't read for claims: personal, a template, or too short; null if it is read."""
+    low = F.lower(name)
+    return (
+        F.when(low.rlike("payroll|salary|placa|osobno|private"), "personal").when(low.rlike("template|predlozak|obrazac"), "template")
+        .when(F.octet_length(F.trim(text)) < F.when(table, 1).otherwise(30), "too_short")
+    )
+
+
+def wants_rows(body: Column) -> Column:
+    low = F.lower(body)
+    return low.rlike("€|eur|price|cijena|cjenik|costs") | (low.contains("term") & low.contains("iznos"))
+
+
+#: Fixed patterns for names of files that are never read, and of old versions.
+NOISE = r"^(~\$|\._)|^(thumbs\.db|desktop\.ini|\.ds_store)$|\.(tmp|bak|swp|part|crdownload)$"
+SECRET = r"^\.env|^id_(rsa|ed25519)|\.(pem|key|p12|pfx|kdbx)$|(^|[^a-z])(password|passwords|credentials|secret|secrets)([^a-z]|$)"
+OLD = r"\([0-9]+\)$|(^|[ _-])(old|backup|copy|kopija|stari|stara|staro|archive)([ _-]|$)|(^|[ _-])(v|ver|rev)[ ._-]?[0-9]+$"
+
+
+def is_noise(name: Column) -> Column:
+    return F.lower(name).rlike(NOISE)
+
+
+def is_secret(name: Column) -> Column:
+    return F.lower(name).rlike(SECRET)
+
+
+def is_old_version(name: Column) -> Column:
+    """By the name without its extension."""
+    return F.regexp_replace(F.lower(name), r"\.[a-z0-9]+$", "").rlike(OLD)
