@@ -76,8 +76,8 @@ def passage(text: Column, start: Column, end: Column, margin: int) -> Column:
     """The bytes around a span, ``margin`` on either side; cut characters at the ends are dropped."""
     raw = F.encode(text, "utf-8")
     low = F.greatest(F.lit(0), start - margin)
-    piece = F.expr("substring(raw, low, n)") if False else F.substring(raw, low + 1, end + margin - low)
-    return F.replace(F.decode(piece, "utf-8"), F.lit("�"), F.lit(""))
+    piece = F.substring(raw, low + 1, end + margin - low)
+    return F.replace(F.make_valid_utf8(piece.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def hits(flat: Column, quote: Column) -> Column:
