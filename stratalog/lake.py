@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,11 @@ from stratalog.functions import phrases, text
 READ_NUMBERS = 100
 
 
+def epoch(c: Column) -> Column:
+    """Whole seconds since 1970 of a wall-clock time, in any session time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """Adds num, the position from 0 in the order of ``key``: inside each of the few leading letters, plus an offset."""
     head = F.left(F.col(key), F.lit(7))
@@ -111,7 +116,7 @@ class Lake:
         e = self.raw("events")
         k = F.get_json_object("props", "$.k").cast("long")
         return e.select(
-            F.col("event_id").alias("id"), (k % READ_NUMBERS).alias("num"), F.col("event_type").alias("tool"), F.unix_timestamp("ts").alias("moment"),
+            F.col("event_id").alias("id"), (k % READ_NUMBERS).alias("num"), F.col("event_type").alias("tool"), epoch(F.col("ts")).alias("moment"),
             F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("app-"), (F.col("user_id") % 7).cast("string"))).alias("app"),
             F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("case-"), (F.col("user_id") % 53).cast("string"))).alias("case_id"),
         )
@@ -127,7 +132,7 @@ class Lake:
     @cached_property
     def jobs(self) -> DataFrame:
         o = self.raw("orders")
-        created = F.unix_timestamp("o_orderdate")
+        created = epoch(F.col("o_orderdate"))
         state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("held")
         kind = F.element_at(F.array(*map(F.lit, ("compile", "relate", "rescan", "skills"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
         error = F.element_at(F.array(*map(F.lit, ("Usage limit reached", "Please log in again", "Connection reset", "I cannot help"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
@@ -143,7 +148,7 @@ class Lake:
         x = self.raw("lineitem")
         stage = F.element_at(F.array(*map(F.lit, ("candidates", "relations", "skill", "supervise"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
         return x.select(
-            F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("part"), F.col("l_returnflag").alias("engine"), stage.alias("stage"), F.unix_timestamp("l_shipdate").alias("moment"),
+            F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("part"), F.col("l_returnflag").alias("engine"), stage.alias("stage"), epoch(F.col("l_shipdate")).alias("moment"),
             F.when(F.col("l_linenumber") != 7, F.col("l_quantity").cast("long")).alias("input_tokens"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("output_tokens"),
             F.when(F.col("l_linenumber") < 5, F.floor(F.col("l_quantity") * 3)).cast("long").alias("cost_cents"), F.col("l_linestatus").alias("model"),
         )

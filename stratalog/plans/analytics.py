@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalog.lake import epoch
 from stratalog.plans.registry import query
 
 
@@ -166,7 +167,7 @@ def consolidate_groups(lake):
 def as_of_version(lake):
     """The version of each customer's record that applied at one moment."""
     moment = 883612800
-    o = lake.raw("orders").select("o_custkey", F.col("o_orderkey").alias("version"), F.unix_timestamp("o_orderdate").alias("created"), "o_orderdate")
+    o = lake.raw("orders").select("o_custkey", F.col("o_orderkey").alias("version"), epoch(F.col("o_orderdate")).alias("created"), "o_orderdate")
     o = o.withColumn("until", F.lead("created").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "version")))
     held = (F.col("created") <= moment) & (F.col("until").isNull() | (F.col("until") > moment))
     return o.where(held).select("o_custkey", "version", "created", "until", F.lit(True).alias("applied"))
