@@ -26,7 +26,7 @@ BLOCKS = "path string, id string, error string, ordinal long, locator string, ki
 def walk(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """path, name, extension, bytes, modified, reason (why a file is not read, else null) and content.
 
-    Without ``with_content`` the files themselves are not opened.
+    Without ``with_content`` the files themselves are not opened.  Spark's readers leave out files of no bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.element_at(F.split("path", "/"), -1)
