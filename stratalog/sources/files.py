@@ -1,7 +1,6 @@
 """Reading a folder of documents: walk, identity, parsing to addressable blocks.
 
-The walk is Spark's ``binaryFile`` source; parsing runs in ``mapInPandas``, one file at a time, so a task holds no
-more than a file.  Formats: Markdown and plain text, delimited tables, DOCX and XLSX (both are zipped XML).
+The walk is Spark's ``binaryFile`` source; parsing runs in ``mapInArrow``, one file at a time.  Formats: Markdown and plain text, delimited tables, DOCX and XLSX (both are zipped XML).
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,8 @@ BLOCKS = "path string, id string, error string, ordinal long, locator string, ki
 def walk(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """path, name, extension, bytes, modified, reason (why a file is not read, else null) and content.
 
-    Without ``with_content`` the files themselves are not opened.  Spark's readers leave out files of no bytes.
+    Without ``with_content`` the files themselves are not opened.  Spark's readers leave out files of no bytes
+    and those whose names begin with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.element_at(F.split("path", "/"), -1)
@@ -243,18 +243,16 @@ def parse(name: str, raw: bytes) -> Rendition:
 def extract(files: DataFrame) -> DataFrame:
     """Blocks of every readable file (path, name, content); a file that can't be read gives one row with its error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [c.split()[0] for c in BLOCKS.split(", ")]
-        for pdf in batches:
-            for path, name, raw in zip(pdf["path"], pdf["name"], pdf["content"], strict=True):
-                one = {"path": path, "id": "doc:" + hashlib.sha256(bytes(raw)).hexdigest()[:16]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+        schema = pa.schema([(c, kinds[t]) for c, t in (x.split() for x in BLOCKS.split(", "))])
+        for batch in batches:
+            for path, name, raw in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "content")), strict=True):
+                one = {"path": path, "id": "doc:" + hashlib.sha256(raw).hexdigest()[:16]}
                 try:
-                    rows = [one | {"error": None, "sheet": None, "row": None, "cells": None} | b for b in parse(name, bytes(raw)).blocks]
+                    rows = [one | b for b in parse(name, raw).blocks]
                 except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
                     rows = [one | {"error": str(e)}]
-                out = pd.DataFrame(rows, columns=cols)
-                for c in ("ordinal", "start_byte", "end_byte", "row"):
-                    out[c] = out[c].astype("Int64")
-                yield out
+                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    return files.where("reason is null").select("path", "name", "content").mapInPandas(run, BLOCKS)
+    return files.where("reason is null").select("path", "name", "content").mapInArrow(run, BLOCKS)
