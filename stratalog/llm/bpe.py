@@ -23,7 +23,7 @@ from stratalog.llm.common import map_texts
 
 #: A worker remembers the ids of this many pre-tokens, twice over (recent ones and those before them), if they
 #: have no more characters than this.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 32
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +47,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, splitter(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
         self.low = [0] * ((max(ranks.values(), default=0) >> 6) + 1)
         self.mid = [0] * ((len(self.low) >> 6) + 1)
         self.young: dict[str, tuple[int, ...]] = {}
@@ -127,6 +128,10 @@ class Encoder:
             put(ids)
         return out
 
+    def spell(self, ids: list[int]) -> str:
+        """The decimal ids joined by single spaces."""
+        return " ".join(map(self.names.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -161,7 +166,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, patt
             for text in part["text"]:
                 ids = coder.encode(text or "")
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(coder.spell(ids).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(coder.decode(ids)).hexdigest())
                 out["ids"].append(ids if with_ids else None)
             return out
