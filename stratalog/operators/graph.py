@@ -62,22 +62,45 @@ def levels(edges: DataFrame) -> DataFrame:
     return out if out is not None else nodes.withColumn("level", F.lit(0).cast("long")).limit(0)
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without a way in or without a way out are taken away again and again."""
+    core, n = keep(edges), -1
+    while (now := core.count()) != n:
+        n = now
+        ins, outs = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
+        core = keep(core.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
+    return core
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches it, itself included, spread along edges until nothing changes."""
+    colour = keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
+    fresh = colour
+    while not fresh.isEmpty():
+        sent = fresh.join(edges, fresh["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("better"))
+        after = keep(colour.join(sent, "node", "left").select("node", F.least("colour", "better").alias("colour"), (F.col("better") < F.col("colour")).alias("moved")))
+        colour, fresh = after.select("node", "colour"), after.where("moved").select("node", "colour")
+    return colour
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more, named by their smallest node.
 
-    Nodes that no cycle can hold are peeled off from both ends first, so mutual reach is only computed for what
-    is left.
+    What no cycle can hold is trimmed.  Every node then takes the colour of the smallest node that reaches it; the
+    nodes of a colour that reach back to it within the colour are its component, and the rest goes round again.
     """
-    core = keep(edges.where("src <> dst").distinct())
-    while True:
-        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = keep(kept.select("src", "dst"))
-        if kept.count() == core.count():
-            break
-        core = kept
-    forward = reach(core, core.select(F.col("src").alias("start")).distinct()).select(F.col("start").alias("a"), F.col("node").alias("b"))
-    mutual = forward.join(forward.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
-    return mutual.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component"))
+    rest, found = _trimmed(edges.where("src <> dst").distinct()), []
+    while not rest.isEmpty():
+        colour = _colours(rest)
+        at_src, at_dst = colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("d"))
+        inside = keep(rest.join(at_src, "src").join(at_dst, "dst").where("c = d").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = colour.where("node = colour").select(F.col("node").alias("start"))
+        back = reach(inside, roots).select("node", F.col("start").alias("component"))
+        part = keep(back.unionByName(back.select(F.col("component").alias("node"), "component")).distinct())
+        found.append(part)
+        done = part.select("node").union(roots.select("start")).distinct()
+        rest = _trimmed(rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return union_all(found) if found else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
 
 
 def edge_pairs(foundations: DataFrame) -> DataFrame:
