@@ -81,8 +81,12 @@ class Lake:
 
     @cached_property
     def objects(self) -> DataFrame:
-        """Claims consolidated by kind and title: the newest is current, others agree or conflict."""
+        """Claims consolidated by kind and title: the newest is current, others agree or conflict.
+
+        This is a table that the engine stores, so it is written once and read by all that a query does with it.
+        """
         from stratalog.operators.consolidate import consolidate
+        from stratalog.operators.graph import keep
 
         g = consolidate(self.claims)
         status = (
@@ -91,7 +95,7 @@ class Lake:
         return g.select(
             "id", "kind", "title", "body", status.alias("status"), F.col("n_evidence"), "n_disagree", (F.col("n_claims") % 3 + 1).alias("version"), F.col("modified").alias("updated"),
             phrases.confidence(F.col("n_agree"), F.col("n_quotes"), F.col("n_disagree") > 0).alias("confidence"), (F.col("n_claims") % 5 == 0).alias("stale"),
-        ).transform(lambda o: numbered(o, "id"))
+        ).transform(lambda o: keep(numbered(o, "id")))
 
     @cached_property
     def evidence(self) -> DataFrame:

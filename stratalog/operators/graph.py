@@ -32,8 +32,10 @@ def impact_edges(relations: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node, distance) for all nodes that ``starts`` (start) reach, themselves excluded.
 
-    Breadth first: a round joins the last frontier to the edges and drops what has been seen.
+    Breadth first: a round joins the last frontier to the edges, which are settled once for all rounds, and drops
+    what has been seen.
     """
+    edges = keep(edges)
     seen = keep(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("distance")).distinct())
     frontier, hop = seen, 0
     while most is None or hop < most:
