@@ -27,7 +27,7 @@ from stratalog.llm.labelled import labelled_texts
 
 WORD = re.compile(r"\w+")
 #: Labelled documents to learn from at most, half from each class.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 #: A term is in this many toxic documents of the sample at least, in this part of them, and this many times as
 #: common in them as in the others.
 LEAST_DOCS, LEAST_PART, LEAST_RATIO = 6, 0.01, 40.0
@@ -43,7 +43,7 @@ MISSPELT = 0.2
 REPORTING = frozenset("said says saying wrote writes called calls quoted quote quotes word words term terms phrase meaning means dit mot appelle sagte wort nannte dijo palabra llama".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 #: Words whose result a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 @dataclass
