@@ -39,16 +39,19 @@ def base32(digest_hex: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def record_headers(pages: DataFrame, date: str) -> DataFrame:
-    """page_id, the payload's digest and the exact header block of each record."""
+def record_headers(pages: DataFrame, date: str, scratch: Scratch) -> DataFrame:
+    """page_id, the payload's digest and the exact header block of each record.
+
+    Pages are read once; what follows works on a table of their digests.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.sha2(payload, 256).alias("sha256"),
         base32(F.sha1(payload)).alias("sha1"), F.octet_length(payload).cast("long").alias("length"),
     )
+    rows = scratch.save(rows, "digests")
     groups = rows.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    total = rows.count()
-    named = join_hot(rows, groups, "sha256", "n", total)
+    named = join_hot(rows, groups, "sha256", "n", rows.count())
     response = F.coalesce(F.col("page_id") == F.col("first_id"), F.col("first_id").isNull())
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     lines = [
@@ -100,7 +103,8 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archive(spark: SparkSession, pages: DataFrame, scratch: Scratch, date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
     """Writes both tables and returns (headers, payloads): page_id, sha256, stored, headers; sha256, body."""
-    headers = scratch.save(record_headers(pages, date), "headers")
+    headers = scratch.save(record_headers(pages, date, scratch), "headers")
+    scratch.drop("digests")
     wanted = headers.where("stored").select("page_id", "sha256").distinct()
     wanted = wanted.groupBy("sha256").agg(F.min("page_id").alias("page_id"))
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
