@@ -52,11 +52,11 @@ def n_words(text: Column) -> Column:
 
 def fit_classifier(docs: DataFrame, label_col: str, rows: int = SAMPLE_ROWS) -> Classifier:
     sample = (
-        docs.where(F.col(label_col).isNotNull() & F.col("text").isNotNull())
-        .select(F.col("doc_id").alias("id"), F.col(label_col).cast("string").alias("domain"), F.xxhash64("doc_id", "text").alias("key"))
-        .orderBy("key", "id").limit(rows)
+        docs.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+        .select(F.col("doc_id").alias("key"), F.col(label_col).cast("string").alias("domain"))
+        .orderBy(F.xxhash64("key"), "key", "domain").limit(rows)
     )
-    texts = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("doc_id", "text").alias("key")).join(F.broadcast(sample), "key", "inner").dropDuplicates(["key"])
+    texts = docs.where(F.col("text").isNotNull()).select("text", F.col("doc_id").alias("key")).join(F.broadcast(sample), "key", "inner").dropDuplicates(["key"])
     words = texts.select("key", "domain", F.explode(F.split(F.trim("text"), r"\s+")).alias("word")).where("word <> ''")
     counts = words.groupBy("domain", "word").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
     counts = counts.withColumn("in_domain", F.sum("n").over(W.partitionBy("domain"))).withColumn("everywhere", F.sum("docs").over(W.partitionBy("word")))
