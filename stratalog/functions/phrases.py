@@ -95,3 +95,13 @@ def is_secret(name: Column) -> Column:
 def is_old_version(name: Column) -> Column:
     """By the name without its extension."""
     return F.regexp_replace(F.lower(name), r"\.[a-z0-9]+$", "").rlike(OLD)
+
+
+def stale_warning(stale_since: Column) -> Column:
+    """A sentence with the date part of when something below changed; null if nothing did."""
+    return F.when(stale_since.isNotNull(), F.concat(F.lit("Something this rests on changed on "), F.split_part(stale_since, F.lit("T"), F.lit(1)), F.lit(".")))
+
+
+def may_run(policy: Column, on_battery: Column) -> Column:
+    """Whether model calls may run now: always, never, or only on mains power."""
+    return F.when(policy == "always", True).when(policy == "never", False).otherwise(~on_battery)

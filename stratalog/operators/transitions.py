@@ -46,3 +46,25 @@ def upsert_relations(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = ["from_id", "to_id", "type"]
     joined = old.withColumnRenamed("confidence", "c_old").join(new.withColumnRenamed("confidence", "c_new"), keys, "full")
     return joined.select(*keys, F.coalesce("c_new", "c_old").alias("confidence"))
+
+
+def missing_files(documents: DataFrame, listing: DataFrame) -> DataFrame:
+    """Documents (id, name, gone) after a listing (name): what it lacks is gone, what it has again is back."""
+    seen = listing.select("name").distinct().withColumn("seen", F.lit(True))
+    return documents.join(seen, "name", "left").withColumn("gone", F.col("seen").isNull()).drop("seen")
+
+
+def gone_reviews(documents: DataFrame, evidence: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(object_id, document_id) that rest on a gone document and that nobody has resolved."""
+    gone = documents.where("gone").select(F.col("id").alias("document_id"))
+    return evidence.join(gone, "document_id", "left_semi").select("object_id", "document_id").distinct().join(resolved, ["object_id", "document_id"], "left_anti")
+
+
+def replace_for(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new``, and of ``old`` under keys that ``new`` doesn't have."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Both, of equal keys the old row only."""
+    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))

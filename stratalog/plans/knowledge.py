@@ -680,3 +680,48 @@ def supervisor_objects(lake):
 def merge_objects(lake):
     a = lake.objects.where("num % 10 = 0").select(F.col("id").alias("keep"), (F.col("num") + 1).alias("num"))
     return transitions.merge_pairs(lake.relations, a.join(lake.objects.select(F.col("id").alias("drop"), "num"), "num").select("keep", "drop"))
+
+
+@query("stale_warning", "SELECT id, CASE WHEN stale THEN 'Something this rests on changed on ' || split_part('2026-01-' || lpad((updated % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:00Z', 'T', 1) || '.' ELSE '' END AS warning FROM lake_objects")
+def stale_warning(lake):
+    since = F.when(F.col("stale"), F.concat(F.lit("2026-01-"), F.lpad((F.col("updated") % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00Z")))
+    return lake.objects.select("id", F.coalesce(phrases.stale_warning(since), F.lit("")).alias("warning"))
+
+
+@query("may_run_ai", "SELECT id, CASE ['always','never','mains'][(id % 3 + 1)::INT] WHEN 'always' THEN true WHEN 'never' THEN false ELSE attempts <= 3 END AS run FROM lake_jobs")
+def may_run_ai(lake):
+    policy = F.element_at(F.array(*map(F.lit, ("always", "never", "mains"))), (F.col("id") % 3 + 1).cast("int"))
+    return lake.jobs.select("id", phrases.may_run(policy, F.col("attempts") > 3).alias("run"))
+
+
+@query("missing_files", "SELECT id, name, num % 4 = 1 AS gone FROM lake_documents")
+def missing_files(lake):
+    listing = lake.documents.where("num % 4 <> 1").select("name")
+    return transitions.missing_files(lake.documents.select("id", "name", "gone"), listing).select("id", "name", "gone")
+
+
+@query("open_gone_reviews", "SELECT object_id, document_id FROM lake_evidence WHERE length(object_id) % 3 = 0 AND first_seen % 2 = 1")
+def open_gone_reviews(lake):
+    """Objects that rest on a gone document, without those already resolved."""
+    documents = lake.evidence.select(F.col("document_id").alias("id")).distinct().withColumn("gone", F.lit(True))
+    resolved = lake.evidence.where("length(object_id) % 3 <> 0 or first_seen % 2 <> 1").select("object_id", "document_id")
+    return transitions.gone_reviews(documents, lake.evidence, resolved)
+
+
+@query("replace_candidates", "SELECT ordinal, document, statement FROM lake_claims WHERE document NOT IN (SELECT document FROM lake_claims WHERE ordinal % 97 = 0) UNION ALL SELECT ordinal, document, upper(statement) FROM lake_claims WHERE ordinal % 97 = 0")
+def replace_candidates(lake):
+    claims = lake.claims.select("ordinal", "document", "statement")
+    return transitions.replace_for(claims, claims.where("ordinal % 97 = 0").withColumn("statement", F.upper("statement")), "document")
+
+
+@query("put_merge_hints", "SELECT DISTINCT least(a, b) AS left_id, greatest(a, b) AS right_id FROM (SELECT o.id AS a, p.id AS b FROM lake_objects o JOIN lake_objects p ON p.num = o.num + 1 UNION ALL SELECT p.id, o.id FROM lake_objects o JOIN lake_objects p ON p.num = o.num + 2)")
+def put_merge_hints(lake):
+    """Pairs in canonical order; those already there stay as they are."""
+    o = lake.objects.select("id", "num")
+
+    def apart(k, a, b):
+        return o.select(F.col("id").alias(a), (F.col("num") + k).alias("num")).join(o.select(F.col("id").alias(b), "num"), "num").select("left_id", "right_id")
+
+    old = transitions.canonical_pairs(apart(1, "left_id", "right_id"))
+    new = transitions.canonical_pairs(apart(2, "right_id", "left_id").unionByName(apart(1, "right_id", "left_id")))
+    return transitions.insert_new(old, new, ["left_id", "right_id"])
