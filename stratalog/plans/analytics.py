@@ -74,7 +74,7 @@ def lake_counts(lake):
 @query("burst_progress", "SELECT kind, coalesce(count(*) FILTER (state = 'done' AND finished >= since), 0) AS done, count(*) FILTER (state <> 'done') AS open FROM (SELECT *, min(created) FILTER (state <> 'done') OVER (PARTITION BY kind) AS since FROM lake_jobs) GROUP BY kind")
 def burst_progress(lake):
     since = lake.jobs.where("state <> 'done'").groupBy("kind").agg(F.min("created").alias("since"))
-    both = lake.jobs.join(F.broadcast(since), "kind", "left")
+    both = lake.jobs.join(since, "kind", "left")
     return both.groupBy("kind").agg(F.count_if((F.col("state") == "done") & (F.col("finished") >= F.col("since"))).alias("done"), F.count_if(F.col("state") != "done").alias("open"))
 
 

@@ -539,7 +539,7 @@ def propose_change(lake):
     asked = lake.raw("benchmark").select("item_id", F.col("text").alias("quote"), F.explode(words(F.col("text"))).alias("word"))
     docs = lake.documents.select(F.col("id").alias("document_id"), F.explode(words(F.col("text"))).alias("word"))
     wanted = asked.select("word").distinct()
-    often = docs.join(F.broadcast(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    often = docs.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     # the first and last words of a quote may be parts of longer ones in a document
     inner = F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
     probe = lake.raw("benchmark").select("item_id", F.explode(inner).alias("word")).join(often, "word").groupBy("item_id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
