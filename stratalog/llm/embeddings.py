@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from stratalog.llm.common import Scratch, components, grouped, join_hot, partitions
 
 LINES, WINDOW_DEVIATIONS, MISS = 24, 2.0, 1e-6
-#: Distinct vectors of a label that one block holds.
-BLOCK_ROWS = 1024
+#: Distinct vectors of a label that one block holds: a sixteenth of them, within these bounds.  Every vector is sent
+#: once for each block of its label, so large labels have large blocks.
+LEAST_BLOCK, MOST_BLOCK = 1024, 8192
 
 
 def calibrated_count(lines: int = LINES, deviations: float = WINDOW_DEVIATIONS, miss: float = MISS) -> int:
@@ -127,7 +128,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     classes = scratch.save(classes, "classes")
     sizes = classes.groupBy("label").agg(F.count("*").alias("rows"))
     distinct = classes.count()
-    dealt = join_hot(classes, sizes.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")), "label", "rows", distinct).select(
+    dealt = join_hot(classes, sizes.withColumn("blocks", F.ceil(F.col("rows") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("rows") / 16))).cast("int")), "label", "rows", distinct).select(
         "label", F.size("vector").alias("dim"), "node", F.col("n").alias("times"), "vector", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
     )
     # every block meets itself and each later one
