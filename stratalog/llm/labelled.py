@@ -15,7 +15,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int, s
     the id, so it is the same in every run; ``stratified`` takes half of it from each class.  A document with
     several labels has the largest; null ids, labels and texts are left out.
     """
-    ids = docs.where("doc_id is not null and text is not null").select("doc_id")
+    ids = docs.where("doc_id is not null").select("doc_id")
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
