@@ -65,37 +65,24 @@ def join_hot(left: DataFrame, groups: DataFrame, key: str, size: str, total: int
 
 
 def map_texts(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], dict]], rows: int = SLICE_ROWS) -> DataFrame:
-    """``start()`` runs once per task and gives a function from columns (lists) to columns (lists)."""
-    from pyspark.sql.types import _parse_datatype_string
-
-    names = [f.name for f in _parse_datatype_string(schema).fields]
+    """``start()`` runs once per task and gives a function from columns (lists) to columns (lists) of ``schema``,
+    a DDL list of plain names and types."""
+    kinds = {
+        "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
+    }
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(","))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(_parse_schema(schema))
         work = start()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def _parse_schema(ddl: str):
-    """A DDL string of plain ``name type`` pairs as a StructType, without a JVM (this runs in tasks)."""
-    from pyspark.sql import types as T
-
-    kinds = {
-        "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
-        "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<int>": T.ArrayType(T.IntegerType()),
-        "array<double>": T.ArrayType(T.DoubleType()), "array<long>": T.ArrayType(T.LongType()),
-    }
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in ddl.split(","))])
-
-
 def grouped(batches: Iterator, keys: list[str]) -> Iterator:
     """The pandas frame of each run of equal ``keys`` in batches sorted by them."""
     import pandas as pd
