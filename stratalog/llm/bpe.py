@@ -23,7 +23,7 @@ from stratalog.llm.common import map_texts
 
 #: A worker remembers the ids of this many pre-tokens, twice over (recent ones and those before them), if they
 #: have no more characters than this.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 32
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
