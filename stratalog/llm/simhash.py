@@ -36,7 +36,7 @@ RADIUS = 3
 #: Pairs that one comparison holds in memory, and fingerprints to aim for in a leaf.
 BLOCK_PAIRS, LEAF_ROWS = 1 << 21, 48
 #: A step takes so many shingles at once, so that a very long text stays small.
-STEP = 1 << 16
+STEP = 1 << 14
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
