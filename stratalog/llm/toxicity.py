@@ -2,8 +2,9 @@
 
 A lexicon of whole words and word stems is learned from a bounded sample of labelled documents: terms that
 toxic documents use and others do not.  The terms form a trie; a Levenshtein automaton of one or two edits
-(none for short terms) is intersected with it and made deterministic as words arrive, so a word is read once
-and most are rejected after two or three letters.  Each hit is scored by the window around it: a hit inside
+(none for short terms), the first letter included, is intersected with it and made deterministic as words arrive, so a word is read once
+and most are rejected after a few letters.  A word near a term that clean documents of the sample use
+nearly as often is ordinary and no hit.  Each hit is scored by the window around it: a hit inside
 quotation marks or beside a reporting word counts less than one among other hits.  A logistic model over a
 document's hits gives the probability.
 
@@ -35,6 +36,9 @@ SHORTEST, LONGEST, MOST_TERMS = 4, 16, 500
 #: A term stands between this many different pairs of neighbours for each document (copies of one text share
 #: theirs), and a prefix is lengthened while a continuation keeps this share of its documents.
 LEAST_CONTEXTS, LENGTHEN = 0.5, 0.8
+#: A word near a term is ordinary if this many clean documents of the sample use it at least, and toxic ones less
+#: than this many times as often.
+LEAST_CLEAN, LEAST_MISSPELT = 2, 4.0
 #: Words on either side of a hit that make its window.
 WINDOW = 8
 #: What an edit takes off a hit.
@@ -113,11 +117,13 @@ class _State:
 class Automaton:
     """The Levenshtein automaton of every term at once, over their trie, made deterministic as it is used.
 
-    A place is (trie node, edits so far).  The first letter must agree.  ``match`` gives the edits of the best
-    hit, or -1.
+    A place is (trie node, edits so far).  With ``whole`` the first letter may be edited like any other; without
+    it the first letter must agree.  ``match`` gives the edits of the best hit, or -1; ``edits`` does too, but
+    takes no ``ordinary`` word for a misspelling.
     """
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: list[Term], whole: bool = False, ordinary: frozenset[str] = frozenset()):
+        self.whole, self.ordinary = whole, ordinary
         self.children: list[dict[str, int]] = [{}]
         self.words: list[int] = [-1]  # the edits allowed to a word, or a stem, that ends at a node
         self.stems: list[int] = [-1]
@@ -141,7 +147,7 @@ class Automaton:
         self.start = self._state({(0, 0)}, None)
 
     def _state(self, places: set, stem_hit: int | None) -> _State:
-        todo = [p for p in places if p[0]]
+        todo = [p for p in places if p[0] or self.whole]
         while todo:  # letters that the word lacks
             node, e = todo.pop()
             for child in self.children[node].values():
@@ -162,7 +168,7 @@ class Automaton:
         for node, e in state.places:
             if (child := self.children[node].get(ch)) is not None:
                 new.add((child, e))
-            if node:
+            if node or self.whole:
                 if e + 1 <= self.room[node]:
                     new.add((node, e + 1))
                 for other in self.children[node].values():
@@ -191,7 +197,8 @@ class Automaton:
         if got is None:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
-            got = self.cache[word] = self.match(word)
+            got = self.match(word)
+            got = self.cache[word] = -1 if got > 0 and word in self.ordinary else got
         return got
 
 
@@ -208,6 +215,27 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ordinary_words(texts: list[str], toxic: list[int], automaton: Automaton) -> frozenset[str]:
+    """Words near a term that are words of their own: toxic documents hardly use them more often than clean ones.
+
+    A use counts by document, outside quotation marks and away from reporting words; one stray document is not enough.
+    """
+    uses: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, y in zip(texts, toxic, strict=True):
+        low = text.lower()
+        if not any(automaton.match(w) > 0 for w in set(WORD.findall(low))):
+            continue
+        found = [(m.start(), m.group()) for m in WORD.finditer(low)]
+        spans = quoted_spans(low if len(low) != len(text) else text)
+        plain = set()
+        for i, (start, w) in enumerate(found):
+            if automaton.match(w) > 0 and not any(s <= start < e for s, e in spans) and not any(v in REPORTING for _, v in found[max(0, i - WINDOW) : i]):
+                plain.add(w)
+        uses[y].update(plain)
+    n0, n1 = max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))
+    return frozenset(w for w, n in uses[0].items() if n >= LEAST_CLEAN and uses[1][w] / n1 < LEAST_MISSPELT * n / n0)
+
+
 def features(text: str, automaton: Automaton) -> list[float]:
     """Hits weighed by their windows and edits, the same by length, hits in other hits' windows, misspelt hits."""
     low = text.lower()
@@ -238,6 +266,7 @@ def features(text: str, automaton: Automaton) -> list[float]:
 class ToxicityModel:
     terms: list[Term] = field(default_factory=list)
     weights: list[float] | None = None  # the last is the constant
+    ordinary: frozenset[str] = frozenset()  # words near a term that are no misspellings
 
     def score(self, text: str, automaton: Automaton) -> float:
         if self.weights is None:
@@ -267,11 +296,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
         return ToxicityModel()
     texts = [t for t, _ in sample]
     terms = learn_terms(texts, y)
-    automaton = Automaton(terms)
+    ordinary = ordinary_words(texts, y, Automaton(terms, whole=True))
+    automaton = Automaton(terms, whole=True, ordinary=ordinary)
     x = np.array([features(t, automaton) for t in texts])
     n = Counter(y)
     weight = np.array([of[t] / n[t] for t in y])  # as in the labelled table
-    return ToxicityModel(terms, fit_logistic(x, np.array(y, float), weight / weight.mean()))
+    return ToxicityModel(terms, fit_logistic(x, np.array(y, float), weight / weight.mean()), ordinary)
 
 
 _AUTOMATA: dict[str, Automaton] = {}
@@ -279,10 +309,10 @@ _AUTOMATA: dict[str, Automaton] = {}
 
 def automaton_of(model: ToxicityModel) -> Automaton:
     """One automaton for each lexicon in a worker process."""
-    key = repr(model.terms)
+    key = repr((model.terms, sorted(model.ordinary)))
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[key] = Automaton(model.terms)
+        _AUTOMATA[key] = Automaton(model.terms, whole=True, ordinary=model.ordinary)
     return _AUTOMATA[key]
 
 

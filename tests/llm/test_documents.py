@@ -289,3 +289,33 @@ def test_mixing_steps_match_numpy(spark):
     for _ in rates.steps:
         r = np.maximum(0, r - p @ (((r * n) @ p - target) / have))
     assert np.allclose(got, r) and np.allclose((r * n) @ p, target, rtol=2e-3)
+
+
+def test_whole_automaton_equals_full_edit_distance():
+    r = random.Random(18)
+    terms = [toxicity.Term("abcab", False, 1), toxicity.Term("bcabcabca", False, 2), toxicity.Term("cab", False, 0)]
+    automaton = toxicity.Automaton(terms, whole=True)
+    for _ in range(20_000):
+        word = "".join(r.choice("abcd") for _ in range(r.randint(1, 11)))
+        want = min((e for t in terms if (e := edits(word, t.text)) <= t.edits), default=-1)
+        assert automaton.match(word) == want, word
+    stem = toxicity.Automaton([toxicity.Term("abcabc", True, 1)], whole=True)
+    assert [stem.match(w) for w in ("bcabcdd", "xbcabcdd", "xabcabcdd", "abcabcdd", "xxcabcdd")] == [1, 1, 1, 0, -1]
+
+
+def test_toxicity_of_misspelt_first_letters(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    automaton = toxicity.automaton_of(model)
+    fine = "fine words " * 10
+    for text in ("you vretch , you simwitted loofball and 8lockhead ", "you retch , you immwitted oofball and xblockhead "):
+        assert model.score(text + fine, automaton) > 0.7
+    assert model.score(fine, automaton) < 0.7
+
+
+def test_ordinary_words_are_no_misspellings():
+    terms = [toxicity.Term("wretch", False, 1)]
+    texts = ["dogs retch often", "cats retch too", 'he said "a vretch" once', 'they wrote "the vretch" twice', "you vretch", "you wretch"]
+    own = toxicity.ordinary_words(texts, [0, 0, 0, 0, 1, 1], toxicity.Automaton(terms, whole=True))
+    automaton = toxicity.Automaton(terms, whole=True, ordinary=own)
+    assert own == {"retch"} and automaton.edits("retch") == -1 and automaton.edits("vretch") == 1 and automaton.edits("wretch") == 0
