@@ -22,6 +22,7 @@ import random
 import re
 from collections import Counter
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,12 +47,17 @@ GENERATORS = {
     "number": re.compile(r"(?<![\w+.])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,18}(?!\w)"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ipv6": re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])"),
-    "secret": re.compile(r"(?<=[=:]) ?[\"']?[^\s\"'=:]{6,128}"),
-    "key": re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9_]{16,128}(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<=[=:]) ?[\"']?[^\s\"'=:]{6,}+(?:={1,2}(?![^\s\"'.,;)]))?"),
+    "key": re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9])"),
 }
-#: What a text must hold for a generator to run at all; "at" in a mail address is looked up near a "dot".
+#: Keys written with other characters too, proposed beside their parts: dotted web tokens and long Base64.
+LONGER = re.compile(
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)+"
+    r"|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{40})(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])(?=[A-Za-z+/]{0,39}[0-9])[A-Za-z0-9]++(?:[+/]++[A-Za-z0-9]*+)++={0,2}"
+)
+#: What a text must hold for a generator to run at all: every match of the generator holds its hint.
 HINTS = {
-    "mail_words": re.compile(r"[(\[{](?:at|AT)[)\]}]| (?:at|AT) [^\n]{1,64}?(?:dot|DOT)"),
+    "mail_words": re.compile(r"[(\[{](?:at|AT)[)\]}]| (?:at|AT) [\w-]{1,64} ?(?:[(\[{](?:dot|DOT)[)\]}]|(?<= )(?:dot|DOT)(?= )|\.) ?[\w-]{2}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "ipv6": re.compile(r":[0-9a-fA-F]{1,4}:"), "secret": re.compile(r"[=:]"),
     "key": re.compile(r"[0-9]"), "number": re.compile(r"[0-9]"),
 }
@@ -110,7 +116,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for kind in ADDED:
         if not HINTS[kind].search(text):
             continue
-        for m in GENERATORS[kind].finditer(text):
+        found = GENERATORS[kind].finditer(text)
+        for m in chain(found, LONGER.finditer(text)) if kind == "key" else found:
             start = m.start() + (len(m.group()) - len(m.group().lstrip(" \"'")) if kind == "secret" else 0)
             end = m.end()
             if kind == "secret":
@@ -155,7 +162,7 @@ def examples(seed: int = 6, each: int = 220) -> tuple[list[list[float]], list[in
     word = lambda: some(low, r.randint(2, 9))
     cue = lambda group: r.choice(CUES[group])
     true = {
-        "mail_words": lambda: r.choice([f"{word()}{digits(2)} (at) {word()} (dot) com", f"{word()} at {word()} dot org", f"{word()}.{word()}[at]{word()}[dot]net", f"{word()} (at) {word()}.com"]),
+        "mail_words": lambda: r.choice([f"{word()}{digits(2)} (at) {word()} (dot) com", f"{word()} at {word()} dot org", f"{word()}.{word()}[at]{word()}[dot]net", f"{word()} (at) {word()}.com", f"{word()}.{word()} at {word()}.com", f"{word()} at {word()}.org"]),
         "number": lambda: r.choice([f"{cue('phone')} ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{cue('phone')}: 0{digits(2)}/{digits(3)}-{digits(4)}", f"{cue('id')} {digits(3)}-{digits(2)}-{digits(4)}", f"{cue('phone')} 0{digits(3)} {digits(6)}", f"({digits(3)}) {digits(3)}-{digits(4)}"]),
         "iban": lambda: r.choice([f"{some(up, 2)}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", f"{cue('bank')} {some(up, 2)}{digits(18)}"]),
         "ipv6": lambda: ":".join(some("0123456789abcdef", r.randint(3, 4)) for _ in range(r.randint(6, 8))),

@@ -319,3 +319,30 @@ def test_ordinary_words_are_no_misspellings():
     own = toxicity.ordinary_words(texts, [0, 0, 0, 0, 1, 1], toxicity.Automaton(terms, whole=True))
     automaton = toxicity.Automaton(terms, whole=True, ordinary=own)
     assert own == {"retch"} and automaton.edits("retch") == -1 and automaton.edits("vretch") == 1 and automaton.edits("wretch") == 0
+
+
+def test_long_secrets_and_keys_are_redacted_whole():
+    r = random.Random(7)
+    some = lambda n, more="": "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + more) for _ in range(n))
+    web = f"eyJ{some(33)}.eyJ{some(300, '-_')}.{some(86, '-_')}"
+    for before, value in (("token=", some(300)), ("key ", some(300)), ("token: ", web), ("the key ", web), ("key=", some(300, "+/") + "=="), ("key ", some(300, "+/") + "==")):
+        text = f"{before}{value} end"
+        ((_, spans),) = pii.find_spans([text])
+        assert pii.redact(text, spans) in (f"{before}[SECRET] end", f"{before}[KEY] end"), text
+
+
+def test_mail_addresses_in_words_with_a_plain_dot():
+    text = "write to john.smith at example.com now"
+    ((_, spans),) = pii.find_spans([text])
+    assert pii.redact(text, spans) == "write to [MAIL_WORDS] now"
+    ((_, spans),) = pii.find_spans(["look at home. The dog"])
+    assert spans == []
+
+
+def test_hints_are_necessary_conditions():
+    r = random.Random(12)
+    parts = ["john", "x1", " at ", " AT ", "(at)", "[AT] ", "mail", " dot ", "(dot)", ".", " ", "com", "-", "_", "12", "AB34", ":", "=", "f0:", "\n", "é", "'"]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        for kind, hint in pii.HINTS.items():
+            assert hint.search(text) or not pii.GENERATORS[kind].search(text), (kind, text)
