@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership.
 
-A naive Bayes classifier, fitted on a bounded sample of labelled documents, gives each document a posterior over
-domains from how often telling words occur in it.  A document then counts towards every domain by its posterior,
+A naive Bayes classifier, fitted on a bounded sample of each domain's labelled documents, gives each document a
+posterior over all domains that any row has, from how often telling words occur in it.  A document then counts towards every domain by its posterior,
 and nonnegative rates are fitted so that the expected token total of each domain meets its target:
 
     minimise  sum_d (T_d - t_d)^2 / (2 T_d(1)),   T_d(r) = sum_i r_i n_i p_id,   r >= floor
@@ -13,7 +13,7 @@ no table of rates is joined back.  Everything is built-in functions; the driver
 totals for each step and the table of telling words.
 
 Behaviour: a null text is an empty one; a text without words has the prior as its posterior and weighs nothing; rows
-without a label take part in everything but the fit; without any label there is one domain; repeated rows get the
+without a label take part in everything but the fit; without any label there is one domain, ``all``; a weight for a domain that no row has is an error; repeated rows get the
 same rate; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import Scratch
 
-#: Labelled documents to fit on at most, telling words for each domain, and by what their evidence is divided
-#: (words of one text are not independent).
-SAMPLE_ROWS, WORDS_EACH, HEAT = 4000, 8, 4.0
+#: Labelled documents of each domain to fit on at most, telling words for each domain, and by what their evidence is
+#: divided (words of one text are not independent).
+SAMPLE_EACH, WORDS_EACH, HEAT = 1000, 8, 4.0
 MOST_STEPS, TOLERANCE = 30, 1e-3
 #: How far targets flatten the domains' shares.
 FLATTEN = 0.7
@@ -50,13 +50,20 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
-def fit_classifier(docs: DataFrame, label_col: str, rows: int = SAMPLE_ROWS) -> Classifier:
-    sample = (
-        docs.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("key"), F.col(label_col).cast("string").alias("domain"))
-        .orderBy(F.xxhash64("key"), "key", "domain").limit(rows)
-    )
-    texts = docs.where(F.col("text").isNotNull()).select("text", F.col("doc_id").alias("key")).join(F.broadcast(sample), "key", "inner").dropDuplicates(["key"])
+def fit_classifier(docs: DataFrame, label_col: str, each: int = SAMPLE_EACH) -> Classifier:
+    """Domains and priors are those of all labelled rows; words come from ``each`` documents of every domain at most."""
+    labelled = docs.where(F.col(label_col).isNotNull()).withColumn("domain", F.col(label_col).cast("string"))
+    rows = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    domains = sorted(rows)
+    if not domains:
+        return Classifier(["all"], [0.0], [], [])
+    # by id, without reading texts; rows without an id go by their text
+    labelled = labelled.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text"))))
+    by_id = labelled.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("key"), "domain")
+    keys = by_id.unionByName(labelled.where("doc_id is null").select("key", "domain"))
+    first = W.partitionBy("domain").orderBy(F.xxhash64("key"), "key")
+    sample = keys.withColumn("rank", F.dense_rank().over(first)).where(F.col("rank") <= each).select("key", "domain").distinct()
+    texts = labelled.where(F.col("text").isNotNull()).select("text", "key", "domain").join(F.broadcast(sample), ["key", "domain"], "inner").dropDuplicates(["key", "domain"])
     words = texts.select("key", "domain", F.explode(F.split(F.trim("text"), r"\s+")).alias("word")).where("word <> ''")
     counts = words.groupBy("domain", "word").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
     counts = counts.withColumn("in_domain", F.sum("n").over(W.partitionBy("domain"))).withColumn("everywhere", F.sum("docs").over(W.partitionBy("word")))
@@ -67,14 +74,13 @@ def fit_classifier(docs: DataFrame, label_col: str, rows: int = SAMPLE_ROWS) ->
     )
     table = counts.join(F.broadcast(telling), "word").select("domain", "word", "n").collect()
     sizes = {r["domain"]: (r["docs"], r["n"]) for r in words.groupBy("domain").agg(F.count_distinct("key").alias("docs"), F.count("*").alias("n")).collect()}
-    domains = sorted(sizes)
-    if not domains:
-        return Classifier(["all"], [0.0], [], [])
-    total = sum(d for d, _ in sizes.values())
+    total, everything = sum(rows.values()), sum(n for _, n in sizes.values())
     seen = {(r["word"], r["domain"]): r["n"] for r in table}
     names = sorted({r["word"] for r in table})
-    frequency = [[(seen.get((w, d), 0) + 0.5) / (sizes[d][1] + 1) for d in domains] for w in names]
-    return Classifier(domains, [math.log(sizes[d][0] / total) for d in domains], names, frequency)
+    common = {w: (sum(seen.get((w, d), 0) for d in domains) + 0.5) / (everything + 1) for w in names}
+    # a domain whose sample has no words tells nothing: its frequencies are those of all
+    frequency = [[(seen.get((w, d), 0) + 0.5) / (sizes[d][1] + 1) if d in sizes else common[w] for d in domains] for w in names]
+    return Classifier(domains, [math.log(rows[d] / total) for d in domains], names, frequency)
 
 
 def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -132,6 +138,8 @@ def flattened_targets(have: list[float], cover: bool) -> list[float]:
 def fit_rates(posterior: DataFrame, domains: list[str], weights: dict[str, float] | None = None, cover: bool = False, floor: float = 0.0) -> Rates:
     """Projected gradient until every domain's total is within TOLERANCE of its target, or no longer moves."""
     have = totals(posterior, len(domains), F.lit(1.0))
+    if unknown := sorted(set(weights or ()) - set(domains)):
+        raise ValueError(f"weights for domains that no row has: {', '.join(unknown)}")
     if weights:
         whole = sum(weights.get(d, 0.0) for d in domains) or 1.0
         target = [sum(have) * weights.get(d, 0.0) / whole for d in domains]

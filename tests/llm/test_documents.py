@@ -346,3 +346,23 @@ def test_hints_are_necessary_conditions():
         text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
         for kind, hint in pii.HINTS.items():
             assert hint.search(text) or not pii.GENERATORS[kind].search(text), (kind, text)
+
+
+def test_rare_domains_have_targets_and_unknown_weights_fail(spark):
+    """Domains that a single sample of all rows misses."""
+    r = random.Random(15)
+    word = {"big": ["lorem", "ipsum", "dolor", "amet"], "rare": ["foo", "bar", "baz", "qux"]}
+    lang = ["rare" if i % 1000 == 7 else "big" for i in range(6000)]
+    rows = [(i, " ".join(r.choice(word[d]) for _ in range(20)), d) for i, d in enumerate(lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = mixing.fit_classifier(docs, "lang", 2)
+    assert model.domains == ["big", "rare"] and np.allclose(np.exp(model.prior), [0.999, 0.001])
+    out = mixing.mixing_rates(spark, docs, weights={"big": 0.5, "rare": 0.5}).collect()
+    assert {x["doc_id"] for x in out if x["domain"] == "rare"} == {i for i, d in enumerate(lang) if d == "rare"}
+    total = {d: sum(x["n_tokens"] * x["rate"] for x in out if x["domain"] == d) for d in word}
+    assert abs(total["big"] / total["rare"] - 1) < 0.02
+    with pytest.raises(ValueError, match="none"):
+        mixing.mixing_rates(spark, docs, weights={"big": 0.5, "none": 0.5})
+    more = [(None, "lorem", "big"), (9000, None, "mute"), (None, "uno dos", "idless"), (None, "uno tres", "idless")]
+    model = mixing.fit_classifier(docs.unionByName(spark.createDataFrame(more, docs.schema)), "lang")
+    assert model.domains == ["big", "idless", "mute", "rare"] and {"uno", "dos", "tres"} <= set(model.words)
