@@ -28,12 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
-    Rows without an id are all kept; of rows that share an id and a text one stays.
+    Rows without an id are all kept; of rows that share an id and a fingerprint one stays.  Rows that share an id but
+    not a fingerprint each stay or go with the group of their own text.
     """
-    found = simhash.near_duplicates(spark, docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*NAMES).unionByName(docs.where("doc_id is null").select(*NAMES))
+    found = simhash.near_duplicates(spark, docs).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.min("component_id").alias("c"))
+    kept = ids.where("a = b and c = doc_id").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # few or no ids have several fingerprints: only their texts are hashed again
+    several = simhash.with_fingerprint(docs.join(ids.where("a <> b").select("doc_id"), "doc_id", "left_semi").select(*NAMES), COLUMNS)
+    own = found.where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+    parted = several.join(own, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"])
+    return named.select(*NAMES).unionByName(parted.select(*NAMES)).unionByName(docs.where("doc_id is null").select(*NAMES))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

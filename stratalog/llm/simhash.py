@@ -73,6 +73,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, fp long", start)
 
 
+def with_fingerprint(docs: DataFrame, keep: str) -> DataFrame:
+    """The columns ``keep`` (a DDL list with text) and the fingerprint in hexadecimal."""
+    names = [x.split()[0] for x in keep.split(",")]
+
+    def start():
+        return lambda part: {c: part[c] for c in names} | {"fingerprint": [f"{fingerprint(t):016x}" for t in part["text"]]}
+
+    return map_texts(docs.select(*names), f"{keep}, fingerprint string", start)
+
+
 def vantage_points(levels: int) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 32, size=(2, levels), dtype=np.uint64)
 

@@ -366,3 +366,17 @@ def test_rare_domains_have_targets_and_unknown_weights_fail(spark):
     more = [(None, "lorem", "big"), (9000, None, "mute"), (None, "uno dos", "idless"), (None, "uno tres", "idless")]
     model = mixing.fit_classifier(docs.unionByName(spark.createDataFrame(more, docs.schema)), "lang")
     assert model.domains == ["big", "idless", "mute", "rare"] and {"uno", "dos", "tres"} <= set(model.words)
+
+
+def test_texts_under_one_id_survive_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    one, two, three = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (5, two), (5, two), (3, one), (8, two), (9, three), (9, three), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], corpus_pipeline.COLUMNS)
+    got = sorted((x["doc_id"] or 0, x["text"]) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([(0, one), (3, one), (5, two), (9, three)])
+    docs = docs.where("doc_id is null or doc_id <> 3")
+    got = sorted((x["doc_id"] or 0, x["text"]) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted([(0, one), (5, one), (5, two), (9, three)])
