@@ -1,23 +1,24 @@
 """Quality by random-indexing word vectors, pooled per document, and a two-layer network.
 
-Every token has a sparse random index vector drawn from its hash.  A word's vector is the sum of the index
-vectors met around it in a bounded sample of labelled documents, its document's tokens included; words outside
-the vocabulary share the vectors of their shape.  A document is the mean vector of its tokens beside a few
-pooled measures of repetition and form.  A network of two layers, written in numpy, is trained on the sample and its
+Every word has a sparse random index vector, drawn from a fixed bank by its hash.  A word's context vector is the
+sum of the index vectors met around it in a bounded sample of labelled documents; words outside the vocabulary
+share the context of their shape.  A word's vector is the sum of both.  A document is pooled from its words' vectors
+and nothing else: their mean over tokens, over distinct words and by squared frequency, and the mean of the
+products of neighbours' vectors (componentwise, the usual binding of such vectors), next to each other and two
+to four apart, which keeps word order.  A network of two layers, written in numpy, is trained on the sample and its
 probabilities are calibrated by a temperature fitted on rows that the training left out.
 
 Behaviour: a null text is an empty one; an empty text has zero vectors and gets the network's score for them;
-without labels of both classes every score is 0.5; repeated rows score alike; an empty table gives no rows;
-extra columns are ignored.
+without labels of both classes every score is 0.5; repeated rows score alike and a repeated id is one labelled
+document; rows without an id are scored; a very long text is pooled in steps; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,12 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Labelled documents to learn from at most.
 SAMPLE_ROWS = 5000
 VECTOR, NONZERO, WINDOW, VOCABULARY, LEAST_DOCS = 64, 6, 2, 8000, 3
+#: Index vectors in the bank; a step pools so many tokens at once.
+BANK, STEP = 4096, 1 << 15
 HIDDEN, EPOCHS, RATE, DECAY = 32, 250, 0.01, 1e-4
-FORMS = 9
+#: Distances at which neighbours are bound, by pool, and what damps the pools of short texts.
+APART, DAMP = ((1,), (2, 3, 4)), 5
+POOLS = 3 + len(APART)
 
 
 def shape(token: str) -> str:
@@ -43,48 +48,58 @@ def shape(token: str) -> str:
     return f"<{kind}{min(len(token), 12) // 4}>"
 
 
-def index_vector(token: str) -> np.ndarray:
-    """The sparse ternary vector that a token's hash draws."""
-    out = np.zeros(VECTOR, dtype=np.float32)
-    for k in range(NONZERO):
-        h = xxh64_intdigest(token, k)
-        out[h % VECTOR] += 1 if h >> 63 else -1
+def index_bank() -> np.ndarray:
+    """The sparse ternary index vectors, of length 1, and a zero vector at the end."""
+    draw = np.random.default_rng(BANK)
+    out = np.zeros((BANK + 1, VECTOR), dtype=np.float32)
+    for row in out[:-1]:
+        row[draw.choice(VECTOR, NONZERO, replace=False)] = draw.choice([-1, 1], NONZERO) / NONZERO**0.5
     return out
 
 
+def index_of(token: str) -> int:
+    return xxh64_intdigest(token) % BANK
+
+
 def train_vectors(texts: list[str]) -> dict[str, np.ndarray]:
-    """The vector of each word of the vocabulary and of each shape."""
-    tokens = [TOKEN.findall(t) for t in texts]
+    """The context vector of each shape and each word of the vocabulary, the latter with its index vector added."""
     seen: Counter = Counter()
-    for ts in tokens:
-        seen.update(set(ts))
+    for t in texts:
+        seen.update(set(TOKEN.findall(t)))
     words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= LEAST_DOCS]
     shapes = sorted({shape(w) for w in seen})
     number = {w: i for i, w in enumerate([*shapes, *words])}
-    index = np.array([index_vector(w) for w in number]) if number else np.zeros((0, VECTOR), np.float32)
-    pairs: Counter = Counter()
+    rows = {w: number.get(w, number[shape(w)]) for w in seen}
+    drawn = {w: index_of(w) for w in seen}
+    bank = index_bank()
     context = np.zeros((len(number), VECTOR), dtype=np.float32)
+    held: list[np.ndarray] = []
+    waiting = 0
 
     def add() -> None:
-        codes = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        times = np.log1p(np.fromiter(pairs.values(), np.float32, len(pairs)))
-        for at in range(0, len(codes), 100_000):
-            c = codes[at : at + 100_000]
-            np.add.at(context, c // len(number), index[c % len(number)] * times[at : at + 100_000, None])
-        pairs.clear()
-
-    for ts in tokens:
-        ids = np.array([number.get(t) if t in number else number[shape(t)] for t in ts], dtype=np.int64)
-        for k in range(1, WINDOW + 1):
-            if len(ids) > k:
-                pairs.update((ids[:-k] * len(number) + ids[k:]).tolist())
-                pairs.update((ids[k:] * len(number) + ids[:-k]).tolist())
-        if len(pairs) > 1_000_000:
+        """Pairs of a word and a neighbour's index vector, weighed by the logarithm of their number."""
+        codes, times = np.unique(np.concatenate(held), return_counts=True)
+        for at in range(0, len(codes), STEP):
+            own, of = np.divmod(codes[at : at + STEP], BANK)
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            context[own[first]] += np.add.reduceat(bank[of] * np.log1p(times[at : at + STEP, None]).astype(np.float32), first)
+        held.clear()
+
+    for t in texts:
+        tokens = TOKEN.findall(t)
+        own, of = np.array([rows[w] for w in tokens], dtype=np.int64), np.array([drawn[w] for w in tokens], dtype=np.int64)
+        for k in range(1, min(WINDOW, len(tokens) - 1) + 1):
+            held += [own[:-k] * BANK + of[k:], own[k:] * BANK + of[:-k]]
+            waiting += 2 * (len(own) - k)
+        if waiting > 2_000_000:
             add()
-    add()
+            waiting = 0
+    if held:
+        add()
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    both = 0.5 * context + 0.5 * index / max(1.0, math.sqrt(NONZERO))
-    return {w: both[i] for w, i in number.items()}
+    for w in words:
+        context[number[w]] += bank[drawn[w]]
+    return {w: context[i] for w, i in number.items()}
 
 
 class Pooler:
@@ -92,46 +107,44 @@ class Pooler:
 
     def __init__(self, vectors: dict[str, np.ndarray]):
         self.number = {w: i for i, w in enumerate(vectors)}
-        self.matrix = np.array(list(vectors.values())) if vectors else np.zeros((0, VECTOR), np.float32)
+        # shapes that the sample lacks have no context
+        self.known = np.array([*vectors.values(), np.zeros(VECTOR)], dtype=np.float32)
+        self.bank = index_bank()
 
     def pool(self, text: str) -> np.ndarray:
-        out = np.zeros(VECTOR + FORMS, dtype=np.float64)
+        out = np.zeros((POOLS, VECTOR))
         tokens = TOKEN.findall(text)
         n = len(tokens)
         if not n:
-            return out
-        counts = Counter(tokens)
-        number, at, times = self.number, [], []
-        marks = upper = letters = 0
-        for t, k in counts.items():
-            i = number.get(t)
-            if i is None:
-                i = number.get(shape(t))
-            if i is not None:
-                at.append(i)
-                times.append(k)
-            first = t[0]
-            if not (first.isalnum() or first == "_"):
-                marks += k
-            elif len(t) > 1 and t.isupper():
-                upper += k
-            letters += len(t) * k
-        if at:
-            out[:VECTOR] = np.array(times, dtype=np.float64) @ self.matrix[at] / n
-        lines = text.split("\n")
-        m = min(n, 400)
-        out[VECTOR:] = [
-            math.log1p(n) / 8,
-            len(counts) / n,
-            sum(map(eq, tokens, tokens[1:])) / n,
-            max(counts.values()) / n,
-            marks / n,
-            upper / n,
-            1 - len(set(lines)) / len(lines),
-            letters / n / 8,
-            len(counts) / n * math.log1p(m),
-        ]
-        return out
+            return out.ravel()
+        place: dict[str, int] = {}
+        order = np.array([place.setdefault(t, len(place)) for t in tokens])
+        number, none = self.number, len(self.known) - 1
+        row, drawn = np.empty(len(place), np.int64), np.full(len(place), BANK)
+        for i, t in enumerate(place):
+            k = number.get(t)
+            if k is None:
+                k, drawn[i] = number.get(shape(t), none), index_of(t)
+            row[i] = k
+        share = np.bincount(order) / n
+        square = share * share
+        for at in range(0, len(row), STEP):
+            v = part = self.known[row[at : at + STEP]] + self.bank[drawn[at : at + STEP]]
+            out[0] += share[at : at + STEP] @ v
+            out[1] += v.sum(0, dtype=np.float64) / len(row)
+            out[2] += square[at : at + STEP] @ v / square.sum() ** 0.5
+        widest = max(map(max, APART))
+        for at in range(0, n, STEP):
+            # each step sees the tokens that its first ones are bound with
+            back = min(at, widest)
+            o = order[at - back : at + STEP]
+            v = part[o] if len(row) <= STEP else self.known[row[o]] + self.bank[drawn[o]]
+            for p, gaps in enumerate(APART, 3):
+                for k in gaps:
+                    left, right = v[max(0, back - k) : len(v) - k], v[max(back, k) :]
+                    if len(right):
+                        out[p] += np.einsum("ij,ij->j", left, right) / (n + DAMP)
+        return out.ravel()
 
 
 @dataclass
