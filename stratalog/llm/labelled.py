@@ -13,9 +13,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int, s
 
     Rows whose crc32(doc_id as text) leaves 1 modulo 3 are never taken.  The sample is the first by a hash of
     the id, so it is the same in every run; ``stratified`` takes half of it from each class.  A document with
-    several labels has the largest; null ids, labels and texts are left out.
+    several labels has the largest, one with several texts the least of them; null ids, labels and texts are left out.
+    Labels and texts are brought down to one row an id before they are joined or collected, so what the driver gets
+    is bounded however often an id is repeated.
     """
-    ids = docs.where("doc_id is not null").select("doc_id")
+    ids = docs.where("doc_id is not null").select("doc_id").distinct()
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
@@ -27,6 +29,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int, s
         picked = known.where("y = 1").orderBy(*order).limit(rows // 2).unionByName(known.where("y = 0").orderBy(*order).limit(rows // 2))
     else:
         picked = known.orderBy(*order).limit(rows)
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    seen = {r["doc_id"]: (r["text"], r["y"]) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))}
-    return [seen[k] for k in sorted(seen)], of
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])], of
