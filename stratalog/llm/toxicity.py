@@ -9,13 +9,15 @@ quotation marks or beside a reporting word counts less than one among other hits
 document's hits gives the probability.
 
 Behaviour: null and empty texts have no hits and get the score of such a text; without labels of both classes
-the score is 0; repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+the score is 0; repeated rows score alike and a repeated id is one labelled document; rows without an id are
+scored; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,10 +31,10 @@ from stratalog.llm.labelled import labelled_texts
 WORD = re.compile(r"\w+")
 #: Labelled documents to learn from at most, half from each class.
 SAMPLE_ROWS = 4000
-#: A term is in this many toxic documents of the sample at least, in this part of them, and this many times as
-#: common in them as in the others.
-LEAST_DOCS, LEAST_PART, LEAST_RATIO = 6, 0.01, 40.0
-SHORTEST, LONGEST, MOST_TERMS = 4, 16, 500
+#: A term is in this many toxic documents of the sample at least and this many times as common in them as in the
+#: others, and among all prefixes that often there, chance would make even one so one-sided this rarely.
+LEAST_DOCS, LEAST_RATIO, CHANCE = 6, 40.0, 0.01
+SHORTEST, LONGEST = 4, 16
 #: A term stands between this many different pairs of neighbours for each document (copies of one text share
 #: theirs), and a prefix is lengthened while a continuation keeps this share of its documents.
 LEAST_CONTEXTS, LENGTHEN = 0.5, 0.8
@@ -46,6 +48,7 @@ MISSPELT = 0.2
 #: Reporting words, fixed values: a hit beside one is likely mentioned, not used.
 REPORTING = frozenset("said says saying wrote writes called calls quoted quote quotes word words term terms phrase meaning means dit mot appelle sagte wort nannte dijo palabra llama".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
+OPENING, LINE = re.compile(f"[{''.join(QUOTES)}]"), re.compile(r"[^\n]+")
 #: Words whose result a worker remembers.
 CACHE_WORDS = 100_000
 
@@ -57,6 +60,12 @@ class Term:
     edits: int
 
 
+def one_sided(n: int, others: int, part: float) -> float:
+    """The chance that of n + ``others`` documents no more than ``others`` are outside a class that holds ``part`` of all."""
+    whole = n + others
+    return sum(math.comb(whole, k) * (1 - part) ** k * part ** (whole - k) for k in range(others + 1))
+
+
 def learn_terms(texts: list[str], toxic: list[int]) -> list[Term]:
     """Words and stems that mark toxic documents.
 
@@ -71,13 +80,16 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[Term]:
     for ws, y in zip(words, toxic, strict=True):
         if y:
             in_toxic.update({w[:k] for w in ws for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in ws})
-    often = {p: n for p, n in in_toxic.items() if n >= max(LEAST_DOCS, LEAST_PART * n1)}
+    often = {p: n for p, n in in_toxic.items() if n >= LEAST_DOCS}
     del in_toxic
     in_clean: Counter = Counter()
     for ws, y in zip(words, toxic, strict=True):
         if not y:
             in_clean.update({p for w in ws for k in range(SHORTEST, min(len(w), LONGEST) + 1) if (p := w[:k]) in often})
-    marks = {p for p, n in often.items() if p[-1] != "$" and n / n1 >= LEAST_RATIO * (in_clean[p] + 0.2) / n0}
+    marks = {
+        p for p, n in often.items()
+        if p[-1] != "$" and n / n1 >= LEAST_RATIO * (in_clean[p] + 0.2) / n0 and one_sided(n, in_clean[p], n1 / (n0 + n1)) * len(often) <= CHANCE
+    }
     around: dict[str, set] = {p: set() for p in marks}
     for t, y in zip(texts, toxic, strict=True):
         ws = WORD.findall(t.lower()) if y else []
@@ -104,7 +116,7 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[Term]:
         stem = q[-1] != "$"
         edits = 0 if len(word) < 5 or stem and len(word) < 6 else 1 if len(word) < 9 else 2
         out[word] = (often[p], Term(word, stem, edits))
-    return [t for _, t in sorted(out.values(), key=lambda x: (-x[0], x[1].text))[:MOST_TERMS]]
+    return [t for _, t in sorted(out.values(), key=lambda x: (-x[0], x[1].text))]
 
 
 class _State:
@@ -203,18 +215,35 @@ class Automaton:
 
 
 def quoted_spans(text: str) -> list[tuple[int, int]]:
-    """Spans between quotation marks that close on the same line."""
+    """Spans between quotation marks that close on the same line; a mark inside a span opens none."""
     out = []
-    for line in re.finditer(r"[^\n]+", text):
-        s, at = line.group(), 0
-        while at < len(s):
-            if (end := QUOTES.get(s[at])) and (close := s.find(end, at + 1)) > 0:
-                out.append((line.start() + at, line.start() + close + 1))
-                at = close
-            at += 1
+    for line in LINE.finditer(text):
+        s, done, open_ended = line.group(), 0, set()
+        for m in OPENING.finditer(s):
+            at, end = m.start(), QUOTES[m.group()]
+            # a closing mark that this line lacks is looked for once
+            if at < done or end in open_ended:
+                continue
+            close = s.find(end, at + 1)
+            if close < 0:
+                open_ended.add(end)
+            else:
+                done = close + 1
+                out.append((line.start() + at, line.start() + done))
     return out
 
 
+def inside(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether a position is in one of the spans, which are sorted and apart."""
+    k = bisect_right(spans, (at, math.inf)) - 1
+    return k >= 0 and at < spans[k][1]
+
+
+def told(found: list[tuple[int, str]], i: int) -> bool:
+    """Whether a reporting word is within the window around word ``i``, on either side."""
+    return any(w in REPORTING for _, w in found[max(0, i - WINDOW) : i + WINDOW + 1])
+
+
 def ordinary_words(texts: list[str], toxic: list[int], automaton: Automaton) -> frozenset[str]:
     """Words near a term that are words of their own: toxic documents hardly use them more often than clean ones.
 
@@ -229,7 +258,7 @@ def ordinary_words(texts: list[str], toxic: list[int], automaton: Automaton) ->
         spans = quoted_spans(low if len(low) != len(text) else text)
         plain = set()
         for i, (start, w) in enumerate(found):
-            if automaton.match(w) > 0 and not any(s <= start < e for s, e in spans) and not any(v in REPORTING for _, v in found[max(0, i - WINDOW) : i]):
+            if automaton.match(w) > 0 and not inside(spans, start) and not told(found, i):
                 plain.add(w)
         uses[y].update(plain)
     n0, n1 = max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))
@@ -248,13 +277,10 @@ def features(text: str, automaton: Automaton) -> list[float]:
     hits = [(i, start, e) for i, (start, w) in enumerate(found) if (e := edits(w)) >= 0]
     spans = quoted_spans(text)
     total = near = together = 0.0
-    k, last = 0, -WINDOW * 2
+    last = -WINDOW * 2
     for i, start, e in hits:
-        while k < len(spans) and spans[k][1] <= start:
-            k += 1
-        quoted = k < len(spans) and spans[k][0] <= start
-        told = any(w in REPORTING for _, w in found[max(0, i - WINDOW) : i])
-        weight = (0.15 if quoted else 1.0) * (0.5 if told else 1.0)
+        quoted = inside(spans, start)
+        weight = (0.15 if quoted else 1.0) * (0.5 if told(found, i) else 1.0)
         together += weight * (i - last <= WINDOW)
         last = i
         total += weight * (1 - MISSPELT * e)
