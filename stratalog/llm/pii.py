@@ -8,10 +8,11 @@ a calibrated probability; each kind has a threshold of its own, the lowest that
 rows set aside.
 
 No table labels personal data, so the trees are trained on examples drawn from a seeded grammar of true and
-false candidates; nothing is learned from the documents.
+false candidates; nothing is learned from the documents.  The driver trains them once and broadcasts them.
 
 Behaviour: a null text is an empty one and has no spans; spans are code points, end exclusive; repeated rows
-have the same spans; an empty table gives no rows; extra columns are ignored.
+have the same spans; rows without an id or with the id of another are rows of their own; a span has no greatest
+length; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
     ]
 
 
-def examples(seed: int = 6, each: int = 220) -> tuple[list[list[float]], list[int], list[int]]:
+def examples(seed: int = 6, each: int = 300) -> tuple[list[list[float]], list[int], list[int]]:
     """Features, kinds and truth of candidates drawn from a grammar of true and false forms."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -189,14 +190,21 @@ def examples(seed: int = 6, each: int = 220) -> tuple[list[list[float]], list[in
     return x, kinds, y
 
 
+Detector = tuple[boosting.Boosted, tuple[float, ...]]
+
+
 @cache
-def trained(precision: float = 0.98) -> tuple[boosting.Boosted, tuple[float, ...]]:
-    """The trees and the threshold of each kind, lowest that keeps ``precision`` on rows the trees left out."""
+def trained(precision: float = 0.98) -> Detector:
+    """The trees and the threshold of each kind, lowest that keeps ``precision``.
+
+    Three fifths of the examples grow the trees, one calibrates them and the last one gives the thresholds.
+    """
     x, kinds, y = (np.array(v, dtype=float) for v in examples())
     order = np.random.default_rng(6).permutation(len(x))
     x, kinds, y = x[order], kinds[order], y[order]
-    model = boosting.fit(x, y)
-    rest = np.arange(len(x)) % 5 == 4
+    fold = np.arange(len(x)) % 5
+    model = boosting.fit(x, y, fold < 3, fold == 3)
+    rest = fold == 4
     score = model.scores(x)
     limits = []
     for k in range(len(KINDS)):
@@ -210,9 +218,9 @@ def trained(precision: float = 0.98) -> tuple[boosting.Boosted, tuple[float, ...
     return model, tuple(limits)
 
 
-def find_spans(texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+def find_spans(texts: list[str], detector: Detector | None = None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """Base spans and all spans of each text, as (start, kind, end)."""
-    model, limits = trained()
+    model, limits = detector or trained()
     base = [base_spans(t) for t in texts]
     asked = [(i, c) for i, t in enumerate(texts) for c in candidates(t, base[i])]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -243,10 +251,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, a count for each base kind, the digest of the base spans and all spans of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def start():
+        detector = shared.value
+
         def work(part: dict) -> dict:
-            found = find_spans([t or "" for t in part["text"]])
+            found = find_spans([t or "" for t in part["text"]], detector)
             out: dict[str, list] = {"doc_id": part["doc_id"]}
             for k, kind in enumerate(BASE):
                 out[f"n_{kind}"] = [sum(s[1] == k for s in base) for base, _ in found]
@@ -263,11 +274,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact_documents(docs: DataFrame, keep: str) -> DataFrame:
     """The columns ``keep`` (a DDL list with text and n_chars) with every span of the text replaced; null stays null."""
     names = [x.split()[0] for x in keep.split(",")]
+    shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def start():
+        detector = shared.value
+
         def work(part: dict) -> dict:
             texts = part["text"]
-            clean = [None if t is None else redact(t, spans) for t, (_, spans) in zip(texts, find_spans([t or "" for t in texts]), strict=True)]
+            clean = [None if t is None else redact(t, spans) for t, (_, spans) in zip(texts, find_spans([t or "" for t in texts], detector), strict=True)]
             return {c: part[c] for c in names} | {"text": clean, "n_chars": [None if t is None else len(t) for t in clean]}
 
         return work
