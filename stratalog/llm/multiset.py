@@ -5,19 +5,23 @@ vectors modulo powers of two.  Adding or taking away a paragraph adds or subtrac
 paragraphs does not matter, and equal multisets of paragraphs have equal sums.  The vector has two parts:
 
 * STRONG lanes of 64 bits from a keyed digest of the paragraph, modulo 2**64, for equality;
-* SKETCH lanes of 16 bits, modulo 2**16: every three-word shingle of the paragraph adds +1 or -1 to each lane by
+* SKETCH lanes of 32 bits, modulo 2**32: every three-word shingle of the paragraph adds +1 or -1 to each lane by
   a bit of its hash.  The squared difference of two sums estimates in how many shingles the documents differ,
-  which gives a likeness from 0 to 1.
+  which gives a likeness from 0 to 1.  A lane is read as a signed number, which holds for documents of fewer
+  than 2**31 shingles, more than a string of Spark's can have.
 
 Behaviour: a null text is an empty one, whose fingerprint is all zeros; two empty ones are alike (1); rows that
-share an id are ordered by their texts; a single row is its own next document; a row without an id comes last;
-an empty table gives no rows; extra columns are ignored.
+share an id, or have none, are ordered by a hash of their texts, then by the texts; a single row is its own next
+document; a row without an id comes last; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +56,7 @@ class MultisetHash:
 
     def __init__(self, strong: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.strong = np.zeros(STRONG, dtype=np.uint64) if strong is None else strong
-        self.sketch = np.zeros(SKETCH, dtype=np.uint16) if sketch is None else sketch
+        self.sketch = np.zeros(SKETCH, dtype=np.uint32) if sketch is None else sketch
 
     @classmethod
     def of(cls, text: str | None) -> MultisetHash:
@@ -65,28 +69,28 @@ class MultisetHash:
         if paragraph.strip():
             strong, sketch = paragraph_vector(paragraph)
             self.strong = self.strong + strong
-            self.sketch = self.sketch + sketch.astype(np.uint16)
+            self.sketch = self.sketch + sketch.astype(np.uint32)
 
     def remove(self, paragraph: str) -> None:
         if paragraph.strip():
             strong, sketch = paragraph_vector(paragraph)
             self.strong = self.strong - strong
-            self.sketch = self.sketch - sketch.astype(np.uint16)
+            self.sketch = self.sketch - sketch.astype(np.uint32)
 
     def hex(self) -> str:
-        return self.strong.astype("<u8").tobytes().hex() + self.sketch.astype("<u2").tobytes().hex()
+        return self.strong.astype("<u8").tobytes().hex() + self.sketch.astype("<u4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> MultisetHash:
         raw = bytes.fromhex(text)
-        return cls(np.frombuffer(raw[: STRONG * 8], dtype="<u8").astype(np.uint64), np.frombuffer(raw[STRONG * 8 :], dtype="<u2").astype(np.uint16))
+        return cls(np.frombuffer(raw[: STRONG * 8], dtype="<u8").astype(np.uint64), np.frombuffer(raw[STRONG * 8 :], dtype="<u4").astype(np.uint32))
 
     def likeness(self, other: MultisetHash) -> float:
         """1 for equal sums, near 0 for documents that share no shingle: 1 - |x - y|^2 / (|x|^2 + |y|^2)."""
         if (self.strong == other.strong).all():
             return 1.0
-        x, y = self.sketch.view(np.int16).astype(np.float64), other.sketch.view(np.int16).astype(np.float64)
-        d = (self.sketch - other.sketch).view(np.int16).astype(np.float64)
+        x, y = self.sketch.view(np.int32).astype(np.float64), other.sketch.view(np.int32).astype(np.float64)
+        d = (self.sketch - other.sketch).view(np.int32).astype(np.float64)
         whole = x @ x + y @ y
         return float(min(1.0, max(0.0, 1 - d @ d / whole))) if whole else 0.0
 
@@ -97,13 +101,35 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - k] + other[:k]
 
 
-def _with_bucket(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Numbers the buckets in the order of descending ids; rows without an id come after all others."""
+@dataclass
+class Buckets:
+    """Contiguous parts of the order by descending id: ids up to a cut and above the one before, largest first, and
+    at the end rows without an id.  A part of one frequent id, or of none, is ``pieces`` ranges of the texts' hash."""
+
+    cuts: np.ndarray
+    pieces: np.ndarray  # of each part in the order
+
+    @classmethod
+    def of(cls, quantiles: list[float], nulls: int, each: float) -> Buckets:
+        """From quantiles of the ids (repeated where an id is frequent), rows without one, and rows to aim for."""
+        times = Counter(int(q) for q in quantiles)
+        cuts = sorted({*times, *(q - 1 for q, n in times.items() if n > 1)})
+        own = {len(cuts) - 1 - i: times[q] for i, q in enumerate(cuts) if times[q] > 1}
+        pieces = [own.get(p - 1, 1) for p in range(len(cuts) + 1)]
+        return cls(np.array(cuts, dtype=np.int64), np.array([*pieces, max(1, math.ceil(nulls / each))], dtype=np.int64))
+
+    def number(self, ids: pa.Array, ties: pa.Array) -> np.ndarray:
+        part = len(self.cuts) - np.searchsorted(self.cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        part[ids.is_null().to_numpy(zero_copy_only=False)] = len(self.cuts) + 1
+        up = (ties.to_numpy(zero_copy_only=False).astype(np.float64) + 2.0**63) / 2.0**64
+        inside = np.minimum(self.pieces[part] - 1, (up * self.pieces[part]).astype(np.int64))
+        return ((np.cumsum(self.pieces) - self.pieces)[part] + inside).astype(np.int32)
+
+
+def _with_bucket(batches: Iterator[pa.RecordBatch], buckets: Buckets) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
-        place = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
-        place[ids.is_null().to_numpy(zero_copy_only=False)] = len(cuts) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], names=[*batch.schema.names, "bucket"])
+        number = buckets.number(batch.column("doc_id"), batch.column("tie"))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], names=[*batch.schema.names, "bucket"])
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -136,27 +162,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text, and their likenesses.
 
-    The order is by descending id.  Quantiles of the ids cut it into buckets; a bucket's last row meets a guest,
-    the first row of the next bucket that has rows (the first of all follows the last).  Texts are shuffled
-    once; only one row for each bucket is handled as a table of guests.
+    The order is by descending id, then by a hash of the text.  Quantiles of the ids cut it into buckets, and the
+    hash cuts ids that fill several; a bucket's last row meets a guest, the first row of the next bucket that has
+    rows (the first of all follows the last).  Texts are shuffled once; only one row for each bucket is
+    handled as a table of guests.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     wanted = partitions(spark) * 4
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted)))
-    shared = spark.sparkContext.broadcast(np.array(cuts))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("text")]
-    slim = rows.select("doc_id").mapInArrow(lambda it: _with_bucket(it, shared.value), "doc_id long, bucket int")
-    heads = slim.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()  # a row for each bucket
+    quantiles = rows.select("doc_id").approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.2 / wanted)
+    total, named = rows.agg(F.count("*"), F.count("doc_id")).first()
+    shared = spark.sparkContext.broadcast(Buckets.of(quantiles, total - named, max(1.0, total / wanted)))
+    slim = rows.select("doc_id", "tie").mapInArrow(lambda it: _with_bucket(it, shared.value), "doc_id long, tie long, bucket int")
+    place = F.struct(F.bitwise_not("doc_id").alias("below"), "tie")
+    heads = slim.groupBy("bucket").agg(F.min(place).alias("x")).select("bucket", F.bitwise_not("x.below").alias("doc_id"), "x.tie").orderBy("bucket").collect()
     if not heads:
         return spark.createDataFrame([], OUT)
-    before = {heads[i]["head"]: heads[i - 1]["bucket"] for i in range(len(heads))}
-    ends = spark.createDataFrame([(h, b) for h, b in before.items()], "head long, bucket int")
-    first = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("head")))
-    # of rows that share a head's id, the first in the order is the guest
-    slim_first = first.groupBy("bucket").agg(F.min(F.struct(tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
-    guests = first.select("doc_id", "bucket").distinct().join(slim_first, "bucket").select("doc_id", F.col("x.text").alias("text"), "bucket", F.lit(True).alias("guest"))
-    own = rows.mapInArrow(lambda it: _with_bucket(it, shared.value), "doc_id long, text string, bucket int").withColumn("guest", F.lit(False))
-    n = partitions(spark)
-    dealt = own.unionByName(guests).repartition(n, "bucket").withColumn("tie", F.xxhash64("text"))
+    # one row for each bucket: its head, which is a guest of the bucket before
+    ends = [(h["doc_id"], h["tie"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
+    ends = spark.createDataFrame(ends, "head long, head_tie long, bucket int")
+    first = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")))
+    # rows that agree in id and hash have the same text but for collisions
+    guests = first.groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("tie").alias("tie"))
+    guests = guests.select("doc_id", "text", "tie", "bucket", F.lit(True).alias("guest"))
+    own = rows.mapInArrow(lambda it: _with_bucket(it, shared.value), "doc_id long, text string, tie long, bucket int").withColumn("guest", F.lit(False))
+    dealt = own.unionByName(guests).repartition(partitions(spark), "bucket")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("text")]
     return dealt.sortWithinPartitions("bucket", "guest", *order).drop("tie").mapInArrow(_compare, OUT)
