@@ -52,7 +52,9 @@ class Block:
     def __init__(self, rows: pd.DataFrame):
         self.ids = rows["node"].to_numpy()
         self.times = rows["times"].to_numpy().astype(np.int64)
-        self.raw = np.array(rows["vector"].tolist(), dtype=np.float64)
+        raw = np.array(rows["vector"].tolist(), dtype=np.float64)
+        # scaled by a power of two, which is exact, so that no square overflows or vanishes
+        self.raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1))[1][:, None])
         self.length = np.sqrt((self.raw * self.raw).sum(1))
         unit = self.raw / self.length[:, None]
         axes = np.random.default_rng(unit.shape[1]).standard_normal((unit.shape[1], LINES))
