@@ -1,132 +1,153 @@
 """Mixing sources to target weights by soft membership.
 
-A naive Bayes classifier, fitted on a bounded sample of each domain's labelled documents, gives each document a
-posterior over all domains that any row has, from how often telling words occur in it.  A document then counts towards every domain by its posterior,
-and nonnegative rates are fitted so that the expected token total of each domain meets its target:
+A multinomial naive Bayes classifier over all words, fitted on a bounded sample of each domain's labelled documents,
+gives each document a posterior over all domains that any row has.  A word counts in the bucket of its hash.  A
+document then counts towards every domain by its posterior, and nonnegative rates are fitted so that the expected
+token total of each domain meets its target:
 
-    minimise  sum_d (T_d - t_d)^2 / (2 T_d(1)),   T_d(r) = sum_i r_i n_i p_id,   r >= floor
+    minimise  (T - t)' M^-1 (T - t) / 2,   T_d(r) = sum_i r_i n_i p_id,   r >= floor
+    M_de = sum_i n_i p_id p_ie + DAMP T_d(1) [d = e]
 
 by projected gradient steps, each of which is one aggregation over all documents.  In the metric that weighs
-document i by its n_i tokens the gradient is sum_d p_id (T_d - t_d) / T_d(1) and its Lipschitz constant is 1, so
-the step is 1.  A rate is a function of a document's posterior and the few numbers that each step has gathered;
-no table of rates is joined back.  Everything is built-in functions; the driver sees one row of domain
-totals for each step and the table of telling words.
-
-Behaviour: a null text is an empty one; a text without words has the prior as its posterior and weighs nothing; rows
-without a label take part in everything but the fit; without any label there is one domain, ``all``; a weight for a domain that no row has is an error; repeated rows get the
-same rate; an empty table gives no rows; extra columns are ignored.
+document i by its n_i tokens the gradient is sum_d p_id (M^-1 (T - t))_d and its Lipschitz constant is below 1, so
+the step is 1; where posteriors are sharp and no floor binds, the distance shrinks by 1 / DAMP a step.  A rate is a function of a document's posterior and the few numbers that each step has gathered;
+no table of rates is joined back.  Everything is built-in functions: a text is split once and each of its words
+looked up once a domain.  The driver sees one row of domain totals for each step and the table of bucket counts.
+
+Behaviour: a null text is an empty one; a text without words has the prior as its posterior and weighs nothing;
+rows without a label take part in everything but the fit; without any label there is one domain, ``all``; a weight
+for a domain that no row has is an error, and rates that still move after MOST_STEPS give a warning; of rows that share an
+id and a label, the least text is learned from, so the fit is the same in every run; repeated rows get the same
+rate; targets that the floor keeps out of reach show in the columns of totals; an empty table gives no rows; extra
+columns, whatever their names, are ignored, and kept as they are by ``mix``.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import Scratch
 
-#: Labelled documents of each domain to fit on at most, telling words for each domain, and by what their evidence is
-#: divided (words of one text are not independent).
-SAMPLE_EACH, WORDS_EACH, HEAT = 1000, 8, 4.0
-MOST_STEPS, TOLERANCE = 30, 1e-3
+#: Labelled documents of each domain to fit on at most, buckets that words are hashed to, what a bucket has been seen
+#: before any word, and by what the words' evidence is divided (words of one text are not independent).
+SAMPLE_EACH, BUCKETS, UNSEEN, HEAT = 1000, 4096, 0.5, 8.0
+MOST_STEPS, TOLERANCE, DAMP = 30, 1e-3, 0.1
 #: How far targets flatten the domains' shares.
 FLATTEN = 0.7
 
 
 @dataclass
 class Classifier:
-    """Domains with the logarithm of their prior and, for each telling word, its frequency in each."""
+    """Domains with the logarithm of their prior and, for each, that of every bucket's frequency."""
 
     domains: list[str]
     prior: list[float]
-    words: list[str]
-    frequency: list[list[float]]  # by word, then domain
+    frequency: list[list[float]]  # by domain, then bucket; none if no word was seen
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def fit_classifier(docs: DataFrame, label_col: str, each: int = SAMPLE_EACH) -> Classifier:
-    """Domains and priors are those of all labelled rows; words come from ``each`` documents of every domain at most."""
-    labelled = docs.where(F.col(label_col).isNotNull()).withColumn("domain", F.col(label_col).cast("string"))
+    """Domains and priors are those of all labelled rows; words come from ``each`` documents of every domain at most.
+
+    Documents are chosen by a hash of their ids, without reading texts; those without an id go by their text.
+    """
+    labelled = docs.where(F.col(label_col).isNotNull()).select("doc_id", "text", F.col(label_col).cast("string").alias("domain"))
     rows = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(rows)
     if not domains:
-        return Classifier(["all"], [0.0], [], [])
-    # by id, without reading texts; rows without an id go by their text
-    labelled = labelled.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text"))))
+        return Classifier(["all"], [0.0], [])
     by_id = labelled.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("key"), "domain")
-    keys = by_id.unionByName(labelled.where("doc_id is null").select("key", "domain"))
-    first = W.partitionBy("domain").orderBy(F.xxhash64("key"), "key")
-    sample = keys.withColumn("rank", F.dense_rank().over(first)).where(F.col("rank") <= each).select("key", "domain").distinct()
-    texts = labelled.where(F.col("text").isNotNull()).select("text", "key", "domain").join(F.broadcast(sample), ["key", "domain"], "inner").dropDuplicates(["key", "domain"])
-    words = texts.select("key", "domain", F.explode(F.split(F.trim("text"), r"\s+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("domain", "word").agg(F.count("*").alias("n"), F.count_distinct("key").alias("docs"))
-    counts = counts.withColumn("in_domain", F.sum("n").over(W.partitionBy("domain"))).withColumn("everywhere", F.sum("docs").over(W.partitionBy("word")))
-    best = W.partitionBy("domain").orderBy(F.desc("telling"), "word")
-    telling = (
-        counts.withColumn("telling", F.col("docs") * F.log(2 * F.col("docs") / F.col("everywhere")))
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= WORDS_EACH).select("word").distinct()
-    )
-    table = counts.join(F.broadcast(telling), "word").select("domain", "word", "n").collect()
-    sizes = {r["domain"]: (r["docs"], r["n"]) for r in words.groupBy("domain").agg(F.count_distinct("key").alias("docs"), F.count("*").alias("n")).collect()}
-    total, everything = sum(rows.values()), sum(n for _, n in sizes.values())
-    seen = {(r["word"], r["domain"]): r["n"] for r in table}
-    names = sorted({r["word"] for r in table})
-    common = {w: (sum(seen.get((w, d), 0) for d in domains) + 0.5) / (everything + 1) for w in names}
+    by_text = labelled.where("doc_id is null").select(F.concat(F.lit("t"), F.xxhash64("text")).alias("key"), "domain")
+    keys = by_id.unionByName(by_text).distinct()
+    # about twice as many as wanted pass this, however many there are; only those are ranked
+    some = keys.groupBy("domain").agg(F.least(F.lit(1.0), F.lit(2.0 * each) / F.count("*")).alias("part"))
+    chance = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    passed = keys.join(F.broadcast(some), "domain").where(chance < F.col("part"))
+    rank = F.row_number().over(W.partitionBy("domain").orderBy(F.xxhash64("key"), "key"))
+    sample = passed.withColumn("rank", rank).where(F.col("rank") <= each).select("key", "domain")
+    keyed = labelled.where("text is not null").withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text"))))
+    texts = keyed.join(F.broadcast(sample), ["key", "domain"]).groupBy("key", "domain").agg(F.min("text").alias("text"))
+    counts = texts.select("domain", F.explode(words(F.col("text"))).alias("word")).groupBy("domain", bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n")).collect()
+    seen = {d: [UNSEEN] * BUCKETS for d in domains}
+    for r in counts:
+        seen[r["domain"]][r["bucket"]] += r["n"]
+    everywhere = [sum(column) for column in zip(*seen.values(), strict=True)]
     # a domain whose sample has no words tells nothing: its frequencies are those of all
-    frequency = [[(seen.get((w, d), 0) + 0.5) / (sizes[d][1] + 1) if d in sizes else common[w] for d in domains] for w in names]
-    return Classifier(domains, [math.log(rows[d] / total) for d in domains], names, frequency)
+    told = {r["domain"] for r in counts}
+    frequency = []
+    for d in domains:
+        n = seen[d] if d in told else everywhere
+        whole = math.log(sum(n))
+        frequency.append([round(math.log(x) - whole, 3) for x in n])
+    total = sum(rows.values())
+    return Classifier(domains, [math.log(rows[d] / total) for d in domains], frequency if told else [])
 
 
-def with_posterior(docs: DataFrame, model: Classifier) -> DataFrame:
-    """Adds n_tokens and p_0, p_1, ... by domain.
+def with_posterior(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """(doc, n_tokens, p): each row of ``docs`` as a struct, its number of words and its posterior by domain."""
+    counted = docs.select(F.struct(*docs.columns).alias("doc"), F.transform(words(F.col(text_col)), bucket).alias("buckets"))
 
-    A word's count follows a Poisson law with its frequency in the domain times the document's words.
-    """
-    text = F.coalesce("text", F.lit(""))
-    plain = docs.withColumn("_text", F.concat(F.lit(" "), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(" "))).withColumn("n_tokens", n_words(text))
-    size = F.octet_length("_text")
-    counts = [((size - F.octet_length(F.replace(F.col("_text"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).alias(f"c_{k}") for k, w in enumerate(model.words)]
-    counted = plain.select(*docs.columns, "n_tokens", *counts)
-    logits = []
-    for d in range(len(model.domains)):
-        evidence: Column = F.col("n_tokens") * -sum(f[d] for f in model.frequency)
-        for k, f in enumerate(model.frequency):
-            evidence = evidence + F.col(f"c_{k}") * math.log(f[d])
-        logits.append((evidence / HEAT + model.prior[d]).alias(f"z_{d}"))
-    scored = counted.select(*docs.columns, "n_tokens", *logits)
-    top = F.greatest(*[F.col(f"z_{d}") for d in range(len(logits))]) if len(logits) > 1 else F.col("z_0")
-    raised = scored.withColumn("_top", top).select(*docs.columns, "n_tokens", *[F.exp(F.col(f"z_{d}") - F.col("_top")).alias(f"e_{d}") for d in range(len(logits))])
-    whole = sum((F.col(f"e_{d}") for d in range(1, len(logits))), F.col("e_0"))
-    return raised.withColumn("_all", whole).select(*docs.columns, "n_tokens", *[(F.col(f"e_{d}") / F.col("_all")).alias(f"p_{d}") for d in range(len(logits))])
+    def evidence(frequency: list[float]) -> Column:
+        table = F.split(F.lit(",".join(map(str, frequency))), ",").cast("array<double>")  # folded to a constant
+        return F.aggregate("buckets", F.lit(0.0), lambda z, b: z + F.get(table, b)) / HEAT
+
+    logits = [F.lit(z) for z in model.prior]
+    for d, f in enumerate(model.frequency):
+        logits[d] = logits[d] + evidence(f)
+    scored = counted.select("doc", F.size("buckets").cast("long").alias("n_tokens"), F.array(*logits).alias("z"))
+    raised = scored.select("doc", "n_tokens", F.transform("z", lambda z: F.exp(z - F.array_max("z"))).alias("e"))
+    whole = F.aggregate("e", F.lit(0.0), lambda a, e: a + e)
+    return raised.withColumn("sum", whole).select("doc", "n_tokens", F.transform("e", lambda e: e / F.col("sum")).alias("p"))
 
 
 @dataclass
 class Rates:
-    """The steps taken: what each took off a document's rate for each part of its posterior."""
+    """The steps taken: what each took off a document's rate for each part of its posterior; totals then, and wanted."""
 
     steps: list[list[float]]
     floor: float
+    total: list[float]
+    target: list[float]
 
     def column(self) -> Column:
         rate: Column = F.lit(1.0)
         for step in self.steps:
-            off = sum((F.col(f"p_{d}") * c for d, c in enumerate(step)), F.lit(0.0))
+            off = sum((F.col("p")[d] * c for d, c in enumerate(step)), F.lit(0.0))
             rate = F.greatest(F.lit(self.floor), rate - off)
         return rate
 
 
 def totals(posterior: DataFrame, domains: int, rate: Column) -> list[float]:
-    parts = posterior.withColumn("_w", rate * F.col("n_tokens"))
-    row = parts.agg(*[F.sum(F.col("_w") * F.col(f"p_{d}")) for d in range(domains)]).first()
+    parts = posterior.select("p", (rate * F.col("n_tokens")).alias("w"))
+    row = parts.agg(*[F.sum(F.col("w") * F.col("p")[d]) for d in range(domains)]).first()
     return [float(x or 0.0) for x in row]
 
 
+def metric(posterior: DataFrame, have: list[float]) -> np.ndarray:
+    """The inverse of M; a group of the aggregation is a row of the sums of products."""
+    k = range(len(have))
+    each = posterior.select("p", "n_tokens", F.explode(F.array(*map(F.lit, k))).alias("d"))
+    rows = each.groupBy("d").agg(*[F.sum(F.col("n_tokens") * F.col("p")[F.col("d")] * F.col("p")[e]) for e in k]).collect()
+    products = np.zeros((len(have), len(have)))
+    for r in rows:
+        products[r["d"]] = [x or 0.0 for x in r[1:]]
+    return np.linalg.inv(products + np.diag(DAMP * np.array(have) + 1e-9))
+
+
 def flattened_targets(have: list[float], cover: bool) -> list[float]:
     """Shares raised to FLATTEN, of as many tokens as there are; ``cover``: of so many that no domain shrinks."""
     shares = [x**FLATTEN for x in have]
@@ -135,6 +156,10 @@ def flattened_targets(have: list[float], cover: bool) -> list[float]:
     return [budget * s / whole for s in shares]
 
 
+def apart(a: list[float], b: list[float], target: list[float]) -> float:
+    return max((abs(x - y) / max(t, 1.0) for x, y, t in zip(a, b, target, strict=True)), default=0.0)
+
+
 def fit_rates(posterior: DataFrame, domains: list[str], weights: dict[str, float] | None = None, cover: bool = False, floor: float = 0.0) -> Rates:
     """Projected gradient until every domain's total is within TOLERANCE of its target, or no longer moves."""
     have = totals(posterior, len(domains), F.lit(1.0))
@@ -145,33 +170,39 @@ def fit_rates(posterior: DataFrame, domains: list[str], weights: dict[str, float
         target = [sum(have) * weights.get(d, 0.0) / whole for d in domains]
     else:
         target = flattened_targets(have, cover)
-    rates, now = Rates([], floor), have
-    for _ in range(MOST_STEPS):
-        if max((abs(a - t) / max(t, 1.0) for a, t in zip(now, target, strict=True)), default=0.0) <= TOLERANCE:
+    rates, inverse = Rates([], floor, have, target), None
+    while apart(rates.total, target, target) > TOLERANCE:
+        if len(rates.steps) == MOST_STEPS:
+            warnings.warn(f"rates still move after {MOST_STEPS} steps: totals {rates.total} for targets {target}", stacklevel=2)
             break
-        rates.steps.append([(a - t) / h if h else 0.0 for a, t, h in zip(now, target, have, strict=True)])
-        last, now = now, totals(posterior, len(domains), rates.column())
-        if max((abs(a - b) / max(t, 1.0) for a, b, t in zip(now, last, target, strict=True)), default=0.0) <= TOLERANCE / 10:
+        inverse = metric(posterior, have) if inverse is None else inverse
+        rates.steps.append((inverse @ np.subtract(rates.total, target)).tolist())
+        last, rates.total = rates.total, totals(posterior, len(domains), rates.column())
+        if apart(rates.total, last, target) <= TOLERANCE / 10:
             break  # the floor keeps the targets out of reach
     return rates
 
 
-def copies(rate: Column, *ids: str) -> Column:
+def copies(rate: Column, *ids: Column) -> Column:
     """A rate as a whole number of copies: the fraction decides by a hash of the row, the same in every run."""
     part = F.pmod(F.xxhash64(*ids, F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, label_col: str = "lang", weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), membership (its posterior), rate, copies of every document."""
+    """doc_id, n_tokens, domain (the likeliest), membership (its posterior), rate, copies of every document, and the
+    expected tokens of its domain over all documents at these rates, and those wanted."""
     model = fit_classifier(docs, label_col)
-    k = range(len(model.domains))
-    posterior = Scratch(spark, "mixing").save(with_posterior(docs.select("doc_id", "text"), model).drop("text"), "posterior")
+    posterior = with_posterior(docs.select("doc_id", "text"), model).select("doc.doc_id", "n_tokens", "p")
+    posterior = Scratch(spark, "mixing").save(posterior, "posterior")
     rates = fit_rates(posterior, model.domains, weights)
-    best = F.greatest(*[F.col(f"p_{d}") for d in k]) if len(k) > 1 else F.col("p_0")
-    domain = F.coalesce(*[F.when(F.col(f"p_{d}") == F.col("membership"), F.lit(model.domains[d])) for d in k])
-    out = posterior.withColumn("rate", rates.column()).withColumn("membership", best).withColumn("domain", domain)
-    return out.select("doc_id", "n_tokens", "domain", "membership", "rate", copies(F.col("rate"), "doc_id").alias("copies"))
+    best = F.array_position("p", F.array_max("p")).cast("int") - 1
+    pick = lambda values: F.array(*map(F.lit, values))[F.col("best")]
+    out = posterior.withColumn("best", best).withColumn("rate", rates.column())
+    return out.select(
+        "doc_id", "n_tokens", pick(model.domains).alias("domain"), F.array_max("p").alias("membership"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        pick(rates.total).alias("domain_tokens"), pick(rates.target).alias("domain_target"),
+    )
 
 
 def mix(spark: SparkSession, docs: DataFrame, label_col: str = "lang", cover: bool = True) -> DataFrame:
@@ -179,5 +210,5 @@ def mix(spark: SparkSession, docs: DataFrame, label_col: str = "lang", cover: bo
     model = fit_classifier(docs, label_col)
     posterior = Scratch(spark, "mixing").save(with_posterior(docs, model), "posterior")
     rates = fit_rates(posterior, model.domains, cover=cover, floor=1.0 if cover else 0.0)
-    rated = posterior.withColumn("_copies", copies(rates.column(), "doc_id", "text"))
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    times = copies(rates.column(), F.col("doc.doc_id"), F.col("doc.text"))
+    return posterior.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")
