@@ -1,13 +1,14 @@
-"""SimHash near-duplicates through vantage-point partitions.
-
-Fingerprints at most three bits apart differ in at most one bit in one of their two halves.  Each half gets a
-vantage-point tree of its own whose level i measures the Hamming distance to vantage point i; the path of
-distances names a leaf, and a leaf is a shard.  Distances to a vantage point of two fingerprints that are one
-bit apart differ by exactly one, so a fingerprint is sent as a query only to leaves whose distances its own
-ball of radius one can reach (the overlap at the boundary), and every close pair meets in a shard.  Inside a
-shard, candidates are compared over all 64 bits; a shard too large for that is split again by vantage points,
-with branches pruned by the triangle bound.  A shard gives back a spanning forest of its links, never all
-pairs, and connected components finish the job.
+"""SimHash near-duplicates by vantage-point trees.
+
+Fingerprints at most three bits apart differ in at most one bit in one of their two halves.  So each half has a
+vantage-point tree with balls of radius one.  A node has a point of its own, drawn from its path, and a radius: the
+median of the distances of a bounded sample at that node, or the middle of the space below what the sample reaches.
+Fingerprints within the radius go to the inner branch, others to the outer one.  Beyond its home a fingerprint
+visits, as a guest, each other branch that its ball reaches by the triangle bound; of two homes on either side of
+a boundary only the inner one asks.  Leaves are the shards: guests and homes are compared over all 64 bits.  The
+tree grows with the number of fingerprints, without a limit of its depth; a leaf that stays large is dealt into blocks
+that meet in several tasks, and inside a task branches of a large block are pruned by the triangle bound.  A task
+gives back a spanning forest of its links, never all pairs, and connected components finish the job.
 
 Copies collapse first: a fingerprint takes part once, with the smallest id that has it.
 
@@ -18,9 +19,9 @@ node; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,12 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Hamming distance up to which fingerprints link.
 RADIUS = 3
-#: Pairs that one comparison holds in memory, and fingerprints to aim for in a leaf.
-BLOCK_PAIRS, LEAF_ROWS = 1 << 21, 48
+#: Pairs that one comparison holds in memory; fingerprints to aim for in a leaf; those of a larger leaf in a block.
+BLOCK_PAIRS, LEAF_ROWS, BLOCK_ROWS = 1 << 21, 1024, 16_384
+#: Fingerprints that radii are measured on, about; the fewest that a median is taken of; the radius without one.
+SAMPLE_ROWS, LEAST_SAMPLE, MIDDLE = 1 << 16, 32, 16
+#: The depth from which visiting by the triangle bound costs more than following each member of a ball.
+DEEP = 14
 #: A step takes so many shingles at once, so that a very long text stays small.
 STEP = 1 << 14
 
@@ -83,43 +88,108 @@ def with_fingerprint(docs: DataFrame, keep: str) -> DataFrame:
     return map_texts(docs.select(*names), f"{keep}, fingerprint string", start)
 
 
-def vantage_points(levels: int) -> np.ndarray:
-    return np.random.default_rng(64).integers(0, 1 << 32, size=(2, levels), dtype=np.uint64)
-
-
-def _leaf(halves: np.ndarray, points: np.ndarray) -> np.ndarray:
-    key = np.zeros(halves.shape, dtype=np.int64)
-    for p in points:
-        key = key * 33 + np.bitwise_count(halves ^ p).astype(np.int64)
-    return key
-
-
-def to_leaves(batches: Iterator[pd.DataFrame], levels: int) -> Iterator[pd.DataFrame]:
-    """A row at home and one for each leaf at the boundary that it must query, for both halves.
-
-    Of two fingerprints one bit apart in a half, the one that lacks the bit asks.
-    """
-    points = vantage_points(levels)
-    flips = np.uint64(1) << np.arange(32, dtype=np.uint64)
+def vantage_points(paths: np.ndarray) -> np.ndarray:
+    """A point of 32 bits for each node, mixed from its path (1 for a root; then 2p inside and 2p + 1 outside)."""
+    x = paths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
+
+
+@dataclass
+class Tree:
+    """Radii by path, sorted, of nodes that the sample reaches; -1 for a leaf.  Others split at MIDDLE down to ``depth``."""
+
+    depth: int
+    paths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    radii: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def radius(self, paths: np.ndarray, level: int) -> np.ndarray:
+        out = np.full(len(paths), MIDDLE if level < self.depth else -1, dtype=np.int64)
+        if len(self.paths):
+            at = np.minimum(np.searchsorted(self.paths, paths), len(self.paths) - 1)
+            known = self.paths[at] == paths
+            out[known] = self.radii[at[known]]
+        return out
+
+    def visits(self, values: np.ndarray, guests: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home) of every leaf that each value's home or ball of radius one is in.
+
+        By the triangle bound a ball visits more branches on every level.  From DEEP levels on, the at most 32
+        members of the ball are followed one by one instead: those with a bit that the value lacks.
+        """
+        if guests and self.depth > DEEP:
+            own = self.visits(values, guests=False)
+            bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
+            row, bit = np.nonzero((values[:, None] & bits) == 0)
+            member, leaf, _ = self.visits(values[row] | bits[bit], guests=False)
+            home = np.empty(len(values), np.int64)
+            home[own[0]] = own[1]
+            asked = np.unique(np.stack([row[member], leaf])[:, leaf != home[row[member]]], axis=1)
+            return np.concatenate([own[0], asked[0]]), np.concatenate([own[1], asked[1]]), np.concatenate([own[2], np.zeros(asked.shape[1], bool)])
+        row, path, home = np.arange(len(values)), np.ones(len(values), np.int64), np.ones(len(values), bool)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for level in range(self.depth + 1):
+            r = self.radius(path, level)
+            ends = r < 0
+            done.append((row[ends], path[ends], home[ends]))
+            row, path, home, r = row[~ends], path[~ends], home[~ends], r[~ends]
+            d = np.bitwise_count(values[row] ^ vantage_points(path)).astype(np.int64)
+            # a home asks outside if its ball reaches there; a guest goes wherever its ball reaches
+            inner = np.where(home, d <= r, d <= r + 1)
+            outer = np.where(home, d > r, d >= r)
+            asks = home & (d == r) & guests
+            row = np.concatenate([row[inner], row[outer], row[asks]])
+            path = np.concatenate([path[inner] * 2, path[outer] * 2 + 1, path[asks] * 2 + 1])
+            home = np.concatenate([home[inner], home[outer], np.zeros(asks.sum(), bool)])
+        row, path, home = (np.concatenate(x) for x in zip(*done, strict=True))
+        return row, path, home
+
+
+def half_of(fp: np.ndarray, half: int) -> np.ndarray:
+    return fp >> np.uint64(32) if half else fp & np.uint64(0xFFFFFFFF)
+
+
+def plant(sample: np.ndarray, distinct: int, leaf_rows: int = LEAF_ROWS) -> list[Tree]:
+    """Both halves' trees for ``distinct`` fingerprints, with radii measured on a sample of them."""
+    depth = max(0, int(distinct / leaf_rows).bit_length()) + 1
+    each = distinct / max(1, len(sample))
+    trees = []
+    for half in (0, 1):
+        values, path = half_of(sample, half), np.ones(len(sample), np.int64)
+        paths, radii = [], []
+        for _ in range(depth):
+            order = np.argsort(path, kind="stable")
+            nodes, first, n = np.unique(path[order], return_index=True, return_counts=True)
+            d = np.bitwise_count(values ^ vantage_points(path)).astype(np.int64)
+            radius = np.full(len(nodes), MIDDLE)
+            for i, (at, size) in enumerate(zip(first, n, strict=True)):
+                if size * each <= leaf_rows and (each == 1 or size >= LEAST_SAMPLE / 4):
+                    radius[i] = -1
+                elif size >= LEAST_SAMPLE:
+                    # the cut nearest to halves
+                    radius[i] = int(np.median(d[order[at : at + size]]))
+            known = (n >= LEAST_SAMPLE) | (radius < 0)
+            paths.append(nodes[known])
+            radii.append(radius[known])
+            r = radius[np.searchsorted(nodes, path)]
+            keep = r >= 0
+            values, path, d, r = values[keep], path[keep], d[keep], r[keep]
+            path = path * 2 + (d > r)
+        p, r = np.concatenate(paths), np.concatenate(radii)
+        order = np.argsort(p)
+        trees.append(Tree(depth, p[order].astype(np.int64), r[order].astype(np.int64)))
+    return trees
+
+
+def to_leaves(batches: Iterator[pd.DataFrame], trees: list[Tree], guests: bool = True) -> Iterator[pd.DataFrame]:
+    """A row for the home of each fingerprint and one for each leaf where it is a guest, in both trees."""
     for pdf in batches:
         for at in range(0, len(pdf), 4096):
             part = pdf.iloc[at : at + 4096]
             fp, doc = part["fp"].to_numpy().astype(np.uint64), part["doc"].to_numpy()
-            for half in (0, 1):
-                value = fp >> np.uint64(32) if half else fp & np.uint64(0xFFFFFFFF)
-                home = _leaf(value, points[half])
-                asked = np.where(value[:, None] & flips == 0, _leaf(value[:, None] | flips, points[half]), -1)
-                asked[asked == home[:, None]] = -1
-                asked.sort(axis=1)
-                asked[:, 1:][asked[:, 1:] == asked[:, :-1]] = -1
-                row, col = np.nonzero(asked >= 0)
-                yield pd.DataFrame({
-                    "half": np.int32(half),
-                    "leaf": np.concatenate([home, asked[row, col]]),
-                    "fp": np.concatenate([fp, fp[row]]).astype(np.int64),
-                    "doc": np.concatenate([doc, doc[row]]),
-                    "home": np.concatenate([np.ones(len(fp), bool), np.zeros(len(row), bool)]),
-                })
+            for half, tree in enumerate(trees):
+                row, leaf, home = tree.visits(half_of(fp, half), guests)
+                yield pd.DataFrame({"half": np.int32(half), "leaf": leaf, "fp": fp[row].astype(np.int64), "doc": doc[row], "home": home})
 
 
 class Forest:
@@ -167,20 +237,36 @@ def link_within(fp: np.ndarray, a: np.ndarray, b: np.ndarray, forest: Forest) ->
 
 
 def link_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(a, b) of a spanning forest for each leaf, whose rows come one after the other."""
-    for leaf in grouped(batches, ["half", "leaf"]):
-        if len(leaf) < 2:
-            continue
-        fp, doc, home = leaf["fp"].to_numpy().astype(np.uint64), leaf["doc"].to_numpy(), leaf["home"].to_numpy()
-        own = np.flatnonzero(home)
-        if not len(own):
+    """(a, b) of a spanning forest for each shard: rows that ask, then homes that answer, of one leaf or two of its blocks."""
+    for leaf in grouped(batches, ["half", "leaf", "one", "two"]):
+        answers = leaf["answers"].to_numpy()
+        if len(leaf) < 2 or not answers.any():
             continue
+        fp, doc = leaf["fp"].to_numpy().astype(np.uint64), leaf["doc"].to_numpy()
         forest = Forest(len(fp))
-        link_within(fp, np.arange(len(fp)), own, forest)
-        heads = np.array([forest.find(i) for i in np.flatnonzero(forest.root != np.arange(len(fp)))], dtype=np.int64)
+        link_within(fp, np.flatnonzero(leaf["asks"].to_numpy()), np.flatnonzero(answers), forest)
         tails = np.flatnonzero(forest.root != np.arange(len(fp)))
         if len(tails):
-            yield pd.DataFrame({"a": doc[tails], "b": doc[heads]})
+            a, b = doc[tails], doc[[forest.find(i) for i in tails]]
+            yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+
+def shards(placed: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of ``placed`` by shard (half, leaf, one, two): a leaf as a whole, or block ``one`` asking block ``two``.
+
+    ``large`` has the number of blocks of each leaf that is too large for one task.  There every row asks each block
+    and every home answers each, so no task has more than two blocks.
+    """
+    block, every, answers = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1), F.col("home")
+    role = lambda one, two, asks, answers: F.struct(one.alias("one"), two.alias("two"), asks.alias("asks"), answers.alias("answers"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    # of two blocks of homes the earlier one asks; guests ask all
+    ask = F.transform(F.filter(every, lambda o: ~answers | (block <= o)), lambda o: role(block, o, yes, no))
+    answer = F.transform(F.filter(every, lambda o: answers), lambda o: role(o, block, no, yes))
+    meets = F.when(F.col("blocks") == 1, F.array(role(zero, zero, yes, answers))).otherwise(F.concat(ask, answer))
+    dealt = placed.join(large, ["half", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).select("half", "leaf", "fp", "doc", F.explode(meets).alias("m"))
+    return dealt.select("half", "leaf", "m.one", "m.two", "fp", "doc", "m.asks", "m.answers")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,14 +274,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     scratch = Scratch(spark, "simhash")
     marked = scratch.save(fingerprints(docs, id_col, text_col), "fingerprints")
     groups = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "groups")
-    nodes = groups.where("doc is not null")
+    nodes = groups.where("doc is not null").select("fp", "doc")
     distinct = nodes.count()
-    levels = min(8, max(1, math.ceil(math.log(max(1, distinct / LEAF_ROWS), 5))))
-    leaves = nodes.select("fp", "doc").repartition(partitions(spark)).mapInPandas(
-        lambda it: to_leaves(it, levels), "half int, leaf long, fp long, doc long, home boolean"
-    )
-    placed = leaves.repartition(partitions(spark), "half", "leaf").sortWithinPartitions("half", "leaf")
-    reached = components(scratch, placed.mapInPandas(link_leaves, "a long, b long"))
+    one_in = max(1, distinct // SAMPLE_ROWS)
+    sample = nodes.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(one_in)) == 0).select("fp").toPandas()["fp"]
+    trees = spark.sparkContext.broadcast(plant(sample.to_numpy().astype(np.int64).astype(np.uint64), distinct))
+    schema = "half int, leaf long, fp long, doc long, home boolean"
+    even = nodes.repartition(partitions(spark))
+    homes = even.mapInPandas(lambda it: to_leaves(it, trees.value, guests=False), schema)
+    sizes = homes.groupBy("half", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_ROWS)
+    # written, so that the planner knows its size
+    large = scratch.save(sizes.select("half", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "large")
+    placed = even.mapInPandas(lambda it: to_leaves(it, trees.value), schema)
+    keys = ["half", "leaf", "one", "two"]
+    dealt = shards(placed, large).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    reached = components(scratch, dealt.mapInPandas(link_leaves, "a long, b long"))
     named = groups.join(reached.withColumnRenamed("node", "doc"), "doc", "left").select(
         "fp", "n", F.coalesce("component", "doc").alias("component_id")
     )
