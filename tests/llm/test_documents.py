@@ -1,6 +1,7 @@
 """Operators over documents: edge cases of every kind, and comparison with brute force on a small fixture."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,8 +11,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from stratalog.llm import bpe, mixing, multiset, pii, quality, sharding, simhash, toxicity
+from stratalog.llm.labelled import labelled_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string, component string, n long"
 
@@ -87,38 +90,70 @@ def test_simhash_components(spark, docs, texts):
         assert got[i]["component_id"] == want[i]
 
 
-def test_simhash_chains_and_dense_balls():
+def test_simhash_chains_and_dense_balls(monkeypatch):
     """Fingerprints that chain, and one ball of many near ones, link as brute force says."""
     import pandas as pd
 
     r = random.Random(9)
     base = r.getrandbits(64)
-    fps = [base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(500)]
+    fps = [base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(200)]
     x = r.getrandbits(64)
-    for _ in range(300):
+    for _ in range(120):
         x ^= (1 << r.randrange(64)) | (1 << r.randrange(64))
         fps.append(x)
-    fps = sorted({*fps, *(r.getrandbits(64) for _ in range(500))})
+    fps = sorted({*fps, *(r.getrandbits(64) for _ in range(200))})
     docs = pd.DataFrame({"fp": np.array(fps, dtype=np.uint64).astype(np.int64), "doc": range(len(fps))})
-    for levels in (1, 3):
-        leaves = pd.concat(simhash.to_leaves(iter([docs]), levels)).sort_values(["half", "leaf"])
-        root = {i: i for i in range(len(fps))}
-
-        def find(i, root=root):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for out in simhash.link_leaves(iter([leaves])):
-            for a, b in zip(out["a"], out["b"], strict=True):
-                assert (a == b) is False
-                root[max(find(a), find(b))] = min(find(a), find(b))
-        got = {i: find(i) for i in root}
-        low = {}
-        for i, c in got.items():
-            low[c] = min(i, low.get(c, i))
-        want = brute_components(fps, list(range(len(fps))))
-        assert {i: low[c] for i, c in got.items()} == want
+    want = brute_components(fps, list(range(len(fps))))
+    for leaf_rows in (1 << 20, 32, 8):
+        trees = simhash.plant(np.array(fps, dtype=np.uint64), len(fps), leaf_rows)
+        for deep in (99, 0):
+            monkeypatch.setattr(simhash, "DEEP", deep)
+            leaves = pd.concat(simhash.to_leaves(iter([docs]), trees)).assign(one=0, two=0, asks=True).rename(columns={"home": "answers"})
+            root = {i: i for i in range(len(fps))}
+
+            def find(i, root=root):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for out in simhash.link_leaves(iter([leaves.sort_values(["half", "leaf"])])):
+                for a, b in zip(out["a"], out["b"], strict=True):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+            got = {i: find(i) for i in root}
+            low = {}
+            for i, c in got.items():
+                low[c] = min(i, low.get(c, i))
+            assert {i: low[c] for i, c in got.items()} == want
+            assert len(leaves) < (2 + 32) * len(docs)
+
+
+def test_tree_visits_reach_every_neighbour(monkeypatch):
+    """Values one bit apart share a leaf in which one of them is at home; a tree whose sample is thin splits on."""
+    r = np.random.default_rng(6)
+    values = r.integers(0, 1 << 32, 400, dtype=np.uint64)
+    values = np.concatenate([values, values ^ (np.uint64(1) << r.integers(0, 32, 400, dtype=np.uint64)), values[:50]])
+    near = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if int(values[i] ^ values[j]).bit_count() <= 1]
+    for sample, distinct in ((values, len(values)), (values[:100], 5000), (values[:0], 100)):
+        tree = simhash.plant(sample, distinct, 16)[0]
+        for deep in (99, 0):
+            monkeypatch.setattr(simhash, "DEEP", deep)
+            row, leaf, home = tree.visits(values)
+            at = [set(leaf[row == i]) for i in range(len(values))]
+            own = [set(leaf[(row == i) & home]) for i in range(len(values))]
+            assert all(len(x) == 1 for x in own)
+            assert all(own[i] & at[j] or own[j] & at[i] for i, j in near)
+
+
+def test_large_leaves_are_dealt_into_blocks(spark, monkeypatch):
+    """One leaf of three blocks gives the same components as brute force."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 1 << 20)
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(60)]
+    base = [r.choice(words) for _ in range(120)]
+    rows = [" ".join([*base[:k], r.choice(words), *base[k + 1 :]]) for k in range(110)] + [" ".join(r.choice(words) for _ in range(50)) for _ in range(40)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark, make(spark, rows)).collect()}
+    assert got == brute_components([brute_fingerprint(t) for t in rows], list(range(len(rows))))
 
 
 def test_multiset_fingerprints(spark, docs, texts):
@@ -145,6 +180,34 @@ def test_multiset_hash_is_homomorphic():
     assert multiset.MultisetHash.from_hex(h.hex()).likeness(h) == 1
 
 
+def test_likeness_of_long_repetitive_texts():
+    of = multiset.MultisetHash.of
+    assert of("word " * 65_538).likeness(of("word " * 64_002)) > 0.999
+    assert of("word " * 70_000).likeness(of("word " * 66_000)) > 0.99
+    assert 0.9 < of("one two three\n" * 65_536).likeness(of("one two three\n" * 44_000)) < 0.95
+    assert of("one two three\n" * 65_536).likeness(of("four five six\n" * 65_536)) < 0.3
+
+
+def test_next_documents_with_frequent_and_missing_ids(spark):
+    """One id, and none, fill several buckets; the next document is that of the order by id, hash and text."""
+    r = random.Random(14)
+    ids = [r.choice([5, 5, 5, None, None, r.randrange(100)]) for _ in range(600)]
+    rows = [(i, f"text {r.randrange(10**6)} of some words {k}") for k, i in enumerate(ids)] + [(5, "same"), (5, "same"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fingerprint string, tie int")
+    tie = {x["text"]: x["tie"] for x in docs.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]], x[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(order):
+        text, after = t or "", order[(k + 1) % len(order)][1] or ""
+        changed = multiset.edited(text, after)
+        of = multiset.MultisetHash.of
+        want.append((i or -1, len(text), hashlib.sha256(changed.encode()).hexdigest(), round(of(text).likeness(of(changed)), 9), round(of(text).likeness(of(after)), 9)))
+    got = [(x["doc_id"] or -1, x["n_chars"], x["edited_sha256"], round(x["near_edited"], 9), round(x["near_next"], 9)) for x in multiset.fingerprint_documents(spark, docs).collect()]
+    assert sorted(got) == sorted(want)
+    buckets = multiset.Buckets.of([5.0, 5.0, 5.0, 9.0], 200, 50)
+    assert buckets.cuts.tolist() == [4, 5, 9] and buckets.pieces.tolist() == [1, 1, 3, 1, 4]
+
+
 def brute_spans(text):
     forms = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     good = (
@@ -241,6 +304,30 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert {r["score"] for r in toxicity.score_documents(spark, docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_one_id_repeated_is_one_labelled_document(spark):
+    docs, labels = labelled(spark, 60)
+    many = docs.unionByName(spark.range(3000).select(*[F.lit(x).cast(t).alias(c) for (c, t), x in zip(docs.dtypes, (4, "zzz", "en", "s", 3, 0.5, "x", "y", 1), strict=True)]))
+    plain, _ = labelled_texts(docs, labels, "quality", 500, False)
+    repeated, _ = labelled_texts(many, labels.unionByName(labels), "quality", 500, False)
+    assert plain == repeated
+    assert quality.score_documents(spark, many, labels).count() == many.count()
+
+
+def test_quality_pools_words_only():
+    """Two texts of the same words in the same order pool alike; order and repetition show; steps change nothing."""
+    pooler = quality.Pooler(quality.train_vectors(["one two three four five"] * 4 + ["six seven one two"] * 3))
+    assert np.allclose(pooler.pool("one two  three"), pooler.pool("one\ntwo three"))
+    assert not np.allclose(pooler.pool("one two one two"), pooler.pool("one one two two"))
+    assert not pooler.pool("").any() and not pooler.pool(" \n").any()
+    text = " ".join(f"w{i % 700} one two" for i in range(15_000))
+    whole = pooler.pool(text)
+    quality.STEP, old = 1000, quality.STEP
+    try:
+        assert np.allclose(pooler.pool(text), whole, atol=1e-4)
+    finally:
+        quality.STEP = old
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -281,16 +368,52 @@ def test_mixing_steps_match_numpy(spark):
     model = mixing.fit_classifier(docs, "lang")
     post = mixing.with_posterior(docs, model).cache()
     rates = mixing.fit_rates(post, model.domains, {"one": 0.3, "two": 0.7})
-    got = np.array([x["rate"] for x in post.withColumn("rate", rates.column()).orderBy("doc_id").collect()])
-    rows = post.orderBy("doc_id").collect()
-    p, n = np.array([[x["p_0"], x["p_1"]] for x in rows]), np.array([x["n_tokens"] for x in rows])
+    got = np.array([x["rate"] for x in post.withColumn("rate", rates.column()).orderBy("doc.doc_id").collect()])
+    rows = post.orderBy("doc.doc_id").collect()
+    p, n = np.array([x["p"] for x in rows]), np.array([x["n_tokens"] for x in rows])
     have = n @ p
     target, r = have.sum() * np.array([0.3, 0.7]), np.ones(60)
+    gram = (p * n[:, None]).T @ p + mixing.DAMP * np.diag(have)
     for _ in rates.steps:
-        r = np.maximum(0, r - p @ (((r * n) @ p - target) / have))
+        r = np.maximum(0, r - p @ np.linalg.solve(gram, (r * n) @ p - target))
+    assert np.allclose(rates.total, (r * n) @ p)
     assert np.allclose(got, r) and np.allclose((r * n) @ p, target, rtol=2e-3)
 
 
+def test_posterior_equals_numpy(spark):
+    """Counts are exact (words side by side, any white space) and the posterior is that of multinomial naive Bayes."""
+    texts = ["a a a", "a\ta\r\nb  a", "b b b c", "", None, "c a b " * 2000]
+    docs = spark.createDataFrame([(i, t, ("one", "two")[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = mixing.fit_classifier(docs, "lang")
+    place = {x["w"]: x["b"] for x in spark.createDataFrame([("a",), ("b",), ("c",)], "w string").select("w", mixing.bucket(F.col("w")).alias("b")).collect()}
+    n = np.full((2, mixing.BUCKETS), mixing.UNSEEN)
+    for i, t in enumerate(texts):
+        for w in (t or "").split():
+            n[i % 2, place[w]] += 1
+    frequency = np.log(n / n.sum(1, keepdims=True))
+    assert np.abs(np.array(model.frequency) - frequency).max() <= 5.1e-4 and np.allclose(model.prior, np.log(0.5))
+    for x in mixing.with_posterior(docs, model).collect():
+        words = (x["doc"]["text"] or "").split()
+        z = np.array(model.prior) + sum((np.array(model.frequency)[:, place[w]] for w in words), np.zeros(2)) / mixing.HEAT
+        e = np.exp(z - z.max())
+        assert x["n_tokens"] == len(words) and np.allclose(x["p"], e / e.sum())
+
+
+def test_mixing_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(7, f"lorem w{i % 40} " * 20, "one") for i in range(4000)] + [(8, "foo bar " * 20, "two")] * 1000 + [(None, "foo", None), (9, None, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_tokens", F.lit(1)).withColumn("p", F.lit(2)).withColumn("doc", F.lit(3)).withColumn("rank", F.lit(4))
+    models = [mixing.fit_classifier(d, "lang") for d in (docs, docs.orderBy(F.desc("text")))]
+    assert models[0] == models[1]
+    words = sum(math.exp(x) for x in models[0].frequency[0])
+    assert abs(words - 1) < 0.01
+    mixed = mixing.mix(spark, docs)
+    assert mixed.columns == docs.columns and mixed.count() >= len(rows)
+    out = mixing.mixing_rates(spark, docs)
+    assert out.count() == len(rows)
+    assert {round(x["domain_target"] / x["domain_tokens"], 2) for x in out.collect()} == {1.0}
+    assert mixing.mix(spark, docs.limit(0)).collect() == []
+
+
 def test_whole_automaton_equals_full_edit_distance():
     r = random.Random(18)
     terms = [toxicity.Term("abcab", False, 1), toxicity.Term("bcabcabca", False, 2), toxicity.Term("cab", False, 0)]
@@ -364,8 +487,11 @@ def test_rare_domains_have_targets_and_unknown_weights_fail(spark):
     with pytest.raises(ValueError, match="none"):
         mixing.mixing_rates(spark, docs, weights={"big": 0.5, "none": 0.5})
     more = [(None, "lorem", "big"), (9000, None, "mute"), (None, "uno dos", "idless"), (None, "uno tres", "idless")]
-    model = mixing.fit_classifier(docs.unionByName(spark.createDataFrame(more, docs.schema)), "lang")
-    assert model.domains == ["big", "idless", "mute", "rare"] and {"uno", "dos", "tres"} <= set(model.words)
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    model = mixing.fit_classifier(docs, "lang")
+    assert model.domains == ["big", "idless", "mute", "rare"]
+    uno = mixing.with_posterior(docs.where("lang = 'idless'"), model).select("p").collect()
+    assert all(x["p"][1] > 1.5 * math.exp(model.prior[1]) for x in uno)
 
 
 def test_texts_under_one_id_survive_near_copies(spark):
@@ -380,3 +506,19 @@ def test_texts_under_one_id_survive_near_copies(spark):
     docs = docs.where("doc_id is null or doc_id <> 3")
     got = sorted((x["doc_id"] or 0, x["text"]) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == sorted([(0, one), (5, one), (5, two), (9, three)])
+
+
+def test_quotes_and_reporting_words():
+    assert toxicity.quoted_spans('a "b" c “d “e” f\n" open „x“') == [(2, 5), (8, 14), (24, 27)]
+    text = "“" * 200_000 + " wretch"
+    assert toxicity.quoted_spans(text) == []
+    found = [(0, w) for w in "you wretch as they said of it".split()]
+    assert toxicity.told(found, 1) and not toxicity.told(found[:4], 1)
+
+
+def test_terms_need_more_than_chance():
+    assert toxicity.one_sided(3, 0, 0.5) == 0.125 and toxicity.one_sided(2, 1, 0.5) == 0.5
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(10)) + (" wretch" if i % 2 and i % 6 else "") for i in range(600)]
+    assert [t.text for t in toxicity.learn_terms(texts, [i % 2 for i in range(600)])] == ["wretch"]

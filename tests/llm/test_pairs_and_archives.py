@@ -82,19 +82,24 @@ def test_archive_stores_once_and_rebuilds_records(spark, pages):
     headers, payloads = warc.write_archive(spark, df, Scratch(spark, "test"))
     assert payloads.count() == len({h or "" for _, _, h, _ in rows})
     assert all(hashlib.sha256(gzip.decompress(p["body"])).hexdigest() == p["sha256"] for p in payloads.collect())
-    for r in warc.records(headers, payloads).collect():
+    made = warc.records(headers, payloads).collect()
+    assert sum(r["times"] for r in made) == len(rows)
+    for r in made:
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
         lines = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         assert int(lines["Content-Length"]) == len(block) - 4 and "Evil" not in lines
         if lines["WARC-Type"] == "response":
-            assert block[:-4] == (rows[r["page_id"]][2] or "").encode()
+            assert block[:-4] == (rows[int(lines["WARC-Record-ID"].split(":")[2])][2] or "").encode()
 
 
 def test_damaged_payload_is_noticed(spark, pages):
     headers, payloads = warc.write_archive(spark, pages[1], Scratch(spark, "test"))
     bad = payloads.withColumn("body", F.lit(bytearray(gzip.compress(b"other"))))
     with pytest.raises(Exception, match="damaged"):
-        warc.read_archive(headers, bad).collect()
+        warc.read_archive(headers, bad, Scratch(spark, "test")).collect()
+    wrong = headers.withColumn("headers", F.regexp_replace("headers", "Digest: sha1:.", "Digest: sha1:-"))
+    with pytest.raises(Exception, match="headers"):
+        warc.read_archive(wrong, payloads, Scratch(spark, "test")).collect()
 
 
 def test_repeated_and_null_pages(spark):
@@ -103,6 +108,21 @@ def test_repeated_and_null_pages(spark):
     assert got == [(-1, "response", -1), (-1, "revisit", 2), (1, "response", -1), (2, "response", -1), (2, "response", -1)]
 
 
+def test_many_records_of_one_payload(spark):
+    """Records without ids, and one id at many addresses, share a payload that no task has all of."""
+    rows = [(None, f"u{i}", "lost") for i in range(300)] + [(4, f"v{i}", "four") for i in range(300)] + [(4, "v0", "four")] * 300 + [(5, "w", "x" * 3_000_000), (6, "w", "four")]
+    out = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    kinds = sorted({(r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in out})
+    assert kinds == [(0, 4, "response", 0), (4, 4, "response", 0), (5, 3_000_000, "response", 0), (6, 4, "revisit", 4)]
+
+
+def test_links_of_very_large_and_small_numbers(spark):
+    rows = [(1, [1e200, 1e190]), (2, [1e200, 0.0]), (3, [1e-200, 1e-210]), (4, [0.0, 1e-320]), (5, [1e308, 1e308]), (5, [1e308, 1e308])]
+    out = embeddings.near_duplicates(spark, spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 1, 5), (5, 1, 5)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
