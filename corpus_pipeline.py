@@ -6,6 +6,7 @@ for the last, which returns token ids.  Null and empty texts pass through all st
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import bpe, mixing, pii, simhash, toxicity
-from stratalog.llm.common import Scratch, table
+from stratalog.llm.common import HOT_SHARE, Scratch, table
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 NAMES = [x.split()[0] for x in COLUMNS.split(", ")]
@@ -31,15 +32,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id are all kept; of rows that share an id and a fingerprint one stays.  Rows that share an id but
     not a fingerprint each stay or go with the group of their own text.
     """
-    found = simhash.near_duplicates(spark, docs).where("doc_id is not null")
-    ids = found.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.min("component_id").alias("c"))
-    kept = ids.where("a = b and c = doc_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # few or no ids have several fingerprints: only their texts are hashed again
-    several = simhash.with_fingerprint(docs.join(ids.where("a <> b").select("doc_id"), "doc_id", "left_semi").select(*NAMES), COLUMNS)
-    own = found.where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
-    parted = several.join(own, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"])
-    return named.select(*NAMES).unionByName(parted.select(*NAMES)).unionByName(docs.where("doc_id is null").select(*NAMES))
+    scratch = Scratch(spark, "near")
+    found = scratch.save(simhash.near_duplicates(spark, docs).where("doc_id is not null"), "found")
+    ids = found.groupBy("doc_id").agg(
+        F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.min("component_id").alias("c"), F.count("*").alias("n")
+    )
+    # written, so that the planner knows their sizes: while they are small, no text is shuffled
+    ids = scratch.save(ids.where("a <> b or c = doc_id"), "ids")
+    rows, repeated, several = ids.agg(F.sum("n"), F.sum((F.expr("a = b and n > 1")).cast("long")), F.sum((F.expr("a <> b")).cast("long"))).first()
+    only = lambda part, columns="doc_id": scratch.save(ids.where(part).select(*columns.split()), f"ids-{uuid.uuid4().hex}")
+    kept = docs.join(only("a = b and n = 1"), "doc_id", "left_semi").select(*NAMES)
+    if repeated:
+        # an id with at least HOT_SHARE of the rows is one of few; its rows collapse where they are read
+        hot = max(2, int(rows * HOT_SHARE))
+        for ids_of in (F.broadcast(ids.where(f"a = b and n >= {hot}").select("doc_id")), only(f"a = b and n > 1 and n < {hot}")):
+            kept = kept.unionByName(docs.join(ids_of, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*NAMES))
+    if several:
+        # of these few ids the texts are hashed again, to tell which rows are meant
+        own = found.where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+        again = simhash.with_fingerprint(docs.join(only("a <> b"), "doc_id", "left_semi").select(*NAMES), COLUMNS)
+        kept = kept.unionByName(again.join(own, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"]).select(*NAMES))
+    return kept.unionByName(docs.where("doc_id is null").select(*NAMES))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
