@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def chunk_text(text: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` bytes that end at a character, at a blank line where one lies past the middle."""
+    """Pieces of at most ``most`` bytes that end at a character, after the last blank line where that lies past the middle."""
     raw, out, at = text.encode(), [], 0
     while len(raw) - at > most:
         end = at + most
         while end > at and raw[end] & 0xC0 == 0x80:
             end -= 1
-        gap = raw.rfind(b"\n\n", at + most // 2, end)
-        end = gap + 2 if gap >= 0 else end
+        gap = raw.rfind(b"\n\n", at, end)
+        end = gap + 2 if gap - at > (end - at) // 2 else end
         out.append(raw[at:end].decode())
         at = end
     return [*out, raw[at:].decode()] if at < len(raw) else out
@@ -57,25 +57,54 @@ def pack(docs: DataFrame, group: str, order: str, size: str, most: int) -> DataF
     return docs.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 
 
+def common_lengths(a: list[int], b: list[int]) -> list[int]:
+    """The length of a longest common subsequence of ``a`` and each prefix of ``b``, with one row in memory."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = left = 0
+        for k, y in enumerate(b, 1):
+            above = row[k]
+            left = row[k] = corner + 1 if x == y else max(above, left)
+            corner = above
+    return row
+
+
+def common_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions of one longest common subsequence, by halving ``a`` where both halves' lengths add up to the most."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+            continue
+        mid = (a0 + a1) // 2
+        front = common_lengths(a[a0:mid], b[b0:b1])
+        back = common_lengths(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + max(range(len(front)), key=lambda k: front[k] + back[k])
+        todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return sorted(out)
+
+
 def diff_lines(before: str, after: str) -> list[tuple[str, str]]:
-    """(same | del | add, line) by a longest common subsequence of lines."""
+    """(same | del | add, line): lines of a longest common subsequence stay; between two of them what goes comes before
+    what is new.  Memory is linear in the lines."""
     a, b = before.split("\n"), after.split("\n")
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    out = []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(("same", a[i]))
-            i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("del", a[i]))
-            i += 1
-        else:
-            out.append(("add", b[j]))
-            j += 1
+    number: dict[str, int] = {}
+    pairs = common_pairs(*([number.setdefault(x, len(number)) for x in lines] for lines in (a, b)))
+    out, i, j = [], 0, 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        out += [("del", t) for t in a[i:x]] + [("add", t) for t in b[j:y]] + [("same", t) for t in a[x : x + 1]]
+        i, j = x + 1, y + 1
     return out
 
 

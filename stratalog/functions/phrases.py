@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratalog.functions.text import fold
+
 
 def duration_phrase(seconds: Column) -> Column:
     """Seconds, minutes or hours, whichever is the largest whole unit."""
@@ -46,16 +51,40 @@ def gate(status: Column, n_evidence: Column) -> Column:
 
 
 def attribute_app(client: Column) -> Column:
-    """The application that a client's name speaks of, by the first match; null if none."""
+    """The application that a client's name speaks of, the more specific names first; null if none."""
     low = F.lower(client)
-    return F.when(low.contains("desktop"), "desktop").when(low.contains("code"), "editor").when(low.contains("web"), "web").when(low.contains("mobile"), "mobile")
+    holds = lambda name: F.contains(low, F.lit(name))
+    return (
+        F.when(holds("codex"), "codex").when(holds("cursor"), "cursor")
+        .when(holds("claude-code") | holds("claude code") | (low == "claude_code"), "claude_code").when(holds("claude"), "claude_desktop")
+    )
+
+
+#: What a failed call says when its account is used up, nobody is signed in, or the line is down.
+EXHAUSTED = (
+    "insufficient_quota", "exceeded your current quota", "usage limit", "out of credits", "insufficient credits",
+    "credit balance", "hit your limit", "reached your limit", "quota exceeded",
+)
+SIGNED_OUT = (
+    "not logged in", "sign in", "login", "unauthorized", "401", "no credentials", "expired token",
+    "authentication failed", "authentication_error", "please log in",
+)
+LINE_DOWN = (
+    "rate limit", "429", "timeout", "timed out", "connection", "network", "unreachable", "temporarily unavailable",
+    "503", "502", "overloaded",
+)
+
+
+def holds_any(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, (F.contains(c, F.lit(w)) for w in words))
 
 
 def classify_error(message: Column) -> Column:
+    """Used up or signed out wait for the owner; a line that is down is tried again; anything else was refused."""
     low = F.lower(message)
     return (
-        F.when(low.rlike("quota|rate limit|usage limit"), "unavailable_quota").when(low.rlike("log ?in|unauthorized|api key"), "unavailable_login")
-        .when(low.rlike("timed? ?out|connection|network|reset"), "transport").otherwise("refused")
+        F.when(holds_any(low, EXHAUSTED), "unavailable_quota").when(holds_any(low, SIGNED_OUT), "unavailable_login")
+        .when(holds_any(low, LINE_DOWN), "transport").otherwise("refused")
     )
 
 
@@ -64,12 +93,18 @@ def backoff_seconds(attempts: Column, job_id: Column, base: int = 5) -> Column:
     return F.when(attempts >= 6, -1).otherwise(F.lit(base) * F.pow(F.lit(2), attempts).cast("long") + F.pmod(job_id, F.lit(base))).cast("long")
 
 
+#: Fixed values, folded: parts of the names of documents about persons, and of blank forms.
+PERSONAL = ("place", "placa", "payroll", "zaposlenici", "ugovor-o-radu", "bolovanje")
+TEMPLATE = ("predlozak", "template", "obrazac", "sablona")
+
+
 def skip_reason(name: Column, text: Column, table: Column) -> Column:
     """Why a document isn't read for claims: personal, a template, or too short; null if it is read."""
-    low = F.lower(name)
+    low = fold(name)
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
     return (
-        F.when(low.rlike("payroll|salary|placa|osobno|private"), "personal").when(low.rlike("template|predlozak|obrazac"), "template")
-        .when(F.octet_length(F.trim(text)) < F.when(table, 1).otherwise(30), "too_short")
+        F.when(holds_any(low, PERSONAL), "personal").when(holds_any(low, TEMPLATE), "template")
+        .when(F.octet_length(trimmed) < F.when(table, 1).otherwise(30), "too_short")
     )
 
 
@@ -78,18 +113,21 @@ def wants_rows(body: Column) -> Column:
     return low.rlike("€|eur|price|cijena|cjenik|costs") | (low.contains("term") & low.contains("iznos"))
 
 
-#: Fixed patterns for names of files that are never read, and of old versions.
-NOISE = r"^(~\$|\._)|^(thumbs\.db|desktop\.ini|\.ds_store)$|\.(tmp|bak|swp|part|crdownload)$"
-SECRET = r"^\.env|^id_(rsa|ed25519)|\.(pem|key|p12|pfx|kdbx)$|(^|[^a-z])(password|passwords|credentials|secret|secrets)([^a-z]|$)"
+#: Names and endings of files that hold secrets, names of files that say nothing, a pattern of old versions.
+SECRET_NAMES = ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials.json", "serviceaccount.json", "secrets.json", "auth.json")
+SECRET_ENDINGS = (".pem", ".key", ".pfx", ".p12", ".keystore", ".jks", ".env", ".env.local", ".env.production")
+NOISE_NAMES = ("thumbs.db", "desktop.ini")
 OLD = r"\([0-9]+\)$|(^|[ _-])(old|backup|copy|kopija|stari|stara|staro|archive)([ _-]|$)|(^|[ _-])(v|ver|rev)[ ._-]?[0-9]+$"
 
 
 def is_noise(name: Column) -> Column:
-    return F.lower(name).rlike(NOISE)
+    """Lock files, hidden files, folder settings, and all secrets."""
+    return F.startswith(name, F.lit("~$")) | F.startswith(name, F.lit(".")) | F.lower(name).isin(*NOISE_NAMES) | is_secret(name)
 
 
 def is_secret(name: Column) -> Column:
-    return F.lower(name).rlike(SECRET)
+    low = F.lower(name)
+    return reduce(or_, (F.endswith(low, F.lit(e)) for e in SECRET_ENDINGS), low.isin(*SECRET_NAMES))
 
 
 def is_old_version(name: Column) -> Column:

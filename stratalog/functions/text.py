@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters folded to their base, and words too common to tell subjects apart.
+#: Letters folded to their base, and words too common in business prose to tell subjects apart.
 FOLD_FROM, FOLD_TO = "čćžšđ", "cczsd"
-STOP_WORDS = ("with", "that", "this", "from", "have", "must", "when", "which", "their", "there", "koji", "koja", "koje", "samo", "kada", "biti")
+STOP_WORDS = (
+    "i", "ili", "je", "su", "se", "na", "u", "za", "od", "do", "sa", "s", "po", "kod", "pri",
+    "koji", "koja", "koje", "kojih", "sto", "kada", "ako", "te", "a", "ali", "da", "ne", "nije",
+    "moze", "mora", "treba", "biti", "bude", "svaki", "svaka", "sve", "ovaj", "ova", "ovo", "the",
+)
 FIGURE = r"([0-9][0-9.,]*)\s*(%|posto|dana|dan|mjeseci|mjesec|sati|sat|eur|€)?"
 
 
@@ -59,7 +63,7 @@ def first_figure(quote: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """The set of five-letter stems of words of four letters or more that are not stop words."""
-    words = F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+    words = F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(5)))))
 
 

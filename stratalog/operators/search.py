@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +12,23 @@ from pyspark.sql import functions as F
 K1, B, LEAST_IDF, MOST_TERMS = 1.2, 0.75, 1e-6, 24
 
 
+def plain(text: str) -> str:
+    """Lower case, without the marks that letters carry."""
+    return "".join(ch for ch in unicodedata.normalize("NFD", text.lower()) if not unicodedata.category(ch).startswith("M"))
+
+
+#: Letters that carry marks, and what they are without: by rule, every one up to U+1FFF whose decomposition is one letter.
+MARKED = [c for c in map(chr, range(0xC0, 0x2000)) if len(plain(c)) == 1 and plain(c) != c.lower() and c == c.lower()]
+MARKS = r"[\u0300-\u036f]"
+
+
+def unaccented(c: Column) -> Column:
+    return F.translate(F.regexp_replace(F.lower(c), MARKS, ""), "".join(MARKED), "".join(map(plain, MARKED)))
+
+
 def terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits in lower case, without accents."""
+    return F.filter(F.split(unaccented(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _weighed(words: Column, weight: float) -> Column:
@@ -28,9 +46,7 @@ def postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def query_terms(question: str) -> list[str]:
     """Words of two letters or more, each once, no more than the index is asked for."""
-    import re
-
-    return list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", question.lower()) if len(w) >= 2))[:MOST_TERMS]
+    return list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", plain(question)) if len(w) >= 2))[:MOST_TERMS]
 
 
 def bm25(docs: DataFrame, question: str, weights: dict[str, float]) -> DataFrame:
@@ -59,7 +75,7 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def bm25_sql(table: str, question: str, weights: dict[str, float], where: str = "true") -> str:
     """The same ranking as a SQL sub-select with columns id and score."""
-    split = lambda c: f"[w FOR w IN regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+') IF w <> '']"
+    split = lambda c: f"[w FOR w IN regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+') IF w <> '']"
     asked = "[" + ", ".join(f"'{w}'" for w in query_terms(question)) + "]"
     parts = " UNION ALL ".join(f"SELECT id, unnest({split(c)}) AS term, {k}::DOUBLE AS weight FROM {table} WHERE {where}" for c, k in weights.items())
     length = " + ".join(f"len({split(c)})" for c in weights)

@@ -83,11 +83,17 @@ def servable_revision(lake):
     return lake.objects.where("status = 'approved'").agg(F.concat_ws(":", F.count("*").cast("string"), F.max("updated").cast("string")).alias("revision"))
 
 
-@query("knowledge_fingerprint", "SELECT kind, sha256(string_agg(id || chr(9) || title || chr(9) || body, chr(10) ORDER BY id)) AS fingerprint FROM lake_objects WHERE status = 'approved' GROUP BY kind")
+LANES = range(1, 61, 15)
+DIGEST = "sha256(id || chr(9) || title || chr(9) || body)"
+
+
+@query("knowledge_fingerprint", "SELECT kind, " + " || '-' || ".join(["count(*)::VARCHAR", *(f"sum(('0x' || substr({DIGEST}, {k}, 15))::BIGINT)::VARCHAR" for k in LANES)]) + " AS fingerprint FROM lake_objects WHERE status = 'approved' GROUP BY kind")
 def knowledge_fingerprint(lake):
-    lines = lake.objects.where("status = 'approved'").select("kind", "id", F.concat_ws("\t", "id", "title", "body").alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("kind").agg(F.sha2(joined, 256).alias("fingerprint"))
+    """Sums of the objects' digests, so a change of any shows and no kind is collected."""
+    digest = F.sha2(F.concat_ws("\t", "id", "title", "body"), 256)
+    rows = lake.objects.where("status = 'approved'").select("kind", *[F.conv(F.substring(digest, k, 15), 16, 10).cast("decimal(38,0)").alias(f"lane{k}") for k in LANES])
+    sums = [F.sum(f"lane{k}").cast("decimal(38,0)").cast("string") for k in LANES]
+    return rows.groupBy("kind").agg(F.concat_ws("-", F.count("*").cast("string"), *sums).alias("fingerprint"))
 
 
 @query("discovery_counts", "SELECT count(*) FILTER (kind = 'fact') AS facts, count(*) FILTER (kind = 'rule') AS rules, count(*) FILTER (kind = 'process') AS processes, count(*) FILTER (kind = 'term') AS terms, count(*) FILTER (status = 'conflicted') AS conflicts, count(*) FILTER (status = 'proposed') AS drafts, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (stale) AS stale FROM lake_objects")
@@ -114,10 +120,16 @@ def communities(lake):
     return numbered(g, "label").select(F.col("num").alias("id"), "label", "documents", "sample")
 
 
-@query("entity_mentions", r"SELECT lower(entity) AS entity, count(*) AS mentions FROM (SELECT unnest(regexp_extract_all(text, '[Ll]icensed under ([A-Z][A-Za-z-]+)', 1)) AS entity FROM documents) GROUP BY 1")
+@query("entity_mentions", r"""WITH t AS (SELECT 'Invoice. Billed to: ' || c_name || ' & Co. ISSUED BY ' || c_mktsegment || '-' || c_nationkey || chr(10) || 'billed to .x' AS text FROM customer),
+m AS (SELECT unnest(list_concat(regexp_extract_all(text, '(?i)billed to[:\s]+([A-Za-z0-9][A-Za-z0-9 .&-]{1,40})', 1), regexp_extract_all(text, '(?i)issued by[:\s]+([A-Za-z0-9][A-Za-z0-9 .&-]{1,40})', 1))) AS entity FROM t)
+SELECT entity, count(*) AS mentions FROM (SELECT trim(split_part(trim(entity), '.', 1)) AS entity FROM m) WHERE strlen(entity) >= 3 GROUP BY entity""")
 def entity_mentions(lake):
-    found = lake.raw("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[Ll]icensed under ([A-Z][A-Za-z-]+)"), 1)).alias("entity"))
-    return found.groupBy(F.lower("entity").alias("entity")).agg(F.count("*").alias("mentions"))
+    """Names after "billed to" and "issued by" up to the first full stop, three bytes at least, and how often they occur."""
+    parts = [F.lit("Invoice. Billed to: "), F.col("c_name"), F.lit(" & Co. ISSUED BY "), F.col("c_mktsegment"), F.lit("-"), F.col("c_nationkey").cast("string"), F.lit("\nbilled to .x")]
+    found = lambda cue: F.regexp_extract_all("text", F.lit(rf"(?i){cue}[:\s]+([A-Za-z0-9][A-Za-z0-9 .&-]{{1,40}})"), 1)
+    rows = lake.raw("customer").select(F.concat(*parts).alias("text")).select(F.explode(F.concat(found("billed to"), found("issued by"))).alias("entity"))
+    names = rows.select(F.trim(F.split_part(F.trim("entity"), F.lit("."), F.lit(1))).alias("entity"))
+    return names.where(F.octet_length("entity") >= 3).groupBy("entity").agg(F.count("*").alias("mentions"))
 
 
 @query("backing", "SELECT document_id, count(DISTINCT object_id) AS objects, min(object_id) AS first_object FROM lake_evidence JOIN lake_objects ON id = object_id WHERE status = 'approved' GROUP BY 1")

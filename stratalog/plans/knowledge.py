@@ -1,5 +1,6 @@
 """Sources, evidence, joins, graph, retrieval, served answers and state transitions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalog.functions import phrases, text
@@ -18,17 +19,17 @@ def scan_digest(lake):
     return lake.documents.agg(F.count("*").alias("walked"), F.count_if(~F.col("gone")).alias("readable"), F.count_if("gone").alias("missing"), F.sum(F.col("copies") - 1).alias("duplicates"))
 
 
-SKIP = "CASE WHEN regexp_matches(lower(name), 'payroll|salary|placa|osobno|private') THEN 'personal' WHEN regexp_matches(lower(name), 'template|predlozak|obrazac') THEN 'template' WHEN strlen(trim(text)) < CASE WHEN kind = 'csv' THEN 1 ELSE 30 END THEN 'too_short' ELSE 'read' END"
+SKIP = r"CASE WHEN regexp_matches(strip_accents(lower(name)), 'place|placa|payroll|zaposlenici|ugovor-o-radu|bolovanje') THEN 'personal' WHEN regexp_matches(strip_accents(lower(name)), 'predlozak|template|obrazac|sablona') THEN 'template' WHEN strlen(regexp_replace(text, '^\s+|\s+$', '', 'g')) < CASE WHEN kind IN ('csv', 'xlsx') THEN 1 ELSE 30 END THEN 'too_short' ELSE 'read' END"
 
 
 @query("structural_skip", f"SELECT id, {SKIP} AS reason FROM lake_documents")
 def structural_skip(lake):
-    return lake.documents.select("id", F.coalesce(phrases.skip_reason(F.col("name"), F.col("text"), F.col("kind") == "csv"), F.lit("read")).alias("reason"))
+    return lake.documents.select("id", F.coalesce(phrases.skip_reason(F.col("name"), F.col("text"), F.col("kind").isin("csv", "xlsx")), F.lit("read")).alias("reason"))
 
 
 @query("scan_skip_reasons", f"SELECT {SKIP} AS reason, count(*) AS n FROM lake_documents GROUP BY 1")
 def scan_skip_reasons(lake):
-    return lake.documents.groupBy(F.coalesce(phrases.skip_reason(F.col("name"), F.col("text"), F.col("kind") == "csv"), F.lit("read")).alias("reason")).agg(F.count("*").alias("n"))
+    return lake.documents.groupBy(F.coalesce(phrases.skip_reason(F.col("name"), F.col("text"), F.col("kind").isin("csv", "xlsx")), F.lit("read")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("inventory_types", "SELECT kind, count(*) AS files, sum(byte_len)::BIGINT AS bytes, max(modified) AS newest FROM lake_documents GROUP BY kind")
@@ -75,7 +76,7 @@ def table_rows(lake):
     return lake.blocks.where("kind = 'row'").select("document_id", "ordinal", F.size(cells).cast("long").alias("cells"), F.trim(cells[0]).alias("first_cell"))
 
 
-FILES = "['.env','~$lock.docx','report (2).pdf','price_old.xlsx','notes v3.md','id_rsa','passwords.txt','plan.md','draft.tmp','Thumbs.db','kopija ugovora.docx','rev-2 plan.docx']"
+FILES = "['.env','~$lock.docx','report (2).pdf','price_old.xlsx','notes v3.md','id_rsa','passwords.txt','plan.md','draft.tmp','Thumbs.db','kopija ugovora.docx','rev-2 plan.docx','id_ecdsa','ServiceAccount.json','auth.json','server.KEYSTORE','app.jks','prod.env','web.env.local','.gitignore','monkey.md','secrets.json.md','Desktop.INI','cert.p12']"
 NAMES = tuple(x.strip("'") for x in FILES[1:-1].split(","))
 
 
@@ -88,12 +89,15 @@ def _names_sql(expr: str) -> str:
     return f"SELECT o_orderkey, {expr} FROM (SELECT o_orderkey, {FILES}[(o_orderkey % {len(NAMES)} + 1)::INT] AS name FROM orders)"
 
 
-@query("filter_noise", _names_sql(f"regexp_matches(lower(name), '{phrases.NOISE}') AS noise, regexp_matches(lower(name), '{phrases.SECRET}') AS secret"))
+IS_SECRET = r"regexp_full_match(lower(name), 'id_(rsa|dsa|ecdsa|ed25519)|(credentials|serviceaccount|secrets|auth)\.json|.*\.(pem|key|pfx|p12|keystore|jks|env|env\.local|env\.production)')"
+
+
+@query("filter_noise", _names_sql(f"({IS_SECRET} OR name LIKE '~$%' OR name LIKE '.%' OR lower(name) IN ('thumbs.db', 'desktop.ini')) AS noise, {IS_SECRET} AS secret"))
 def filter_noise(lake):
     return _names(lake).select("o_orderkey", phrases.is_noise(F.col("name")).alias("noise"), phrases.is_secret(F.col("name")).alias("secret"))
 
 
-@query("old_versions", _names_sql(f"regexp_matches(regexp_replace(lower(name), '\\.[a-z0-9]+$', ''), '{phrases.OLD}') AS old"))
+@query("old_versions", _names_sql("regexp_matches(stem, '\\([0-9]+\\)$') OR list_has_any(string_split_regex(stem, '[ _-]'), ['old','backup','copy','kopija','stari','stara','staro','archive']) OR regexp_matches(stem, '(^|[ _-])(v|ver|rev)[ ._-]?[0-9]+$') AS old").replace("AS name FROM orders)", "AS name, regexp_replace(lower(name), '\\.[a-z0-9]+$', '') AS stem FROM orders)"))
 def old_versions(lake):
     return _names(lake).select("o_orderkey", phrases.is_old_version(F.col("name")).alias("old"))
 
@@ -111,10 +115,11 @@ def incremental_changed(lake):
     return transitions.changed(lake.documents.select("name", "sha256"), seen, "name", "sha256")
 
 
-@query("documents_by_source", "SELECT source_id, count(*) AS n, string_agg(id, ',' ORDER BY num) AS ids FROM lake_documents GROUP BY source_id")
+@query("documents_by_source", "SELECT source_id, id, num, n FROM lake_documents JOIN (SELECT source_id, count(*) AS n FROM lake_documents GROUP BY source_id) USING (source_id)")
 def documents_by_source(lake):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("num", "id"))), lambda x: x["id"]), ",")
-    return lake.documents.groupBy("source_id").agg(F.count("*").alias("n"), ids.alias("ids"))
+    """A row for each document beside its source's number of them: no source is collected."""
+    sizes = lake.documents.groupBy("source_id").agg(F.count("*").alias("n"))
+    return lake.documents.select("source_id", "id", "num").join(sizes, "source_id")
 
 
 @query("export_markdown", "SELECT id, kind || '/' || replace(id, ':', '-') || '.md' AS path, '# ' || title || chr(10) || chr(10) || body || chr(10) AS content FROM lake_objects WHERE status = 'approved' AND n_evidence > 0")
@@ -264,8 +269,20 @@ def review_affects(lake):
 
 @query("supersedes", "SELECT a.id, min(b.id) AS superseded FROM lake_objects a JOIN lake_objects b ON a.title = b.title AND a.updated > b.updated GROUP BY a.id")
 def supersedes(lake):
-    a, b = lake.objects.alias("a"), lake.objects.alias("b")
-    return a.join(b, (F.col("a.title") == F.col("b.title")) & (F.col("a.updated") > F.col("b.updated"))).groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("superseded"))
+    """The least id among older objects of the same title; one row for each title and moment goes through the window."""
+    moments = lake.objects.groupBy("title", "updated").agg(F.min("id").alias("least"))
+    older = W.partitionBy("title").orderBy("updated").rowsBetween(W.unboundedPreceding, -1)
+    found = moments.withColumn("superseded", F.min("least").over(older)).where("superseded is not null")
+    return lake.objects.select("id", "title", "updated").join(found, ["title", "updated"]).select("id", "superseded")
+
+
+@query("superseded_by", "SELECT b.id, max(a.id) AS successor FROM lake_objects a JOIN lake_objects b ON a.title = b.title AND a.updated > b.updated GROUP BY b.id")
+def superseded_by(lake):
+    """The other way: the greatest id among newer objects of the same title."""
+    moments = lake.objects.groupBy("title", "updated").agg(F.max("id").alias("most"))
+    newer = W.partitionBy("title").orderBy("updated").rowsBetween(1, W.unboundedFollowing)
+    found = moments.withColumn("successor", F.max("most").over(newer)).where("successor is not null")
+    return lake.objects.select("id", "title", "updated").join(found, ["title", "updated"]).select("id", "successor")
 
 
 @query("uses_edges", "SELECT a.id AS from_id, b.id AS to_id FROM lake_objects a JOIN lake_objects b ON a.id <> b.id AND length(b.title) >= 6 AND contains(' ' || a.body || ' ' || a.title || ' ', ' ' || b.title || ' ')")
@@ -312,6 +329,18 @@ def open_merge_hints(lake):
     return joined.select("left_id", "right_id", "left_title", "right_title", "score")
 
 
+PREFERRED = "SELECT h.left_id, h.right_id, CASE WHEN (l.n_evidence, l.updated) > (r.n_evidence, r.updated) OR (l.n_evidence, l.updated) = (r.n_evidence, r.updated) AND l.id <= r.id THEN l.id ELSE r.id END AS keep_id FROM {hints} h JOIN lake_objects l ON l.id = left_id JOIN lake_objects r ON r.id = right_id WHERE score >= 0.5"
+
+
+@query("preferred_sides", PREFERRED.format(hints=HINTS.format(t=_words_sql('title'), b=_words_sql('body'))))
+def preferred_sides(lake):
+    """Which side of a hint a merge keeps: more evidence, then the more recent, then the lower id."""
+    side = lambda s: lake.objects.select(F.col("id").alias(f"{s}_id"), F.struct("n_evidence", "updated").alias(s))
+    both = similar.hints(lake.objects).select("left_id", "right_id").join(side("left"), "left_id").join(side("right"), "right_id")
+    ahead = (F.col("left") > F.col("right")) | ((F.col("left") == F.col("right")) & (F.col("left_id") <= F.col("right_id")))
+    return both.select("left_id", "right_id", F.when(ahead, F.col("left_id")).otherwise(F.col("right_id")).alias("keep_id"))
+
+
 @query("merge_hint_counts", f"SELECT differ, count(*) AS hints FROM {HINTS.format(t=_words_sql('title'), b=_words_sql('body'))} WHERE score >= 0.5 GROUP BY differ")
 def merge_hint_counts(lake):
     return similar.hints(lake.objects).groupBy("differ").agg(F.count("*").alias("hints"))
@@ -430,7 +459,7 @@ def relation_upsert(lake):
 WEIGHTS = {"title": 4.0, "body": 1.0}
 
 
-@query("inverted_index", "SELECT term, count(DISTINCT id) AS documents, sum(w)::DOUBLE AS weight FROM (SELECT id, unnest([w FOR w IN regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+') IF w <> '']) AS term, 4.0::DOUBLE AS w FROM lake_objects UNION ALL SELECT id, unnest([w FOR w IN regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+') IF w <> '']), 1.0 FROM lake_objects) GROUP BY term")
+@query("inverted_index", "SELECT term, count(DISTINCT id) AS documents, sum(w)::DOUBLE AS weight FROM (SELECT id, unnest([w FOR w IN regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+') IF w <> '']) AS term, 4.0::DOUBLE AS w FROM lake_objects UNION ALL SELECT id, unnest([w FOR w IN regexp_split_to_array(strip_accents(lower(body)), '[^\\p{L}\\p{N}]+') IF w <> '']), 1.0 FROM lake_objects) GROUP BY term")
 def inverted_index(lake):
     return search.postings(lake.objects, WEIGHTS).groupBy("term").agg(F.count("*").alias("documents"), F.sum("frequency").alias("weight"))
 
@@ -440,6 +469,16 @@ def search_objects(lake):
     return search.top(search.bm25(lake.objects, QUESTION, WEIGHTS), 16)
 
 
+ACCENTED = "(SELECT id, replace(replace(replace(title, 'c', 'č'), 'e', 'é'), 's', 'Š') AS title FROM lake_objects)"
+
+
+@query("search_accented", f"SELECT id, score FROM {search.bm25_sql(ACCENTED, 'lârge ânvil čosťs', {'title': 1.0})} ORDER BY score DESC, id LIMIT 16")
+def search_accented(lake):
+    """Accents tell no words apart, neither in texts nor in questions."""
+    title = F.translate("title", "ces", "čéŠ")
+    return search.top(search.bm25(lake.objects.select("id", title.alias("title")), "lârge ânvil čosťs", {"title": 1.0}), 16)
+
+
 @query("search_blocks", f"SELECT id, score FROM {search.bm25_sql('(SELECT document_id || chr(35) || ordinal AS id, text FROM lake_blocks)', 'license the version of and apache', {'text': 1.0})} ORDER BY score DESC, id LIMIT 10")
 def search_blocks(lake):
     b = lake.blocks.select(F.concat("document_id", F.lit("#"), F.col("ordinal").cast("string")).alias("id"), "text")
@@ -472,20 +511,39 @@ def relevant_context(lake):
     return found.groupBy("id").agg(F.min("distance").alias("distance"))
 
 
+#: The least confidence at which an edge is followed from a primary.
+EDGE_LEAST = 0.7
+
+
+def weak_edges(relations):
+    weak = relations.where((F.col("type") == "depends_on") & (F.col("confidence") < EDGE_LEAST))
+    return weak.select(F.col("from_id").alias("start"), F.col("to_id").alias("node")).distinct()
+
+
+@query("edge_lookup", "SELECT from_id, to_id, max(confidence) AS confidence, max(confidence) >= 0.7 AS followed FROM lake_relations WHERE type = 'depends_on' GROUP BY from_id, to_id")
+def edge_lookup(lake):
+    """Each pair of an object and one that it depends on, with the edge's confidence and whether it is followed."""
+    found = lake.relations.where("type = 'depends_on'").groupBy("from_id", "to_id").agg(F.max("confidence").alias("confidence"))
+    return found.withColumn("followed", F.col("confidence") >= EDGE_LEAST)
+
+
 TASK = f"""WITH RECURSIVE h AS (SELECT id, 1.0 AS base FROM (SELECT * FROM {search.bm25_sql('lake_objects', QUESTION, WEIGHTS)} ORDER BY score DESC, id LIMIT 16)),
 ov AS (SELECT id, 0.8 AS base FROM lake_objects WHERE list_has_any({_words_sql('title')}, {_words_sql("'" + QUESTION + "'")})),
 s AS (SELECT id, sum(base) AS score FROM (SELECT * FROM h UNION ALL SELECT * FROM ov) GROUP BY id),
 nb AS (SELECT a AS id, sum(0.15 * s.score) AS extra FROM (SELECT src AS a, dst AS b FROM ({IMPACT}) UNION SELECT dst, src FROM ({IMPACT})) JOIN s ON s.id = b GROUP BY a),
 ranked AS (SELECT coalesce(s.id, nb.id) AS id, round(coalesce(score, 0) + coalesce(extra, 0), 6) AS score FROM s FULL JOIN nb ON nb.id = s.id),
 prim AS (SELECT id, score FROM ranked ORDER BY score DESC, id LIMIT 8), e AS ({IMPACT}),
-walk AS (SELECT id AS node, 0 AS distance FROM prim UNION SELECT e.src, distance + 1 FROM walk JOIN e ON e.dst = walk.node WHERE distance < 3),
-it AS (SELECT node AS id, min(distance) AS distance FROM walk GROUP BY node)
+walk AS (SELECT id AS start, id AS node, 0 AS distance FROM prim UNION SELECT start, e.src, distance + 1 FROM walk JOIN e ON e.dst = walk.node WHERE distance < 3),
+it AS (SELECT node AS id, min(distance) AS distance FROM walk WHERE NOT EXISTS (SELECT 1 FROM lake_relations r WHERE r.type = 'depends_on' AND r.from_id = start AND r.to_id = node AND r.confidence < 0.7) GROUP BY node)
 SELECT it.id, CASE WHEN distance = 0 THEN 'primary' ELSE 'foundation' END AS role, distance::BIGINT AS distance FROM it JOIN lake_objects o ON o.id = it.id WHERE o.status = 'approved' ORDER BY (distance = 0), it.id LIMIT 12"""
 
 
 @query("task_context", TASK)
 def task_context(lake):
-    """Scored hits, shared words and neighbours; the best eight, their foundations first, twelve in all."""
+    """Scored hits, shared words and neighbours; the best eight, their foundations first, twelve in all.
+
+    What a primary depends on by an edge of less than EDGE_LEAST isn't taken along for it.
+    """
     hit = search.top(search.bm25(lake.objects, QUESTION, WEIGHTS), 16).select("id", F.lit(1.0).alias("base"))
     shared = lake.objects.where(text.overlaps(F.col("title"), F.lit(QUESTION))).select("id", F.lit(0.8).alias("base"))
     score = hit.unionByName(shared).groupBy("id").agg(F.sum("base").alias("score"))
@@ -494,7 +552,8 @@ def task_context(lake):
     extra = ways.join(score, "id").groupBy(F.col("a").alias("id")).agg(F.sum(0.15 * F.col("score")).alias("extra"))
     ranked = score.join(extra, "id", "full").select("id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0)), 6).alias("score"))
     starts = graph.keep(ranked.orderBy(F.desc("score"), "id").limit(8).select(F.col("id").alias("start")))
-    below = graph.reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, most=3).select(F.col("node").alias("id"), "distance")
+    below = graph.reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, most=3)
+    below = below.join(weak_edges(lake.relations), ["start", "node"], "left_anti").select(F.col("node").alias("id"), "distance")
     items = below.unionByName(starts.select(F.col("start").alias("id"), F.lit(0).cast("long").alias("distance"))).groupBy("id").agg(F.min("distance").alias("distance"))
     items = items.join(lake.objects.where("status = 'approved'").select("id"), "id", "left_semi")
     role = F.when(F.col("distance") == 0, "primary").otherwise("foundation")
@@ -578,9 +637,11 @@ def review_queue(lake):
     return o.select("id", "status", F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("affects", F.lit(0)).alias("affects"))
 
 
-@query("gone_reviews", "SELECT e.object_id, e.document_id FROM lake_evidence e WHERE e.first_seen % 17 = 0")
+@query("gone_reviews", "SELECT e.object_id, e.document_id, d.name FROM lake_evidence e JOIN lake_documents d ON d.id = e.document_id WHERE d.gone")
 def gone_reviews(lake):
-    return lake.evidence.where("first_seen % 17 = 0").select("object_id", "document_id")
+    """Evidence whose document is gone, with the document's name."""
+    gone = lake.documents.where("gone").select(F.col("id").alias("document_id"), "name")
+    return lake.evidence.join(gone, "document_id").select("object_id", "document_id", "name")
 
 
 @query("skills_list", "SELECT o.id, coalesce(a.n, 0) AS requires, coalesce(b.n, 0) AS affects FROM lake_objects o LEFT JOIN (SELECT from_id, count(*) AS n FROM lake_relations WHERE type = 'depends_on' GROUP BY 1) a ON a.from_id = o.id LEFT JOIN (SELECT to_id, count(*) AS n FROM lake_relations WHERE type = 'depends_on' GROUP BY 1) b ON b.to_id = o.id WHERE o.kind = 'process' AND o.status <> 'rejected'")

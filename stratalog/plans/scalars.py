@@ -42,8 +42,9 @@ def first_figure(lake):
     return lake.claims.select("ordinal", text.first_figure(F.col("statement")).alias("figure"))
 
 
-STOP = "[" + ",".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
-WORDS = "list_sort(list_distinct([substr(w, 1, 5) FOR w IN regexp_split_to_array(translate(lower({0}), 'čćžšđ', 'cczsd'), '[^a-z0-9]+') IF length(w) >= 4 AND NOT list_contains(" + STOP + ", w)]))"
+#: Of the stop words, those with the four letters that a word must have.
+STOP = "['koji','koja','koje','kojih','kada','nije','moze','mora','treba','biti','bude','svaki','svaka','ovaj']"
+WORDS = "list_sort(list_distinct([substr(w, 1, 5) FOR w IN regexp_split_to_array(translate(lower({0}), 'čćžšđ', 'cczsd'), '[^\\p{{L}}\\p{{N}}]+') IF length(w) >= 4 AND NOT list_contains(" + STOP + ", w)]))"
 
 
 @query("content_words", f"SELECT doc_id, array_to_string({WORDS.format('text')}, ' ') AS words FROM documents")
@@ -97,9 +98,10 @@ def job_subject(lake):
     return lake.jobs.select("id", F.coalesce(*[F.get_json_object("payload", f"$.{k}") for k in ("path", "document", "source")]).alias("subject"))
 
 
-@query("attribute_app", "SELECT c_custkey, CASE WHEN contains(n, 'desktop') THEN 'desktop' WHEN contains(n, 'code') THEN 'editor' WHEN contains(n, 'web') THEN 'web' WHEN contains(n, 'mobile') THEN 'mobile' ELSE 'none' END AS app FROM (SELECT c_custkey, lower(['My Desktop','Code-Web','WEB','phone'][(c_custkey % 4 + 1)::INT]) AS n FROM customer)")
+@query("attribute_app", "SELECT c_custkey, CASE WHEN n LIKE '%codex%' THEN 'codex' WHEN n LIKE '%cursor%' THEN 'cursor' WHEN regexp_matches(n, 'claude[- ]code') OR n = 'claude_code' THEN 'claude_code' WHEN n LIKE '%claude%' THEN 'claude_desktop' ELSE 'none' END AS app FROM (SELECT c_custkey, lower(['Codex CLI','cursor-vscode','Claude-Code/2','claude_code','my claude_code','Claude','phone'][(c_custkey % 7 + 1)::INT]) AS n FROM customer)")
 def attribute_app(lake):
-    client = F.element_at(F.array(*map(F.lit, ("My Desktop", "Code-Web", "WEB", "phone"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    names = ("Codex CLI", "cursor-vscode", "Claude-Code/2", "claude_code", "my claude_code", "Claude", "phone")
+    client = F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % len(names) + 1).cast("int"))
     return lake.raw("customer").select("c_custkey", F.coalesce(phrases.attribute_app(client), F.lit("none")).alias("app"))
 
 
@@ -125,9 +127,17 @@ def backoff_delay(lake):
     return lake.jobs.select("id", phrases.backoff_seconds(F.col("attempts"), F.col("id")).alias("delay"))
 
 
-@query("classify_error", "SELECT id, CASE WHEN regexp_matches(e, 'quota|rate limit|usage limit') THEN 'unavailable_quota' WHEN regexp_matches(e, 'log ?in|unauthorized|api key') THEN 'unavailable_login' WHEN regexp_matches(e, 'timed? ?out|connection|network|reset') THEN 'transport' ELSE 'refused' END AS class FROM (SELECT id, lower(last_error) AS e FROM lake_jobs WHERE last_error IS NOT NULL)")
+ERRORS = ("HTTP 429", "Rate limit reached", "usage limit", "insufficient credits", "You hit your limit, sign in again", "Please log in", "401", "login timeout", "host unreachable", "model overloaded", "503", "bad json", "quota")
+
+
+@query("classify_error", rf"""SELECT id, CASE WHEN regexp_matches(e, 'insufficient_quota|exceeded your current quota|usage limit|out of credits|insufficient credits|credit balance|(hit|reached) your limit|quota exceeded') THEN 'unavailable_quota'
+WHEN regexp_matches(e, 'not logged in|sign in|login|unauthorized|401|no credentials|expired token|authentication(_error| failed)|please log in') THEN 'unavailable_login'
+WHEN regexp_matches(e, 'rate limit|429|timeout|timed out|connection|network|unreachable|temporarily unavailable|50[23]|overloaded') THEN 'transport' ELSE 'refused' END AS class
+FROM (SELECT id, lower(coalesce(last_error, {list(ERRORS)}[(id % {len(ERRORS)} + 1)::INT])) AS e FROM lake_jobs)""")
 def classify_error(lake):
-    return lake.jobs.where("last_error is not null").select("id", phrases.classify_error(F.col("last_error")).alias("class"))
+    """Errors of jobs, and for jobs without one a message of each class."""
+    other = F.element_at(F.array(*map(F.lit, ERRORS)), (F.col("id") % len(ERRORS) + 1).cast("int"))
+    return lake.jobs.select("id", phrases.classify_error(F.coalesce("last_error", other)).alias("class"))
 
 
 @query("policy_clamps", "SELECT id, greatest(1, least(4, attempts)) AS workers, greatest(1, least(20, priority * attempts)) AS batch FROM lake_jobs")
@@ -163,10 +173,10 @@ def idempotency_keys(lake):
     return lake.jobs.groupBy(F.concat_ws(":", "kind", tail).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-@query("catalogue", "SELECT kind, string_agg(id || ' — ' || title, chr(10) ORDER BY id) AS catalogue FROM lake_objects GROUP BY kind")
+@query("catalogue", "SELECT kind, id, id || ' — ' || title AS line FROM lake_objects")
 def catalogue(lake):
-    lines = lake.objects.select("kind", "id", F.concat("id", F.lit(" — "), "title").alias("line"))
-    return lines.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("catalogue"))
+    """A line for each object: the catalogue of a kind is its lines in the order of ids, collected nowhere."""
+    return lake.objects.select("kind", "id", F.concat("id", F.lit(" — "), "title").alias("line"))
 
 
 @query("skill_figures_guard", "SELECT a.id, array_to_string(list_sort([x FOR x IN a.f IF NOT list_contains(b.f, x)]), ' ') AS invented FROM (SELECT id, regexp_extract_all(body, '[0-9]+') AS f FROM lake_objects) a JOIN (SELECT key, list(DISTINCT (ordinal % 7 * 5)::VARCHAR) AS f FROM lake_claims GROUP BY key) b ON a.id = b.key")

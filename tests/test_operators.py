@@ -1,6 +1,7 @@
 """Operators on small hand-made tables: the cases that the queries' data doesn't have."""
 
 import io
+import itertools
 import random
 import zipfile
 
@@ -39,7 +40,22 @@ def test_phrases(spark):
     assert [one(spark, phrases.duration_phrase(F.lit(n))) for n in (9, 200, 7200)] == ["9 s", "3 min", "2 h"]
     assert one(spark, phrases.spend_phrase(F.lit(1234), F.lit(12))) == "1,234 tokens · $0.12"
     assert [one(spark, phrases.is_old_version(F.lit(n))) for n in ("a (1).pdf", "price_old.xlsx", "plan v2.md", "golden.md")] == [True, True, True, False]
-    assert [one(spark, phrases.is_secret(F.lit(n))) for n in (".env", "my passwords.txt", "key.pem", "monkey.md")] == [True, True, True, False]
+    names = (".env", "id_dsa", "ID_ECDSA", "ServiceAccount.json", "auth.json", "a.keystore", "b.jks", "prod.env", "x.env.production", "key.pem")
+    assert all(one(spark, phrases.is_secret(F.lit(n))) and one(spark, phrases.is_noise(F.lit(n))) for n in names)
+    assert not any(one(spark, phrases.is_secret(F.lit(n))) for n in ("my passwords.txt", "monkey.md", "env", "auth.json.md"))
+    assert [one(spark, phrases.is_noise(F.lit(n))) for n in (".gitignore", "~$a.docx", "THUMBS.DB", "draft.tmp", "a.bak")] == [True, True, True, False, False]
+    errors = ("Rate limit, try again", "HTTP 503", "credit balance is low", "reached your limit, 429", "please Log In", "login timed out", "bad json")
+    assert [one(spark, phrases.classify_error(F.lit(e))) for e in errors] == ["transport", "transport", "unavailable_quota", "unavailable_quota", "unavailable_login", "unavailable_login", "refused"]
+    reason = lambda name, body, table=False: one(spark, phrases.skip_reason(F.lit(name), F.lit(body), F.lit(table)))
+    assert [reason(n, "x" * 40) for n in ("Plaća-05.xlsx", "PLAĆE.docx", "Ugovor-o-radu.docx", "bolovanje.pdf", "Šablona.docx", "predložak.md", "salary.md")] == ["personal"] * 4 + ["template"] * 2 + [None]
+    assert [reason("a.md", "  \n" + "x" * 29), reason("a.csv", "x", True), reason("a.csv", "\n\t", True)] == ["too_short", None, "too_short"]
+    assert one(spark, text.content_words(F.lit("Mora li Cijena biti čišćenje over 12345 this"))) == ["12345", "cijen", "cisce", "over", "this"]
+
+
+def test_search_folds_accents(spark):
+    docs = spark.createDataFrame([("a", "Cijéna čelika"), ("b", "plain"), ("c", "CIJENA"), ("d", "n"), ("e", "m"), ("f", "k")], "id string, text string")
+    assert one(spark, search.terms(F.lit("Čaša, ÉTÉ Z\u030c đak Й1"))) == ["casa", "ete", "z", "đak", "и1"]
+    assert {r["id"] for r in search.bm25(docs, "cijena", {"text": 1.0}).collect()} == {r["id"] for r in search.bm25(docs, "ČIJENÄ", {"text": 1.0}).collect()} == {"a", "c"}
 
 
 def test_gate_on_bytes(spark):
@@ -188,13 +204,25 @@ def test_replies(spark, tmp_path):
     assert [(r["key"], r["title"], r["quotes"]) for r in got.collect()] == [("candidates-0", "T", ["q"])]
 
 
+def is_inside(x, lines):
+    rest = iter(lines)
+    return all(t in rest for t in x)
+
+
 def test_packing(spark):
     r = random.Random(3)
     for _ in range(300):
         t = "".join(r.choice(["a", "é", "🎉", "\n\n", " "]) for _ in range(r.randint(0, 60)))
         parts = packing.chunk_text(t, 9)
         assert "".join(parts) == t and all(0 < len(p.encode()) <= 9 for p in parts)
+    assert packing.chunk_text("aaa\n\nbbbbb", 8) == ["aaa\n\nbbb", "bb"] and packing.chunk_text("aaaa\n\nbbbb", 8) == ["aaaa\n\nbb", "bb"] and packing.chunk_text("aaaaa\n\nbbb", 8) == ["aaaaa\n\n", "bbb"]
     assert packing.diff_lines("a\nb\nc", "a\nx\nc") == [("same", "a"), ("del", "b"), ("add", "x"), ("same", "c")]
+    for _ in range(120):
+        a, b = (["".join(r.choice("abc")) for _ in range(r.randint(0, 9))] for _ in range(2))
+        out = packing.diff_lines("\n".join(a), "\n".join(b))
+        assert [t for c, t in out if c != "add"] == (a or [""]) and [t for c, t in out if c != "del"] == (b or [""])
+        longest = max(k for k in range(10) for x in itertools.combinations(a or [""], k) if is_inside(x, b or [""]))
+        assert sum(c == "same" for c, _ in out) == longest
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 5, 5, 20, 1])] + [("h", 0, 3)], "source string, doc_id long, bytes long")
     got = {(x["source"], x["doc_id"]): x["batch"] for x in packing.pack(df, "source", "doc_id", "bytes", 10).collect()}
     assert got == {("g", 0): 0, ("g", 1): 0, ("g", 2): 1, ("g", 3): 2, ("g", 4): 3, ("h", 0): 0}
