@@ -32,8 +32,8 @@ WORD = re.compile(r"\w+")
 #: Labelled documents to learn from at most, half from each class.
 SAMPLE_ROWS = 4000
 #: A term is in this many toxic documents of the sample at least and this many times as common in them as in the
-#: others, and among all prefixes that often there, chance would make even one so one-sided this rarely.
-LEAST_DOCS, LEAST_RATIO, CHANCE = 6, 40.0, 0.01
+#: others, and among all prefixes that often there, chance would make fewer than this many so one-sided.
+LEAST_DOCS, LEAST_RATIO, CHANCE = 6, 40.0, 1.0
 SHORTEST, LONGEST = 4, 16
 #: A term stands between this many different pairs of neighbours for each document (copies of one text share
 #: theirs), and a prefix is lengthened while a continuation keeps this share of its documents.
