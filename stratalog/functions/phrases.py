@@ -143,3 +143,27 @@ def stale_warning(stale_since: Column) -> Column:
 def may_run(policy: Column, on_battery: Column) -> Column:
     """Whether model calls may run now: always, never, or only on mains power."""
     return F.when(policy == "always", True).when(policy == "never", False).otherwise(~on_battery)
+
+
+#: The keys of a job's payload that name its subject, and what jobs without a subject are about.
+SUBJECT_KEYS = ("document_id", "source_id", "id", "root")
+WHOLE = {
+    "settle": "Everything read so far", "relate": "Connections between everything", "supervise": "Company knowledge build", "draft_skills": "Skills",
+    "recheck": "Quotes already approved",
+}
+
+
+def job_subject(payload: Column) -> Column:
+    """The first of SUBJECT_KEYS that a payload has."""
+    return F.coalesce(*[F.get_json_object(payload, f"$.{k}") for k in SUBJECT_KEYS])
+
+
+def whole_lake(kind: Column) -> Column:
+    """What a job is about that names no subject."""
+    return reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), WHOLE.items(), F.when(F.lit(False), "")).otherwise("Your company")
+
+
+def work_line(note: Column, error: Column, subject: Column) -> Column:
+    """The note, else the error, without the subject and colon before it; "started" where there is neither."""
+    said, head = F.coalesce(note, error, F.lit("started")), F.concat(subject, F.lit(": "))
+    return F.when(F.startswith(said, head), F.substr(said, F.length(head) + 1)).otherwise(said)

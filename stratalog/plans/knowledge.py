@@ -737,7 +737,10 @@ def supervisor_objects(lake):
     return lake.claims.where(F.trim("quote") != "").select("ordinal", F.lit("proposed").alias("status"), F.lit(0.85).alias("confidence"), F.col("document").alias("locator"))
 
 
-@query("merge_objects", "SELECT DISTINCT f AS from_id, t AS to_id, type FROM (SELECT coalesce(mf.keep, r.from_id) AS f, coalesce(mt.keep, r.to_id) AS t, type FROM lake_relations r LEFT JOIN m mf ON mf.drop = r.from_id LEFT JOIN m mt ON mt.drop = r.to_id) WHERE f <> t".replace("m mf", "(SELECT a.id AS keep, b.id AS drop FROM lake_objects a JOIN lake_objects b ON b.num = a.num + 1 WHERE a.num % 10 = 0) mf").replace("m mt", "(SELECT a.id AS keep, b.id AS drop FROM lake_objects a JOIN lake_objects b ON b.num = a.num + 1 WHERE a.num % 10 = 0) mt"))
+MERGES = "SELECT a.id AS keep, b.id AS drop FROM lake_objects a JOIN lake_objects b ON b.num = a.num + 1 WHERE a.num % 10 = 0"
+
+
+@query("merge_objects", f"SELECT DISTINCT r.from_id, coalesce(m.keep, r.to_id) AS to_id, type FROM lake_relations r LEFT JOIN ({MERGES}) m ON m.drop = r.to_id WHERE r.from_id <> coalesce(m.keep, r.to_id)")
 def merge_objects(lake):
     a = lake.objects.where("num % 10 = 0").select(F.col("id").alias("keep"), (F.col("num") + 1).alias("num"))
     return transitions.merge_pairs(lake.relations, a.join(lake.objects.select(F.col("id").alias("drop"), "num"), "num").select("keep", "drop"))

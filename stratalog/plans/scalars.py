@@ -93,9 +93,14 @@ def wire_status(lake):
     return lake.objects.select("id", phrases.wire_status(F.col("status")).alias("wire"))
 
 
-@query("job_subject", "SELECT id, coalesce(payload ->> '$.path', payload ->> '$.document', payload ->> '$.source') AS subject FROM lake_jobs")
+PAYLOAD_KEYS = ("document_id", "source_id", "id", "root", "other")
+
+
+@query("job_subject", f"SELECT id, coalesce(p ->> '$.document_id', p ->> '$.source_id', p ->> '$.id', p ->> '$.root') AS subject FROM (SELECT id, replace(payload, 'document', {list(PAYLOAD_KEYS)}[(id % 5 + 1)::INT]) AS p FROM lake_jobs)")
 def job_subject(lake):
-    return lake.jobs.select("id", F.coalesce(*[F.get_json_object("payload", f"$.{k}") for k in ("path", "document", "source")]).alias("subject"))
+    key = F.element_at(F.array(*map(F.lit, PAYLOAD_KEYS)), (F.col("id") % len(PAYLOAD_KEYS) + 1).cast("int"))
+    jobs = lake.jobs.select("id", F.replace("payload", F.lit("document"), key).alias("payload"))
+    return jobs.select("id", phrases.job_subject(F.col("payload")).alias("subject"))
 
 
 @query("attribute_app", "SELECT c_custkey, CASE WHEN n LIKE '%codex%' THEN 'codex' WHEN n LIKE '%cursor%' THEN 'cursor' WHEN regexp_matches(n, 'claude[- ]code') OR n = 'claude_code' THEN 'claude_code' WHEN n LIKE '%claude%' THEN 'claude_desktop' ELSE 'none' END AS app FROM (SELECT c_custkey, lower(['Codex CLI','cursor-vscode','Claude-Code/2','claude_code','my claude_code','Claude','phone'][(c_custkey % 7 + 1)::INT]) AS n FROM customer)")

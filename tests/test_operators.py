@@ -151,6 +151,27 @@ def test_transitions(spark):
     assert sorted((r["id"], r["status"], r["version"]) for r in transitions.approve(objects, d).collect()) == [("a", "approved", 2), ("b", "proposed", 1), ("c", "rejected", 1)]
 
 
+def test_sources_cases_and_settings(spark):
+    log = [("a", 0, "remove", None), ("a", 1, "put", "A"), ("a", 2, "pause", None), ("a", 3, "scanned", None), ("a", 4, "put", "B"), ("b", 1, "put", "x"), ("b", 2, "remove", None), ("b", 3, "scanned", None), ("c", 1, "put", "c"), ("c", 2, "scanned", None), ("c", 3, "remove", None), ("d", 1, "scanned", None)]
+    got = transitions.fold_sources(spark.createDataFrame(log, "source_id string, seq long, command string, name string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "B", "paused", 3), ("b", "x", "active", 3), ("c", "c", "removed", 2)]
+    log = [("k", 1, "close", None), ("k", 2, "open", None), ("k", 3, "record", "o"), ("k", 4, "close", None), ("k", 5, "close", None), ("k", 6, "open", None), ("k", 7, "record", "o"), ("m", 1, "record", "o")]
+    got = transitions.fold_cases(spark.createDataFrame(log, "case_id string, seq long, command string, object string"))
+    assert list(map(tuple, got.collect())) == [("k", 2, 4, 2, 1)]
+    got = transitions.last_settings(spark.createDataFrame([("x", "1", 1), ("x", None, 2), ("y", "3", 1)], "key string, value string, seq long"))
+    assert sorted(map(tuple, got.collect())) == [("x", None), ("y", "3")]
+
+
+def test_approvals_in_order(spark):
+    """c uses b and b uses a: each approval makes what rests on it stale, unless that was approved later."""
+    o = spark.createDataFrame([(x, "t", "proposed", 1, 1, False, 5) for x in "abc"] + [("d", "t", "approved", 0, 1, True, 5)], "id string, body string, status string, n_evidence long, version long, stale boolean, updated long")
+    r = spark.createDataFrame([("a", "b", "used_by"), ("b", "c", "used_by"), ("a", "d", "conflicts_with")], "from_id string, to_id string, type string")
+    d = spark.createDataFrame([("a", "A", "me", 10), ("b", "B", "me", 20), ("c", " ", "me", 30), ("d", "D", "me", 30)], "id string, body string, decided_by string, decided_at long")
+    got = sorted(tuple(x) for x in transitions.approve_all(o, r, d).select("id", "body", "status", "version", "stale_since").collect())
+    assert got == [("a", "A", "approved", 2, None), ("b", "B", "approved", 2, None), ("c", "t", "proposed", 1, 10), ("d", "t", "approved", 1, 5)]
+    assert sorted(x["object_id"] for x in transitions.snapshots(o, d).collect()) == ["a", "b"]
+
+
 def docx(paragraphs):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f'<w:p><w:pPr>{f"<w:pStyle w:val={chr(34)}{s}{chr(34)}/>" if s else ""}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>' for s, t in paragraphs)
