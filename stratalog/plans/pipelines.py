@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from stratalog.functions import packing
 from stratalog.operators.consolidate import consolidate
+from stratalog.operators.graph import shared_folder
 from stratalog.lake import epoch
 from stratalog.plans.registry import query
 from stratalog.sources import replies
@@ -17,9 +17,7 @@ from stratalog.streaming import feeds
 
 def _shared(lake) -> str:
     """A new folder among the shared ones."""
-    spark = lake.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/feeds-{uuid.uuid4().hex}"
+    return f"{shared_folder(lake.spark).rstrip('/')}/feeds-{uuid.uuid4().hex}"
 
 
 @query("chunk_text")
