@@ -31,6 +31,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self.spark = spark
         self.root = f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
