@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import bpe, embeddings, mixing, multiset, pii, quality, sharding, simhash, toxicity, warc
+from stratalog.llm import bpe, decontaminate, embeddings, mixing, multiset, pii, prefix_trie, quality, sharding, simhash, spelling, toxicity, warc
 from stratalog.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -63,8 +75,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dup": op8_embedding_near_dup,
         "op9_shard_by_bytes": op9_shard_by_bytes,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_decontaminate": op12_decontaminate,
+        "op13_spelling_groups": op13_spelling_groups,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc.ARCHIVE_SQL}
+    return {
+        "op3_warc_archive": warc.ARCHIVE_SQL,
+        "op11_conversation_trie": prefix_trie.TRIE_SQL,
+        "op12_decontaminate": decontaminate.DECONTAMINATE_SQL,
+        "op13_spelling_groups": spelling.SPELLING_SQL,
+    }
