@@ -33,30 +33,6 @@ def chunks(docs: DataFrame, most: int) -> DataFrame:
     return docs.select("id", "text").mapInPandas(run, "id string, part long, text string")
 
 
-def pack(docs: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Adds batch: rows of a group in order fill batches of at most ``most`` greedily.
-
-    The greedy sum needs a group's rows in order, so a group is read as sorted batches with only a sum held.
-    """
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), "batch long"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, batch = None, 0, 0
-        for pdf in batches:
-            out = []
-            for g, n in zip(pdf[group], pdf[size], strict=True):
-                if g != now:
-                    now, used, batch = g, 0, 0
-                elif used + n > most and used:
-                    used, batch = 0, batch + 1
-                used += n
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    return docs.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
-
-
 def common_lengths(a: list[int], b: list[int]) -> list[int]:
     """The length of a longest common subsequence of ``a`` and each prefix of ``b``, with one row in memory."""
     row = [0] * (len(b) + 1)

@@ -30,7 +30,7 @@ def normalise(c: Column) -> Column:
 
 def normalise_quote(c: Column) -> Column:
     """Folded, squeezed, without punctuation at either end."""
-    return F.regexp_replace(normalise(fold(c)), r"^[^a-z0-9]+|[^a-z0-9]+$", "")
+    return F.regexp_replace(normalise(fold(c)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
 def canonical_number(raw: Column) -> Column:

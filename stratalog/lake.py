@@ -17,6 +17,8 @@ from stratalog.functions import phrases, text
 LEAD = 14
 #: How many objects the reads refer to by number.
 READ_NUMBERS = 100
+#: Brands of parts, numbered from 1, and characters of a quote.
+BRANDS, QUOTE = 25, 24
 
 
 def epoch(c: Column) -> Column:
@@ -71,14 +73,17 @@ class Lake:
 
     @cached_property
     def claims(self) -> DataFrame:
-        """What a model proposed: one claim for each part, quoted from its brand's document."""
-        p = self.raw("part")
+        """What a model proposed: a claim for each part, quoting QUOTE characters of the document that its brand numbers."""
+        p = self.raw("part").withColumn("brand", F.substring("p_brand", 7, 9).cast("long"))
+        d = self.raw("documents").where(F.col("doc_id").between(1, BRANDS)).groupBy(F.col("doc_id").alias("brand")).agg(F.min("text").alias("text"))
         kind = F.element_at(F.array(*map(F.lit, ("fact", "rule", "process", "term"))), (F.col("p_size") % 4 + 1).cast("int"))
-        return p.select(
+        at = (F.col("p_partkey") * 37 % F.greatest(F.length("text") - QUOTE, F.lit(1))).cast("int")
+        quote, before = F.substr("text", at + 1, F.lit(QUOTE)), F.octet_length(F.substr("text", F.lit(1), at)).cast("long")
+        return p.join(d, "brand").select(
             F.col("p_partkey").alias("ordinal"), kind.alias("kind"), F.col("p_name").alias("title"),
             F.concat(F.col("p_type"), F.lit(" costs "), (F.col("p_partkey") % 7 * 5).cast("string"), F.lit(" eur within "), F.col("p_size").cast("string"), F.lit(" dana")).alias("statement"),
-            F.col("p_brand").alias("document"), (F.col("p_partkey") % 1000).alias("modified"), F.col("p_type").alias("quote"),
-            F.concat(kind, F.lit(":"), text.slug(F.col("p_name"))).alias("key"),
+            F.concat(F.lit("doc:"), F.substring(F.sha2("text", 256), 1, 16)).alias("document"), (F.col("p_partkey") % 1000).alias("modified"), quote.alias("quote"),
+            F.concat(kind, F.lit(":"), text.slug(F.col("p_name"))).alias("key"), before.alias("start_byte"), (before + F.octet_length(quote)).alias("end_byte"),
         )
 
     @cached_property
@@ -101,7 +106,10 @@ class Lake:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self.claims.groupBy(F.col("key").alias("object_id"), F.col("document").alias("document_id")).agg(F.min("quote").alias("quote"), F.min("ordinal").alias("first_seen"))
+        """The first quote of each object in each document, with its bytes there."""
+        first = F.min_by(F.struct("quote", "start_byte", "end_byte"), "ordinal").alias("q")
+        found = self.claims.groupBy(F.col("key").alias("object_id"), F.col("document").alias("document_id")).agg(first, F.min("ordinal").alias("first_seen"))
+        return found.select("object_id", "document_id", "q.*", "first_seen")
 
     @cached_property
     def relations(self) -> DataFrame:
@@ -174,9 +182,11 @@ SELECT document_id, ordinal, text, start_byte, start_byte + strlen(text)::BIGINT
 FROM (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY document_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte
   FROM (SELECT id AS document_id, unnest(range(len(l)))::BIGINT AS ordinal, unnest(l) AS text FROM (SELECT id, string_split(text, chr(10)) AS l FROM lake_documents)))""",
     "claims": rf"""
-SELECT p_partkey AS ordinal, kind, p_name AS title, p_type || ' costs ' || (p_partkey % 7 * 5) || ' eur within ' || p_size || ' dana' AS statement, p_brand AS document,
-  p_partkey % 1000 AS modified, p_type AS quote, kind || ':' || {SLUG.format("p_name")} AS key
-FROM (SELECT *, ['fact','rule','process','term'][(p_size % 4 + 1)::INT] AS kind FROM part)""",
+SELECT p_partkey AS ordinal, kind, p_name AS title, p_type || ' costs ' || (p_partkey % 7 * 5) || ' eur within ' || p_size || ' dana' AS statement, 'doc:' || substr(sha256(text), 1, 16) AS document,
+  p_partkey % 1000 AS modified, substr(text, q_at + 1, {QUOTE}) AS quote, kind || ':' || {SLUG.format("p_name")} AS key,
+  strlen(left(text, q_at))::BIGINT AS start_byte, strlen(left(text, q_at + {QUOTE}))::BIGINT AS end_byte
+FROM (SELECT *, ['fact','rule','process','term'][(p_size % 4 + 1)::INT] AS kind, p_partkey * 37 % greatest(length(text) - {QUOTE}, 1) AS q_at
+  FROM part JOIN (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id BETWEEN 1 AND {BRANDS} GROUP BY doc_id) ON doc_id = substr(p_brand, 7)::BIGINT)""",
     "groups": r"""
 SELECT key AS id, any_value(kind) AS kind, any_value(cur.title) AS title, any_value(cur.statement) AS body, any_value(cur.modified) AS modified, count(*) AS n_claims,
   count(DISTINCT document) AS n_evidence, count(DISTINCT quote) AS n_quotes,
@@ -192,7 +202,7 @@ SELECT id, kind, title, body, CASE WHEN n_disagree > 2 THEN 'conflicted' WHEN le
   round(greatest(0.05, least(0.98, 0.68 + 0.12 * least(greatest(n_agree - 1, 0), 2) + CASE WHEN n_quotes > 1 THEN 0.04 ELSE 0 END - CASE WHEN n_disagree > 0 THEN 0.35 ELSE 0 END))::DOUBLE, 6) AS confidence,
   n_claims % 5 = 0 AS stale, row_number() OVER (ORDER BY id) - 1 AS num
 FROM lake_groups""",
-    "evidence": "SELECT key AS object_id, document AS document_id, min(quote) AS quote, min(ordinal) AS first_seen FROM lake_claims GROUP BY ALL",
+    "evidence": "SELECT key AS object_id, document AS document_id, arg_min(quote, ordinal) AS quote, arg_min(start_byte, ordinal) AS start_byte, arg_min(end_byte, ordinal) AS end_byte, min(ordinal) AS first_seen FROM lake_claims GROUP BY ALL",
     "relations": r"""
 SELECT e.from_id, t.id AS to_id, e.type, (e.num % 10) / 10.0::DOUBLE AS confidence FROM (
   SELECT id AS from_id, num, num // 2 AS to_num, 'depends_on' AS type FROM lake_objects

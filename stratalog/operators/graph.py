@@ -56,6 +56,43 @@ def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataF
     return seen.where("distance > 0")
 
 
+def reach_with_parents(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, distance, parent) of all nodes that ``starts`` (start) reach, themselves excluded.
+
+    Of several ways of the same length the parent is the smallest node one step nearer.
+    """
+    edges = keep(edges)
+    seen = keep(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("distance"), F.lit(None).cast("string").alias("parent")).distinct())
+    frontier, hop = seen, 0
+    while not frontier.isEmpty():
+        hop += 1
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        fresh = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = keep(fresh.select("start", "node", F.lit(hop).cast("long").alias("distance"), "parent"))
+        seen = keep(seen.unionByName(frontier))
+    return seen.where("distance > 0")
+
+
+def paths(reached: DataFrame) -> DataFrame:
+    """(start, node, distance, path): the nodes from the start to each node of ``reach_with_parents``.
+
+    Every row holds the end of its path and the node before that end.  A round puts that node's own end in front, so
+    ends double and the rounds are the logarithm of the longest distance.
+    """
+    longest = reached.agg(F.max("distance")).first()[0] or 0
+    ends = keep(reached.select("start", "node", "distance", F.col("parent").alias("before"), F.array("node").alias("path")))
+    size = 1
+    while size < longest:
+        front = ends.select("start", F.col("node").alias("before"), F.col("before").alias("earlier"), F.col("path").alias("front"))
+        joined = ends.join(front, ["start", "before"], "left")
+        ends = keep(joined.select(
+            "start", "node", "distance", F.when(F.col("front").isNull(), F.col("before")).otherwise(F.col("earlier")).alias("before"),
+            F.concat(F.coalesce("front", F.array().cast("array<string>")), "path").alias("path"),
+        ))
+        size *= 2
+    return ends.select("start", "node", "distance", F.concat(F.array("start"), "path").alias("path"))
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level) by the longest path from a source; nodes on or behind a cycle have none and are missing."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()

@@ -1,6 +1,6 @@
 """Importing this package registers every query of the engine."""
 
-from stratalog.plans import analytics, knowledge, pipelines, scalars, writes  # noqa: F401
+from stratalog.plans import analytics, knowledge, outlines, pipelines, scalars, writes  # noqa: F401
 from stratalog.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

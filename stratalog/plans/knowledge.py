@@ -58,15 +58,13 @@ def rendition_offsets(lake):
     return lake.blocks.groupBy("document_id").agg(F.count("*").alias("blocks"), F.max("end_byte").alias("bytes"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("content"))
 
 
-@query("section_numbers", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w || '.' || sum(CASE WHEN role = 'user' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, s ORDER BY turn) AS section FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM (SELECT conv_id, turn, any_value(role) AS role FROM conversations GROUP BY ALL HAVING count(*) = 1)) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("section_numbers", "SELECT conv_id, turn, s || '.' || sum(CASE WHEN role = 'user' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, s ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS s FROM conversations)")
 def section_numbers(lake):
-    """Two-level numbers with a reset: user turns open a section, the others number within it."""
-    from pyspark.sql import Window as W
-
-    turns = lake.raw("conversations").groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.count("*").alias("n")).where("n = 1")
+    """Two-level numbers with a reset: user turns open a section, the others number within it; turns that repeat are all kept."""
+    order, all_before = ["turn", "role", "text"], (W.unboundedPreceding, 0)
     opens = F.when(F.col("role") == "user", 1).otherwise(0)
-    marked = turns.withColumn("s", F.sum(opens).over(W.partitionBy("conv_id").orderBy("turn")))
-    inner = F.sum(1 - opens).over(W.partitionBy("conv_id", "s").orderBy("turn"))
+    marked = lake.raw("conversations").withColumn("s", F.sum(opens).over(W.partitionBy("conv_id").orderBy(*order).rowsBetween(*all_before)))
+    inner = F.sum(1 - opens).over(W.partitionBy("conv_id", "s").orderBy(*order).rowsBetween(*all_before))
     return marked.select("conv_id", "turn", F.concat_ws(".", F.col("s").cast("string"), inner.cast("string")).alias("section"))
 
 
@@ -229,9 +227,11 @@ def pending_per_source(lake):
     return lake.evidence.join(o, "object_id").groupBy("document_id", "status").agg(F.count_distinct("object_id").alias("objects"))
 
 
-@query("objects_quoting", "SELECT DISTINCT o.id, o.title FROM lake_objects o JOIN lake_evidence e ON e.object_id = o.id WHERE e.document_id = 'Brand#12'")
+@query("objects_quoting", "SELECT DISTINCT o.id, o.title FROM lake_objects o JOIN lake_evidence e ON e.object_id = o.id WHERE e.document_id = (SELECT document FROM lake_claims ORDER BY ordinal LIMIT 1)")
 def objects_quoting(lake):
-    quoted = lake.evidence.where("document_id = 'Brand#12'").select(F.col("object_id").alias("id"))
+    """What quotes the document of the first claim."""
+    asked = lake.claims.agg(F.min_by("document", "ordinal").alias("document_id"))  # one row
+    quoted = lake.evidence.join(F.broadcast(asked), "document_id", "left_semi").select(F.col("object_id").alias("id"))
     return lake.objects.join(quoted, "id", "left_semi").select("id", "title")
 
 
@@ -764,12 +764,17 @@ def missing_files(lake):
     return transitions.missing_files(lake.documents.select("id", "name", "gone"), listing).select("id", "name", "gone")
 
 
-@query("open_gone_reviews", "SELECT object_id, document_id FROM lake_evidence WHERE length(object_id) % 3 = 0 AND first_seen % 2 = 1")
+@query("open_gone_reviews", "SELECT DISTINCT e.object_id, e.document_id FROM lake_evidence e JOIN lake_documents d ON d.id = e.document_id WHERE d.gone AND e.first_seen % 2 = 1")
 def open_gone_reviews(lake):
     """Objects that rest on a gone document, without those already resolved."""
-    documents = lake.evidence.select(F.col("document_id").alias("id")).distinct().withColumn("gone", F.lit(True))
-    resolved = lake.evidence.where("length(object_id) % 3 <> 0 or first_seen % 2 <> 1").select("object_id", "document_id")
-    return transitions.gone_reviews(documents, lake.evidence, resolved)
+    resolved = lake.evidence.where("first_seen % 2 <> 1").select("object_id", "document_id")
+    return transitions.gone_reviews(lake.documents.select("id", "gone"), lake.evidence, resolved)
+
+
+@query("quotes_verified", "SELECT e.object_id, e.document_id, 'ok' AS verdict FROM lake_evidence e")
+def quotes_verified(lake):
+    """Every stored quote against the bytes of its document."""
+    return gate.verify(lake.evidence, lake.documents).select("object_id", "document_id", "verdict")
 
 
 @query("replace_candidates", "SELECT ordinal, document, statement FROM lake_claims WHERE document NOT IN (SELECT document FROM lake_claims WHERE ordinal % 97 = 0) UNION ALL SELECT ordinal, document, upper(statement) FROM lake_claims WHERE ordinal % 97 = 0")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stratalog.functions import packing
+from stratalog.operators import order
 from stratalog.operators.consolidate import consolidate
 from stratalog.operators.graph import shared_folder
 from stratalog.lake import epoch
@@ -32,7 +33,16 @@ UNION ALL SELECT d.source, d.doc_id, d.rn, CASE WHEN w.used + d.n > 48000 AND w.
 SELECT source, doc_id, batch FROM w""")
 def pack_batches(lake):
     docs = lake.raw("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
-    return packing.pack(docs, "source", "doc_id", "bytes", 48_000).select("source", "doc_id", "batch")
+    return order.pack(docs, "source", "doc_id", "bytes", 48_000).select("source", "doc_id", "batch")
+
+
+@query("compile_batches")
+def compile_batches(lake):
+    """Calls of at most 48,000 bytes a source, filled with pieces of documents of at most 24,000."""
+    docs = lake.raw("documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    pieces = packing.chunks(docs, 24_000).select(F.col("id").cast("long").alias("doc_id"), "part", F.octet_length("text").cast("long").alias("bytes"))
+    placed = pieces.join(lake.raw("documents").select("doc_id", "source"), "doc_id").withColumn("place", F.struct("doc_id", "part"))
+    return order.pack(placed, "source", "place", "bytes", 48_000).select("source", "doc_id", "part", "bytes", "batch")
 
 
 @query("line_diff")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import packing, phrases, text
-from stratalog.operators import evidence, graph, search, similar, transitions
+from stratalog.operators import evidence, graph, order, search, similar, transitions
 from stratalog.operators.consolidate import consolidate
 from stratalog.sources import files, replies
 from stratalog.streaming import feeds
@@ -245,7 +245,7 @@ def test_packing(spark):
         longest = max(k for k in range(10) for x in itertools.combinations(a or [""], k) if is_inside(x, b or [""]))
         assert sum(c == "same" for c, _ in out) == longest
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 5, 5, 20, 1])] + [("h", 0, 3)], "source string, doc_id long, bytes long")
-    got = {(x["source"], x["doc_id"]): x["batch"] for x in packing.pack(df, "source", "doc_id", "bytes", 10).collect()}
+    got = {(x["source"], x["doc_id"]): x["batch"] for x in order.pack(df, "source", "doc_id", "bytes", 10).collect()}
     assert got == {("g", 0): 0, ("g", 1): 0, ("g", 2): 1, ("g", 3): 2, ("g", 4): 3, ("h", 0): 0}
 
 
