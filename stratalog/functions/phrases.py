@@ -89,8 +89,9 @@ def classify_error(message: Column) -> Column:
 
 
 def backoff_seconds(attempts: Column, job_id: Column, base: int = 5) -> Column:
-    """Seconds to the next try, doubling, with a spread by the job's id; dead (-1) from the sixth attempt."""
-    return F.when(attempts >= 6, -1).otherwise(F.lit(base) * F.pow(F.lit(2), attempts).cast("long") + F.pmod(job_id, F.lit(base))).cast("long")
+    """Seconds to the next try, doubling, with a spread by the job's id as wide as they are; dead (-1) from the sixth attempt."""
+    wait = F.lit(base) * F.pow(F.lit(2), attempts).cast("long")
+    return F.when(attempts >= 6, -1).otherwise(wait + F.pmod(job_id, wait)).cast("long")
 
 
 #: Fixed values, folded: parts of the names of documents about persons, and of blank forms.

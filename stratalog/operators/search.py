@@ -23,7 +23,10 @@ MARKS = r"[\u0300-\u036f]"
 
 
 def unaccented(c: Column) -> Column:
-    return F.translate(F.regexp_replace(F.lower(c), MARKS, ""), "".join(MARKED), "".join(map(plain, MARKED)))
+    """Lower case without marks; only texts with characters beyond ASCII are looked at letter by letter."""
+    lowered = F.lower(c)
+    bare = F.translate(F.regexp_replace(lowered, MARKS, ""), "".join(MARKED), "".join(map(plain, MARKED)))
+    return F.when(F.octet_length(lowered) == F.char_length(lowered), lowered).otherwise(bare)
 
 
 def terms(c: Column) -> Column:

@@ -127,7 +127,7 @@ def rescan_due(lake):
     return lake.jobs.crossJoin(F.broadcast(now)).select("id", (F.floor((F.col("now") - F.col("created")) / 3600) >= 6).alias("due"), F.floor(F.col("created") / 21600).alias("bucket"))
 
 
-@query("backoff_delay", "SELECT id, CASE WHEN attempts >= 6 THEN -1 ELSE 5 * (1 << attempts)::BIGINT + id % 5 END AS delay FROM lake_jobs")
+@query("backoff_delay", "SELECT id, CASE WHEN attempts >= 6 THEN -1 ELSE 5 * (1 << attempts)::BIGINT + id % (5 * (1 << attempts)::BIGINT) END AS delay FROM lake_jobs")
 def backoff_delay(lake):
     return lake.jobs.select("id", phrases.backoff_seconds(F.col("attempts"), F.col("id")).alias("delay"))
 
