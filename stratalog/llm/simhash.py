@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import Scratch, components, grouped, join_hot, map_texts, partitions
@@ -269,31 +269,54 @@ def shards(placed: DataFrame, large: DataFrame) -> DataFrame:
     return dealt.select("half", "leaf", "m.one", "m.two", "fp", "doc", "m.asks", "m.answers")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    scratch = Scratch(spark, "simhash")
-    marked = scratch.save(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "groups")
-    nodes = groups.where("doc is not null").select("fp", "doc")
+def linked(spark: SparkSession, scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the fingerprints ``nodes`` (fp, doc) that link with others, named by their ``doc``."""
     distinct = nodes.count()
     one_in = max(1, distinct // SAMPLE_ROWS)
     sample = nodes.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(one_in)) == 0).select("fp").toPandas()["fp"]
     trees = spark.sparkContext.broadcast(plant(sample.to_numpy().astype(np.int64).astype(np.uint64), distinct))
-    schema = "half int, leaf long, fp long, doc long, home boolean"
     even = nodes.repartition(partitions(spark))
-    homes = even.mapInPandas(lambda it: to_leaves(it, trees.value, guests=False), schema)
-    sizes = homes.groupBy("half", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_ROWS)
-    # written, so that the planner knows its size
+    placed = even.mapInPandas(lambda it: to_leaves(it, trees.value), "half int, leaf long, fp long, doc long, home boolean")
+    placed = scratch.save(placed, "placed")
+    # homes and guests count; written, so that the planner knows the size
+    sizes = placed.groupBy("half", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_ROWS)
     large = scratch.save(sizes.select("half", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "large")
-    placed = even.mapInPandas(lambda it: to_leaves(it, trees.value), schema)
     keys = ["half", "leaf", "one", "two"]
     dealt = shards(placed, large).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    reached = components(scratch, dealt.mapInPandas(link_leaves, "a long, b long"))
+    return components(scratch, dealt.mapInPandas(link_leaves, "a long, b long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``; rows that share an id are one node."""
+    scratch = Scratch(spark, "simhash")
+    marked = scratch.save(fingerprints(docs, id_col, text_col), "fingerprints")
+    groups = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "groups")
+    reached = linked(spark, scratch, groups.where("doc is not null").select("fp", "doc"))
     named = groups.join(reached.withColumnRenamed("node", "doc"), "doc", "left").select(
         "fp", "n", F.coalesce("component", "doc").alias("component_id")
     )
     named = scratch.save(named, "named")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return join_hot(marked, named, "fp", "n", marked.count()).select(
-        "doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+        "doc_id", hexed(F.col("fp")), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
+
+
+def hexed(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint")
+
+
+def survivors(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, kept) for every row of ``docs`` with an id: whether its text stands for its near copies.
+
+    Fingerprints are the nodes, whatever ids they have, so texts that share an id but are unlike each other are apart.  Of
+    linked fingerprints the one of the smallest id stays, and under that id the smallest fingerprint.
+    """
+    scratch = Scratch(spark, "simhash")
+    marked = scratch.save(fingerprints(docs, "doc_id", "text").where("doc_id is not null"), "fingerprints")
+    groups = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+    reached = linked(spark, scratch, groups.select("fp", F.col("fp").alias("doc")))
+    whole = groups.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = whole.groupBy("component").agg(F.min(F.struct("first", "fp")).alias("best")).select("best.fp", F.col("best.first").alias("stays"))
+    named = scratch.save(groups.join(best, "fp", "left").select("fp", "n", "stays"), "named")
+    kept = F.coalesce(F.col("doc_id") == F.col("stays"), F.lit(False)).alias("kept")
+    return join_hot(marked, named, "fp", "n", marked.count()).select("doc_id", hexed(F.col("fp")), kept)
