@@ -27,20 +27,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id.
+    """One document of each group of linked texts: the one with the smallest id.
 
-    Rows without an id are all kept; of rows that share an id and a fingerprint one stays.  Rows that share an id but
-    not a fingerprint each stay or go with the group of their own text.
+    Rows without an id are all kept; of rows that share an id and a fingerprint one stays.  Fingerprints are linked, not
+    ids: texts that share an id each stay or go with the group of their own text.
     """
     scratch = Scratch(spark, "near")
-    found = scratch.save(simhash.near_duplicates(spark, docs).where("doc_id is not null"), "found")
-    ids = found.groupBy("doc_id").agg(
-        F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.min("component_id").alias("c"), F.count("*").alias("n")
-    )
+    found = scratch.save(simhash.survivors(spark, docs), "found")
+    ids = found.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.count("*").alias("n"), F.max("kept").alias("kept"))
     # written, so that the planner knows their sizes: while they are small, no text is shuffled
-    ids = scratch.save(ids.where("a <> b or c = doc_id"), "ids")
+    ids = scratch.save(ids.where("kept"), "ids")
     rows, repeated, several = ids.agg(F.sum("n"), F.sum((F.expr("a = b and n > 1")).cast("long")), F.sum((F.expr("a <> b")).cast("long"))).first()
-    only = lambda part, columns="doc_id": scratch.save(ids.where(part).select(*columns.split()), f"ids-{uuid.uuid4().hex}")
+    only = lambda part: scratch.save(ids.where(part).select("doc_id"), f"ids-{uuid.uuid4().hex}")
     kept = docs.join(only("a = b and n = 1"), "doc_id", "left_semi").select(*NAMES)
     if repeated:
         # an id with at least HOT_SHARE of the rows is one of few; its rows collapse where they are read
@@ -49,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
             kept = kept.unionByName(docs.join(ids_of, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*NAMES))
     if several:
         # of these few ids the texts are hashed again, to tell which rows are meant
-        own = found.where("doc_id = component_id").select("doc_id", "fingerprint").distinct()
+        own = found.where("kept").select("doc_id", "fingerprint").distinct()
         again = simhash.with_fingerprint(docs.join(only("a <> b"), "doc_id", "left_semi").select(*NAMES), COLUMNS)
         kept = kept.unionByName(again.join(own, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"]).select(*NAMES))
     return kept.unionByName(docs.where("doc_id is null").select(*NAMES))
