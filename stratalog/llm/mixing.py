@@ -5,27 +5,29 @@ gives each document a posterior over all domains that any row has.  A word count
 document then counts towards every domain by its posterior, and nonnegative rates are fitted so that the expected
 token total of each domain meets its target:
 
-    minimise  (T - t)' M^-1 (T - t) / 2,   T_d(r) = sum_i r_i n_i p_id,   r >= floor
-    M_de = sum_i n_i p_id p_ie + DAMP T_d(1) [d = e]
-
-by projected gradient steps, each of which is one aggregation over all documents.  In the metric that weighs
-document i by its n_i tokens the gradient is sum_d p_id (M^-1 (T - t))_d and its Lipschitz constant is below 1, so
-the step is 1; where posteriors are sharp and no floor binds, the distance shrinks by 1 / DAMP a step.  A rate is a function of a document's posterior and the few numbers that each step has gathered;
-no table of rates is joined back.  Everything is built-in functions: a text is split once and each of its words
-looked up once a domain.  The driver sees one row of domain totals for each step and the table of bucket counts.
+    minimise  sum_d (T_d - t_d)^2 / (2 s_d) + RIDGE / 2 sum_i n_i (r_i - 1)^2,   r >= floor
+    T_d(r) = sum_i r_i n_i p_id,   s_d = T_d(1)
+
+The second part settles which of the many rates that meet the targets are meant: those nearest to 1.  At the optimum
+r_i is the projection of 1 - sum_d p_id l_d on r >= floor, with l_d = (T_d - t_d) / (RIDGE s_d), so there are as many unknowns as
+domains.  Projected gradient steps move l against the gradient in the metric of the documents that the floor doesn't
+hold (sum_i n_i p_id p_ie over these); a step is halved until the objective's dual falls.  The objective is strictly convex
+and piecewise quadratic, so the steps end at its optimum, whether or not the floor lets the targets be reached.  Each
+step is one or two aggregations over all documents.  A rate is a function of a document's posterior and the few
+numbers l; no table of rates is joined back.  Everything is built-in functions: a text is split once and each of its
+words looked up once a domain.  The driver sees a few rows of domain totals for each step and the table of bucket counts.
 
 Behaviour: a null text is an empty one; a text without words has the prior as its posterior and weighs nothing;
 rows without a label take part in everything but the fit; without any label there is one domain, ``all``; a weight
-for a domain that no row has is an error, and rates that still move after MOST_STEPS give a warning; of rows that share an
+for a domain that no row has is an error; of rows that share an
 id and a label, the least text is learned from, so the fit is the same in every run; repeated rows get the same
-rate; targets that the floor keeps out of reach show in the columns of totals; an empty table gives no rows; extra
+rate; targets that the floor keeps out of reach show in the columns of totals and in ``target_met``; an empty table gives no rows; extra
 columns, whatever their names, are ignored, and kept as they are by ``mix``.
 """
 
 from __future__ import annotations
 
 import math
-import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +40,8 @@ from stratalog.llm.common import Scratch
 #: Labelled documents of each domain to fit on at most, buckets that words are hashed to, what a bucket has been seen
 #: before any word, and by what the words' evidence is divided (words of one text are not independent).
 SAMPLE_EACH, BUCKETS, UNSEEN, HEAT = 1000, 4096, 0.5, 8.0
-MOST_STEPS, TOLERANCE, DAMP = 30, 1e-3, 0.1
+#: How far a total may be from its target, by the target; the weight of rates near 1 beside totals on target.
+TOLERANCE, RIDGE = 1e-3, 1e-5
 #: How far targets flatten the domains' shares.
 FLATTEN = 0.7
 
@@ -116,36 +119,44 @@ def with_posterior(docs: DataFrame, model: Classifier, text_col: str = "text") -
 
 @dataclass
 class Rates:
-    """The steps taken: what each took off a document's rate for each part of its posterior; totals then, and wanted."""
+    """What each part of a document's posterior takes off its rate; the totals at these rates, and those wanted."""
 
-    steps: list[list[float]]
+    off: list[float]
     floor: float
     total: list[float]
     target: list[float]
 
     def column(self) -> Column:
-        rate: Column = F.lit(1.0)
-        for step in self.steps:
-            off = sum((F.col("p")[d] * c for d, c in enumerate(step)), F.lit(0.0))
-            rate = F.greatest(F.lit(self.floor), rate - off)
-        return rate
+        return F.greatest(F.lit(self.floor), F.lit(1.0) - taken_off(self.off))
+
+    def met(self) -> list[bool]:
+        return [abs(x - t) <= TOLERANCE * max(t, 1.0) for x, t in zip(self.total, self.target, strict=True)]
+
 
+def taken_off(off: list[float]) -> Column:
+    return sum((F.col("p")[d] * float(c) for d, c in enumerate(off)), F.lit(0.0))
 
-def totals(posterior: DataFrame, domains: int, rate: Column) -> list[float]:
-    parts = posterior.select("p", (rate * F.col("n_tokens")).alias("w"))
-    row = parts.agg(*[F.sum(F.col("w") * F.col("p")[d]) for d in range(domains)]).first()
-    return [float(x or 0.0) for x in row]
 
+def totals(posterior: DataFrame, off: list[float], floor: float) -> tuple[np.ndarray, float]:
+    """The domains' totals at the rates that ``off`` gives, and the sum of minus their integrals from ``off`` = 0 on."""
+    x, end = taken_off(off), 1.0 - floor
+    integral = F.when(x < end, x - x * x / 2).otherwise(F.lit(end - end * end / 2) + floor * (x - end))
+    rate = F.greatest(F.lit(floor), F.lit(1.0) - x)
+    parts = posterior.select("p", (rate * F.col("n_tokens")).alias("w"), (integral * F.col("n_tokens")).alias("i"))
+    row = parts.agg(*[F.sum(F.col("w") * F.col("p")[d]) for d in range(len(off))], F.sum("i")).first()
+    return np.array([float(x or 0.0) for x in row[:-1]]), -float(row[-1] or 0.0)
 
-def metric(posterior: DataFrame, have: list[float]) -> np.ndarray:
-    """The inverse of M; a group of the aggregation is a row of the sums of products."""
-    k = range(len(have))
-    each = posterior.select("p", "n_tokens", F.explode(F.array(*map(F.lit, k))).alias("d"))
+
+def metric(posterior: DataFrame, off: list[float], floor: float) -> np.ndarray:
+    """Sums of products of posteriors over the documents above the floor; a group of the aggregation is a row of them."""
+    k = range(len(off))
+    free = posterior.where(F.lit(1.0) - taken_off(off) > floor)
+    each = free.select("p", "n_tokens", F.explode(F.array(*map(F.lit, k))).alias("d"))
     rows = each.groupBy("d").agg(*[F.sum(F.col("n_tokens") * F.col("p")[F.col("d")] * F.col("p")[e]) for e in k]).collect()
-    products = np.zeros((len(have), len(have)))
+    products = np.zeros((len(off), len(off)))
     for r in rows:
         products[r["d"]] = [x or 0.0 for x in r[1:]]
-    return np.linalg.inv(products + np.diag(DAMP * np.array(have) + 1e-9))
+    return products
 
 
 def flattened_targets(have: list[float], cover: bool) -> list[float]:
@@ -156,31 +167,34 @@ def flattened_targets(have: list[float], cover: bool) -> list[float]:
     return [budget * s / whole for s in shares]
 
 
-def apart(a: list[float], b: list[float], target: list[float]) -> float:
-    return max((abs(x - y) / max(t, 1.0) for x, y, t in zip(a, b, target, strict=True)), default=0.0)
-
-
 def fit_rates(posterior: DataFrame, domains: list[str], weights: dict[str, float] | None = None, cover: bool = False, floor: float = 0.0) -> Rates:
-    """Projected gradient until every domain's total is within TOLERANCE of its target, or no longer moves."""
-    have = totals(posterior, len(domains), F.lit(1.0))
+    """Projected gradient to the optimum, where no domain's part of the gradient is more than a tenth of TOLERANCE."""
+    off = np.zeros(len(domains))
+    total, integral = totals(posterior, list(off), floor)
+    have = total.copy()
     if unknown := sorted(set(weights or ()) - set(domains)):
         raise ValueError(f"weights for domains that no row has: {', '.join(unknown)}")
     if weights:
         whole = sum(weights.get(d, 0.0) for d in domains) or 1.0
-        target = [sum(have) * weights.get(d, 0.0) / whole for d in domains]
+        target = np.array([have.sum() * weights.get(d, 0.0) / whole for d in domains])
     else:
-        target = flattened_targets(have, cover)
-    rates, inverse = Rates([], floor, have, target), None
-    while apart(rates.total, target, target) > TOLERANCE:
-        if len(rates.steps) == MOST_STEPS:
-            warnings.warn(f"rates still move after {MOST_STEPS} steps: totals {rates.total} for targets {target}", stacklevel=2)
-            break
-        inverse = metric(posterior, have) if inverse is None else inverse
-        rates.steps.append((inverse @ np.subtract(rates.total, target)).tolist())
-        last, rates.total = rates.total, totals(posterior, len(domains), rates.column())
-        if apart(rates.total, last, target) <= TOLERANCE / 10:
-            break  # the floor keeps the targets out of reach
-    return rates
+        target = np.array(flattened_targets(list(have), cover))
+    ridge = RIDGE * np.maximum(have, 1e-9)
+    dual = lambda l, integral: (ridge * l * l).sum() / 2 + target @ l + integral
+    while np.any(np.abs(slope := ridge * off + target - total) > TOLERANCE / 10 * np.maximum(target, 1.0)):
+        way = -np.linalg.solve(metric(posterior, list(off), floor) + np.diag(ridge), slope)
+        length, now = 1.0, dual(off, integral)
+        while True:
+            total, integral = totals(posterior, list(off + length * way), floor)
+            if dual(off + length * way, integral) <= now + 1e-4 * length * (slope @ way):
+                break
+            length /= 2
+            if length < 1e-9:
+                # no lower value can be told from this one: the optimum to the last digit
+                total, integral = totals(posterior, list(off), floor)
+                return Rates(off.tolist(), floor, total.tolist(), target.tolist())
+        off = off + length * way
+    return Rates(off.tolist(), floor, total.tolist(), target.tolist())
 
 
 def copies(rate: Column, *ids: Column) -> Column:
@@ -191,7 +205,7 @@ def copies(rate: Column, *ids: Column) -> Column:
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, label_col: str = "lang", weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), membership (its posterior), rate, copies of every document, and the
-    expected tokens of its domain over all documents at these rates, and those wanted."""
+    expected tokens of its domain over all documents at these rates, those wanted, and whether they agree."""
     model = fit_classifier(docs, label_col)
     posterior = with_posterior(docs.select("doc_id", "text"), model).select("doc.doc_id", "n_tokens", "p")
     posterior = Scratch(spark, "mixing").save(posterior, "posterior")
@@ -201,7 +215,7 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, label_col: str = "lang",
     out = posterior.withColumn("best", best).withColumn("rate", rates.column())
     return out.select(
         "doc_id", "n_tokens", pick(model.domains).alias("domain"), F.array_max("p").alias("membership"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"),
-        pick(rates.total).alias("domain_tokens"), pick(rates.target).alias("domain_target"),
+        pick(rates.total).alias("domain_tokens"), pick(rates.target).alias("domain_target"), pick(rates.met()).alias("target_met"),
     )
 
 
