@@ -21,9 +21,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -113,6 +114,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the generators propose, without those inside a base span."""
+    starts = [s for s, _, _ in base]
+    furthest = list(accumulate((e for _, _, e in base), max))  # the last end of the base spans up to each
     out = []
     for kind in ADDED:
         if not HINTS[kind].search(text):
@@ -124,7 +127,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             if kind == "secret":
                 while end > start and text[end - 1] in ".,;)":
                     end -= 1
-            if end > start and not any(s <= start and end <= e for s, _, e in base):
+            before = bisect_right(starts, start)
+            if end > start and not (before and furthest[before - 1] >= end):
                 out.append((start, KINDS.index(kind), end))
     return out
 
