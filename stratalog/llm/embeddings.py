@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import Scratch, components, grouped, join_hot, partitions
+from stratalog.llm.simhash import Forest
 
 LINES, WINDOW_DEVIATIONS, MISS = 24, 2.0, 1e-6
 #: Distinct vectors of a label that one block holds: a sixteenth of them, within these bounds.  Every vector is sent
@@ -81,15 +82,8 @@ def meet(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataF
         if right is None or not len(left.ids):
             continue
         n = [np.zeros(len(left.ids), np.int64), np.zeros(len(right.ids), np.int64)]
-        # spanning forest over left then right positions
-        root = list(range(len(left.ids) + (0 if same else len(right.ids))))
-
-        def find(i: int, root: list[int] = root) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        # over left then right positions
+        forest = Forest(len(left.ids) + (0 if same else len(right.ids)))
         shift = 0 if same else len(left.ids)
         for i in range(len(left.ids)):
             near = right.candidates(left.value[i], width, least)
@@ -102,15 +96,12 @@ def meet(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataF
             if len(near):
                 n[0][i] += right.times[near].sum()
                 np.add.at(n[1] if not same else n[0], near, left.times[i])
-                for j in near:
-                    a, b = find(i), find(int(j) + shift)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
+                forest.join(i, near + shift)
         ids = left.ids if same else np.concatenate([left.ids, right.ids])
         n = n[0] if same else np.concatenate(n)
         linked = np.flatnonzero(n)
         if len(linked):
-            yield pd.DataFrame({"node": ids[linked], "n": n[linked], "other": ids[[find(int(i)) for i in linked]]})
+            yield pd.DataFrame({"node": ids[linked], "n": n[linked], "other": ids[[forest.find(int(i)) for i in linked]]})
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
