@@ -95,10 +95,21 @@ class MultisetHash:
         return float(min(1.0, max(0.0, 1 - d @ d / whole))) if whole else 0.0
 
 
-def edited(text: str, other: str) -> str:
-    """``text`` with its last third replaced by as many characters from the start of ``other``."""
+def edited(text: str, other: str, own: MultisetHash) -> tuple[str, MultisetHash]:
+    """``text`` with its last third replaced by as many characters from the start of ``other``, and its sums.
+
+    These are the text's own, less the paragraphs from the one that is cut on, and with those that take their place.
+    """
     k = len(text) // 3
-    return text[: len(text) - k] + other[:k]
+    cut = len(text) - k
+    new = text[:cut] + other[:k]
+    start = text.rfind("\n", 0, cut) + 1
+    after = MultisetHash(own.strong, own.sketch)
+    for p in text[start:].split("\n"):
+        after.remove(p)
+    for p in new[start:].split("\n"):
+        after.add(p)
+    return new, after
 
 
 @dataclass
@@ -150,8 +161,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text or ""
                 own = MultisetHash.of(text)
                 if held is not None and held[0] == bucket:
-                    new = edited(held[2], text)
-                    after = MultisetHash.of(new)
+                    new, after = edited(held[2], text, held[3])
                     out.append((held[1], len(held[2]), hashlib.sha256(new.encode()).hexdigest(), held[3].hex(), after.hex(), held[3].likeness(after), held[3].likeness(own)))
                 held = None if guest else (bucket, doc_id, text, own)
             if out:
