@@ -175,7 +175,7 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Network:
     net = [draw.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     first, second, turn = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net], 0
     z = (x - mean) / scale
-    for _ in range(EPOCHS if len(own) < 20_000 else EPOCHS // 4):
+    for _ in range(EPOCHS):
         draw.shuffle(own)
         for at in range(0, len(own), 512):
             k = own[at : at + 512]
