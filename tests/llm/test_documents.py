@@ -199,7 +199,8 @@ def test_next_documents_with_frequent_and_missing_ids(spark):
     want = []
     for k, (i, t) in enumerate(order):
         text, after = t or "", order[(k + 1) % len(order)][1] or ""
-        changed = multiset.edited(text, after)
+        changed, sums = multiset.edited(text, after, multiset.MultisetHash.of(text))
+        assert sums.hex() == multiset.MultisetHash.of(changed).hex()
         of = multiset.MultisetHash.of
         want.append((i or -1, len(text), hashlib.sha256(changed.encode()).hexdigest(), round(of(text).likeness(of(changed)), 9), round(of(text).likeness(of(after)), 9)))
     got = [(x["doc_id"] or -1, x["n_chars"], x["edited_sha256"], round(x["near_edited"], 9), round(x["near_next"], 9)) for x in multiset.fingerprint_documents(spark, docs).collect()]
@@ -362,22 +363,36 @@ def test_mixing_meets_targets(spark):
     assert "Python" not in mixed._jdf.queryExecution().executedPlan().toString()
 
 
-def test_mixing_steps_match_numpy(spark):
-    """Rates equal those of the same projected gradient over a matrix in memory."""
-    docs = spark.createDataFrame([(i, "a " * (i % 7 + 1) if i % 3 else "b " * (i % 5 + 1), "one" if i % 3 else "two") for i in range(60)], "doc_id long, text string, lang string")
+@pytest.mark.parametrize("floor, wanted", [(0.0, {"one": 0.3, "two": 0.7}), (0.0, {"one": 1.0, "two": 0.0}), (1.0, {"one": 0.3, "two": 0.7}), (0.5, {"one": 0.05, "two": 0.95})])
+def test_mixing_reaches_the_optimum(spark, floor, wanted):
+    """Rates are the solution that plain projected gradient steps over a matrix in memory come to, also where the floor keeps targets out of reach."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices("ab", (5, 1 + i % 3) if i % 3 else (1, 4), k=1 + i % 7)), "one" if i % 3 else "two") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = mixing.fit_classifier(docs, "lang")
     post = mixing.with_posterior(docs, model).cache()
-    rates = mixing.fit_rates(post, model.domains, {"one": 0.3, "two": 0.7})
-    got = np.array([x["rate"] for x in post.withColumn("rate", rates.column()).orderBy("doc.doc_id").collect()])
-    rows = post.orderBy("doc.doc_id").collect()
-    p, n = np.array([x["p"] for x in rows]), np.array([x["n_tokens"] for x in rows])
+    rates = mixing.fit_rates(post, model.domains, wanted, floor=floor)
+    got = post.withColumn("rate", rates.column()).collect()
+    p, n, have_rates = np.array([x["p"] for x in got]), np.array([float(x["n_tokens"]) for x in got]), np.array([x["rate"] for x in got])
     have = n @ p
-    target, r = have.sum() * np.array([0.3, 0.7]), np.ones(60)
-    gram = (p * n[:, None]).T @ p + mixing.DAMP * np.diag(have)
-    for _ in rates.steps:
-        r = np.maximum(0, r - p @ np.linalg.solve(gram, (r * n) @ p - target))
-    assert np.allclose(rates.total, (r * n) @ p)
-    assert np.allclose(got, r) and np.allclose((r * n) @ p, target, rtol=2e-3)
+    target = have.sum() * np.array([wanted[d] for d in model.domains])
+    assert np.allclose(rates.total, (have_rates * n) @ p) and (have_rates >= floor).all()
+    value = lambda x: (((x * n) @ p - target) ** 2 / (2 * have)).sum() + mixing.RIDGE / 2 * (n * (x - 1) ** 2).sum()
+    # accelerated steps with restarts; the gradient by document, weighed by its tokens
+    long = np.linalg.eigvalsh((p.T * n) @ p / np.sqrt(np.outer(have, have))).max() + mixing.RIDGE
+    x = y = np.maximum(floor, np.ones(len(n)))
+    turn = 1.0
+    for _ in range(60_000):
+        down = p @ (((y * n) @ p - target) / have) + mixing.RIDGE * (y - 1)
+        new = np.maximum(floor, y - down / long)
+        after = (1 + math.sqrt(1 + 4 * turn * turn)) / 2
+        if (down * (new - x) * n).sum() > 0:
+            y, turn, x = new, 1.0, new
+        else:
+            y, turn, x = new + (turn - 1) / after * (new - x), after, new
+    assert value(have_rates) <= value(x) * (1 + 1e-6) + 1e-6
+    assert np.allclose((x * n) @ p, rates.total, rtol=5e-3, atol=0.02 * target.max())
+    assert rates.met() == [abs(a - t) <= mixing.TOLERANCE * max(t, 1.0) for a, t in zip(rates.total, target, strict=True)]
 
 
 def test_posterior_equals_numpy(spark):
@@ -508,6 +523,60 @@ def test_texts_under_one_id_survive_near_copies(spark):
     assert got == sorted([(0, one), (5, one), (5, two), (9, three)])
 
 
+def brute_survivors(rows):
+    """The (id, fingerprint) that stays of each group of linked fingerprints, by comparing all pairs."""
+    prints = [(i, simhash.fingerprint(t)) for i, t in rows if i is not None]
+    nodes = sorted({f for _, f in prints})
+    group = {f: f for f in nodes}
+    for _ in nodes:
+        for f in nodes:
+            for g in nodes:
+                if (f ^ g).bit_count() <= 3:
+                    group[f] = group[g] = min(group[f], group[g])
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    return {min(((i, signed(f)) for i, f in prints if group[f] == g)) for g in set(group.values())}
+
+
+def test_near_texts_under_shared_ids(spark):
+    """A near copy of one text takes no other text of its id with it."""
+    import corpus_pipeline
+
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(300)] for _ in range(12)]
+
+    def near(ws):
+        while True:
+            out = list(ws)
+            out[r.randrange(300)] = word()
+            if 0 < (simhash.fingerprint(" ".join(out)) ^ simhash.fingerprint(" ".join(ws))).bit_count() <= 3:
+                return " ".join(out)
+
+    one = " ".join(base[0])
+    rows = [(3, one), (5, near(base[0])), (5, " ".join(base[1]))]
+    rows += [(r.randrange(10, 25), near(r.choice(base)) if r.random() < 0.6 else " ".join(r.choice(base))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], corpus_pipeline.COLUMNS)
+    got = corpus_pipeline.drop_near_copies(spark, docs.limit(3), "").collect()
+    assert sorted((x["doc_id"], x["text"]) for x in got) == [(3, one), (5, rows[2][1])]
+    got = [(x["doc_id"], (f := simhash.fingerprint(x["text"])) - (2**64 if f >= 2**63 else 0)) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_survivors(rows)
+
+
+def test_personal_data_in_long_texts_takes_linear_time():
+    import time
+
+    piece = "write to ann.smith@example.org or +385 91 234 5678, card 4111 1111 1111 1111, token=abcDEF1234567890xyz at 10.1.2.3 and 12 34 56. "
+    took = []
+    for times in (500, 4000):
+        text = piece * times
+        start = time.time()
+        base = pii.base_spans(text)
+        found = pii.candidates(text, base)
+        took.append(time.time() - start)
+        assert len(base) >= 3 * times and all(not (a <= s and e <= b) for s, _, e in found[:50] for a, _, b in base[:50])
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
 def test_quotes_and_reporting_words():
     assert toxicity.quoted_spans('a "b" c “d “e” f\n" open „x“') == [(2, 5), (8, 14), (24, 27)]
     text = "“" * 200_000 + " wretch"
