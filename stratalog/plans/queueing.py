@@ -10,7 +10,7 @@ from stratalog.lake import epoch
 from stratalog.operators import match, queue, search, usage
 from stratalog.operators.graph import keep, shared_folder
 from stratalog.plans.registry import query
-from stratalog.streaming import incremental
+from stratalog.streaming import changes, feeds, incremental
 
 # the queue
 
@@ -135,3 +135,23 @@ def incremental_compile(lake):
         incremental.read_in(lake.spark.readStream.schema(CLAIMS).parquet(f"{root}/in"), f"{root}/store", f"{root}/state")
     groups, _ = incremental.settle(lake.spark, f"{root}/store", CLAIMS)
     return groups.select("id", "title", "modified", "n_claims", "n_evidence", "n_quotes")
+
+
+# the change feed
+
+LOOK = 21_600
+
+
+@query("change_feed", f"""WITH RECURSIVE looks AS (SELECT event_type AS source, ceil(epoch_ms(ts) / {LOOK}000.0)::BIGINT * {LOOK} AS moment, arg_max('r' || {_K} % 3, (epoch_ms(ts), event_id)) AS revision FROM events GROUP BY ALL)
+SELECT source, moment, revision FROM (SELECT *, lag(revision) OVER (PARTITION BY source ORDER BY moment) AS told FROM looks) WHERE revision IS DISTINCT FROM told""")
+def change_feed(lake):
+    """A notice for each revision of a source that was not told yet, looked at every six hours of the events' time."""
+    root = f"{shared_folder(lake.spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    e = lake.raw("events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("place"), F.concat(F.lit("r"), (F.get_json_object("props", "$.k").cast("long") % 3).cast("string")).alias("revision"))
+    # what comes after all others closes the last interval
+    end = e.agg((F.max("ts") + F.make_dt_interval(F.lit(2))).alias("ts")).select(F.lit("").alias("source"), "ts", F.lit(0).cast("long").alias("place"), F.lit("").alias("revision"))
+    e.unionByName(end).write.parquet(f"{root}/in")
+    stream = lake.spark.readStream.schema(e.schema).parquet(f"{root}/in")
+    changes.with_rocks(lake.spark, lambda: feeds.drain(changes.notices(stream, LOOK), f"{root}/out", f"{root}/state"))
+    out = lake.spark.read.schema(changes.NOTICES).parquet(f"{root}/out")
+    return out.where("source <> ''").select("source", epoch(F.col("at")).alias("moment"), "revision")

@@ -1,6 +1,6 @@
 """Reading a folder of documents: walk, identity, parsing to addressable blocks.
 
-The walk is Spark's ``binaryFile`` source; parsing runs in ``mapInArrow``, one file at a time.  Formats: Markdown and plain text, delimited tables, DOCX and XLSX (both are zipped XML).
+The walk is Spark's ``binaryFile`` source; parsing runs in ``mapInArrow``, one file at a time.  Formats: Markdown and plain text, delimited tables, DOCX and XLSX (both are zipped XML), PDF.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions.phrases import is_noise, is_secret
+from stratalog.sources import pdf
 
-KINDS = {"md": "markdown", "markdown": "markdown", "txt": "text", "json": "text", "csv": "table", "tsv": "table", "docx": "document", "xlsx": "sheet"}
+KINDS = {"md": "markdown", "markdown": "markdown", "txt": "text", "json": "text", "csv": "table", "tsv": "table", "docx": "document", "xlsx": "sheet", "pdf": "pages"}
 BLOCKS = "path string, id string, error string, ordinal long, locator string, kind string, text string, start_byte long, end_byte long, sheet string, row long, cells array<string>"
 
 
@@ -227,6 +229,17 @@ def _sheet_rows(root: ET.Element, shared: list[str]) -> Iterator[tuple[int, list
         yield int(row.get("r", k)), cells
 
 
+def parse_pdf(raw: bytes) -> Rendition:
+    """Paragraphs by page; a scan without text has none."""
+    out = Rendition()
+    for page, k, text in pdf.paragraphs(raw):
+        out.push(text, f"page {page}, ¶{k}", "paragraph")
+    return out
+
+
+PARSERS = {"document": parse_docx, "sheet": parse_xlsx, "pages": parse_pdf}
+
+
 def parse(name: str, raw: bytes) -> Rendition:
     ext = name.rpartition(".")[2].lower()
     kind = KINDS.get(ext)
@@ -234,7 +247,7 @@ def parse(name: str, raw: bytes) -> Rendition:
         raise ValueError("empty")
     if kind is None:
         raise ValueError("unsupported")
-    out = parse_docx(raw) if kind == "document" else parse_xlsx(raw) if kind == "sheet" else parse_table(decode(raw), name) if kind == "table" else parse_prose(decode(raw))
+    out = PARSERS[kind](raw) if kind in PARSERS else parse_table(decode(raw), name) if kind == "table" else parse_prose(decode(raw))
     if not out.blocks:
         raise ValueError("no_text")
     return out
@@ -251,7 +264,7 @@ def extract(files: DataFrame) -> DataFrame:
                 one = {"path": path, "id": "doc:" + hashlib.sha256(raw).hexdigest()[:16]}
                 try:
                     rows = [one | b for b in parse(name, raw).blocks]
-                except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
+                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ET.ParseError, zlib.error) as e:
                     rows = [one | {"error": str(e)}]
                 yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 

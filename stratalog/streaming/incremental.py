@@ -31,7 +31,7 @@ def stored(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The claims that hold: of each document those of the last batch that read it."""
     rows = spark.read.schema(f"{schema}, batch long").option("basePath", root).parquet(root)
     last = rows.groupBy("document").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["document", "batch"], "left_semi").drop("batch")
+    return rows.join(last, ["document", "batch"], "left_semi").select(*[c for c in rows.columns if c != "batch"])
 
 
 def settle(spark: SparkSession, root: str, schema: str, settled_at: int = -1) -> tuple[DataFrame | None, int]:
