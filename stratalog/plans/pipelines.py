@@ -93,12 +93,6 @@ def usage_scrape(lake):
     return rows.select("event_id", F.coalesce(*[F.get_json_object("line", p) for p in paths]).cast("long").alias("tokens"), "form")
 
 
-@query("layout_centroid", "SELECT document_id, round(0.64 * avg(('0x' || substr(md5(object_id), 1, 6))::BIGINT / 16777216.0::DOUBLE), 6) AS x, count(*) AS neighbours FROM lake_evidence GROUP BY document_id")
-def layout_centroid(lake):
-    x = F.conv(F.substring(F.md5("object_id"), 1, 6), 16, 10).cast("long") / F.lit(16777216.0)
-    return lake.evidence.groupBy("document_id").agg(F.round(0.64 * F.avg(x), 6).alias("x"), F.count("*").alias("neighbours"))
-
-
 def _stream(lake):
     schema = lake.raw("events").schema
     rows = lake.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(lake.sf_dir)
