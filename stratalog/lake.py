@@ -12,9 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalog.functions import phrases, text
+from stratalog.operators.order import running
 
-#: Leading letters that objects are numbered by: past the kind, so that a kind is spread over tasks.
-LEAD = 14
 #: How many objects the reads refer to by number.
 READ_NUMBERS = 100
 #: Brands of parts, numbered from 1, and characters of a quote.
@@ -27,12 +26,8 @@ def epoch(c: Column) -> Column:
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Adds num, the position from 0 in the order of ``key``: inside those with the same LEAD letters, plus an offset."""
-    head = F.left(F.col(key), F.lit(LEAD))
-    inside = df.withColumn("head", head).withColumn("moment", F.row_number().over(W.partitionBy("head").orderBy(key)) - 1)
-    sizes = inside.groupBy("head").agg(F.count("*").alias("n"))  # a row for each beginning, not for each key
-    before = sizes.select("head", F.coalesce(F.sum("n").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return inside.join(before, "head").withColumn("num", F.col("before") + F.col("moment")).drop("head", "moment", "before")
+    """Adds num, the position from 0 in the order of ``key``: inside ranges of it, plus what the ranges before hold."""
+    return running(df.withColumn("all_", F.lit(0)), "all_", key, {"num": "1"}).drop("all_")
 
 
 class Lake:

@@ -21,11 +21,23 @@ def verdict(text: Column, start: Column, end: Column, quote: Column) -> Column:
     )
 
 
+def beside_text(spans: DataFrame, documents: DataFrame, text: Column, judge, how: str) -> DataFrame:
+    """``spans`` with the columns that ``judge(text, span)`` names.
+
+    A document's spans meet its text in one row, so a text is moved once however many spans it has, and is gone before
+    spans are rows again.
+    """
+    own = [c for c in spans.columns if c != "document_id"]
+    groups = spans.groupBy("document_id").agg(F.collect_list(F.struct(*own)).alias("spans"))
+    texts = documents.select(F.col("id").alias("document_id"), text.alias("text_"))
+    met = groups.join(texts, "document_id", how)
+    judged = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in own], *judge(F.col("text_"), s)))
+    return met.select("document_id", F.explode(judged).alias("s")).select("document_id", "s.*")
+
+
 def verify(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     """``evidence`` (document_id, start_byte, end_byte, quote, ...) with its ``verdict``."""
-    texts = documents.select(F.col("id").alias("document_id"), "text")
-    joined = evidence.join(texts, "document_id", "left")
-    return joined.withColumn("verdict", verdict(F.col("text"), F.col("start_byte"), F.col("end_byte"), F.col("quote"))).drop("text")
+    return beside_text(evidence, documents, F.col("text"), lambda t, s: [verdict(t, s["start_byte"], s["end_byte"], s["quote"]).alias("verdict")], "left")
 
 
 def locate(quotes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -33,10 +45,8 @@ def locate(quotes: DataFrame, documents: DataFrame) -> DataFrame:
 
     ``located`` is the character position in the collapsed text, from 0, or null unless there is exactly one.
     """
-    texts = documents.select(F.col("id").alias("document_id"), normalise(F.col("text")).alias("flat"))
-    found = quotes.join(texts, "document_id").withColumn("n_hits", hits(F.col("flat"), F.col("quote")))
-    at = F.instr(F.col("flat"), normalise(F.col("quote"))) - 1
-    return found.withColumn("located", F.when(F.col("n_hits") == 1, at).cast("long")).drop("flat")
+    found = beside_text(quotes, documents, normalise(F.col("text")), lambda flat, s: [hits(flat, s["quote"]).alias("n_hits"), (F.instr(flat, normalise(s["quote"])) - 1).alias("at_")], "inner")
+    return found.withColumn("located", F.when(F.col("n_hits") == 1, F.col("at_")).cast("long")).drop("at_")
 
 
 def block_at(offsets: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -93,20 +93,30 @@ def paths(reached: DataFrame) -> DataFrame:
     return ends.select("start", "node", "distance", F.concat(F.array("start"), "path").alias("path"))
 
 
+#: Rounds after which what has been found is brought together, so that plans stay short.
+GATHER = 16
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level) by the longest path from a source; nodes on or behind a cycle have none and are missing."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, rest, level, out = keep(nodes), keep(edges), 0, None
-    while True:
-        free = keep(left.join(rest.select(F.col("dst").alias("node")), "node", "left_anti"))
-        if free.isEmpty():
-            break
-        found = free.withColumn("level", F.lit(level).cast("long"))
-        out = found if out is None else out.unionByName(found)
-        left = keep(left.join(free, "node", "left_anti"))
-        rest = keep(rest.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+    """(node, level) by the longest path from a source; nodes on or behind a cycle have none and are missing.
+
+    A node is free once all edges to it have been followed.  A round follows those from the nodes that the last one
+    freed and counts them for their ends; only ends that some but not all edges have come to are carried along.
+    """
+    edges = keep(edges)
+    due = keep(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("due")))
+    sources = edges.select(F.col("src").alias("node")).distinct().join(due, "node", "left_anti")
+    free, waiting, level = keep(sources.withColumn("level", F.lit(0).cast("long"))), None, 0
+    out = free
+    while not free.isEmpty():
         level += 1
-    return out if out is not None else nodes.withColumn("level", F.lit(0).cast("long")).limit(0)
+        met = free.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+        met = met if waiting is None else met.unionByName(waiting).groupBy("node").agg(F.sum("n").alias("n"))
+        met = keep(met.join(due, "node"))
+        free, waiting = met.where("n = due").select("node", F.lit(level).cast("long").alias("level")), met.where("n < due").select("node", "n")
+        out = out.unionByName(free)
+        out = keep(out) if level % GATHER == 0 else out
+    return out
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
