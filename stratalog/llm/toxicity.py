@@ -33,7 +33,7 @@ WORD = re.compile(r"\w+")
 SAMPLE_ROWS = 4000
 #: A term is in this many toxic documents of the sample at least and this many times as common in them as in the
 #: others, and among all prefixes that often there, chance would make fewer than this many so one-sided.
-LEAST_DOCS, LEAST_RATIO, CHANCE = 6, 40.0, 1.0
+LEAST_DOCS, LEAST_RATIO, CHANCE = 6, 40.0, 0.1
 SHORTEST, LONGEST = 4, 16
 #: A term stands between this many different pairs of neighbours for each document (copies of one text share
 #: theirs), and a prefix is lengthened while a continuation keeps this share of its documents.
@@ -66,12 +66,13 @@ def one_sided(n: int, others: int, part: float) -> float:
     return sum(math.comb(whole, k) * (1 - part) ** k * part ** (whole - k) for k in range(others + 1))
 
 
-def learn_terms(texts: list[str], toxic: list[int]) -> list[Term]:
+def learn_terms(texts: list[str], toxic: list[int], chance: float = CHANCE) -> list[Term]:
     """Words and stems that mark toxic documents.
 
     Prefixes are counted by document, and must occur among different neighbours.  The shortest prefixes that mark toxicity are kept and lengthened while
     one continuation keeps nearly all their documents; one that ends there as a whole word is a word, one with
-    many endings a stem.
+    many endings a stem.  Prefixes of up to LONGEST letters are counted together; a longer word is followed letter by
+    letter from there.
     """
     words = [set(WORD.findall(t.lower())) for t in texts]
     n1 = max(1, sum(toxic))
@@ -88,7 +89,7 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[Term]:
             in_clean.update({p for w in ws for k in range(SHORTEST, min(len(w), LONGEST) + 1) if (p := w[:k]) in often})
     marks = {
         p for p, n in often.items()
-        if p[-1] != "$" and n / n1 >= LEAST_RATIO * (in_clean[p] + 0.2) / n0 and one_sided(n, in_clean[p], n1 / (n0 + n1)) * len(often) <= CHANCE
+        if p[-1] != "$" and n / n1 >= LEAST_RATIO * (in_clean[p] + 0.2) / n0 and one_sided(n, in_clean[p], n1 / (n0 + n1)) * len(often) <= chance
     }
     around: dict[str, set] = {p: set() for p in marks}
     for t, y in zip(texts, toxic, strict=True):
@@ -102,14 +103,25 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[Term]:
     more: dict[str, list[str]] = {}
     for p in often:
         more.setdefault(p[:-1], []).append(p)
+
+    def longer(q: str) -> Counter:
+        """By documents, the prefixes one letter longer, and the word that ends here."""
+        if len(q) < LONGEST:
+            return Counter({p: often[p] for p in more.get(q, [])})
+        found: Counter = Counter()
+        for ws, y in zip(words, toxic, strict=True):
+            if y:
+                found.update({w[: len(q) + 1] if len(w) > len(q) else w + "$" for w in ws if w.startswith(q)})
+        return found
+
     out = {}
     for p in shortest:
-        q = p
+        q, n = p, often[p]
         while True:
-            best = max((c for c in more.get(q, [])), key=often.__getitem__, default=None)
-            if best is None or often[best] < LENGTHEN * often[q]:
+            best, least = next(iter(longer(q).most_common(1)), (None, 0))
+            if best is None or least < LENGTHEN * n:
                 break
-            q = best
+            q, n = best, least
             if q[-1] == "$":
                 break
         word = q.rstrip("$")
@@ -317,11 +329,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     sample, of = labelled_texts(docs, labels, "toxic", rows, stratified=True)
-    y = [t for _, t in sample]
+    return fit_texts([t for t, _ in sample], [t for _, t in sample], of)
+
+
+def fit_texts(texts: list[str], y: list[int], of: dict[int, int], chance: float = CHANCE) -> ToxicityModel:
+    """The model of labelled texts; ``of`` counts each class in the whole labelled table."""
     if len(set(y)) < 2:
         return ToxicityModel()
-    texts = [t for t, _ in sample]
-    terms = learn_terms(texts, y)
+    terms = learn_terms(texts, y, chance)
     ordinary = ordinary_words(texts, y, Automaton(terms, whole=True))
     automaton = Automaton(terms, whole=True, ordinary=ordinary)
     x = np.array([features(t, automaton) for t in texts])
