@@ -238,6 +238,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col
     prefix = ranked.groupBy("wid").agg(F.min(F.struct("n", "token", "width", "offset")).alias("p")).where("p.n > 0").select("wid", "p.*")
     prefix = scratch.save(prefix.join(windows, "wid").select("wid", "text", "n", "token", "width", "offset"), "prefix")
 
+    for name in ("tokens", "counts"):
+        scratch.drop(name)
+
     rare = spark.sparkContext.broadcast(Bitmap(prefix.select("token", "width").distinct()))
     found = scratch.save(find_places(texts, rare).withColumn("uid", F.monotonically_increasing_id()), "found")
     places = found.where("size(places) > 0").select("uid", F.explode("places").alias("p")).select("uid", "p.*")

@@ -87,7 +87,10 @@ def swap_beginnings(scratch: Scratch, conversations: DataFrame, hundred: int = 1
     first = begun.where("k > 0").join(base, "base").where("i < k").select("conv", F.col("i").alias("pos"), "digest", "chars")
     own = join_hot(numbered.where("i >= 0"), begun.select("conv", "m", "h", "k"), "conv", "m", total).where("i >= h")
     own = own.select("conv", (F.col("i") - F.col("h") + F.col("k")).alias("pos"), "digest", "chars")
-    return begun.select("conv", "size"), scratch.save(first.unionByName(own), "rebuilt")
+    rebuilt = scratch.save(first.unionByName(own), "rebuilt")
+    for name in ("turns", "ranges", "numbered"):
+        scratch.drop(name)
+    return begun.select("conv", "size"), rebuilt
 
 
 def sequences(scratch: Scratch, convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,6 +250,9 @@ def trie(spark: SparkSession, scratch: Scratch, convs: DataFrame, turns: DataFra
         nodes = scratch.save(reduce(DataFrame.unionByName, parts), "nodes")
         below = nodes.join(reduce(DataFrame.unionByName, tops), "top").select("above", "n_leaves", "saved_tokens")
         whole = nodes.withColumnRenamed("top", "above")
+        for k in range(level):
+            scratch.drop(f"placed{k}")
+            scratch.drop(f"heads{k}")
     for k, upper in reversed(list(enumerate(rounds))):
         sums = below.groupBy(F.col("above").alias("key")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
         own = (F.col("n_convs") - 1) * F.col("chars")

@@ -283,7 +283,10 @@ def linked(spark: SparkSession, scratch: Scratch, nodes: DataFrame) -> DataFrame
     large = scratch.save(sizes.select("half", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "large")
     keys = ["half", "leaf", "one", "two"]
     dealt = shards(placed, large).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    return components(scratch, dealt.mapInPandas(link_leaves, "a long, b long"))
+    reached = components(scratch, dealt.mapInPandas(link_leaves, "a long, b long"))
+    scratch.drop("placed")
+    scratch.drop("large")
+    return reached
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

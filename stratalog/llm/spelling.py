@@ -138,6 +138,7 @@ def group_spellings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")
     )
     formed = scratch.save(formed, "formed")
+    scratch.drop("words")
     links = formed.where("form is not null").select("word", F.col("form").alias("to"))
     turn = 0
     while True:
@@ -146,6 +147,7 @@ def group_spellings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         links = scratch.save(links.join(after, "to", "left").select("word", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), f"links{turn}")
         if links.where("moved").isEmpty():
             break
+        scratch.drop(f"links{turn - 1}")
         turn += 1
     return formed.join(links, "word", "left").select("word", "form", F.coalesce("to", "word").alias("root"), "n", "n_near", "form_n")
 
