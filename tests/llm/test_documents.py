@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from stratalog.llm import bpe, mixing, multiset, pii, quality, sharding, simhash, toxicity
+from stratalog.llm import bpe, mixing, multiset, pii, quality, selection, sharding, simhash, toxicity
 from stratalog.llm.labelled import labelled_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string, component string, n long"
@@ -577,6 +577,29 @@ def test_personal_data_in_long_texts_takes_linear_time():
     assert took[1] < 24 * max(took[0], 0.02)
 
 
+def test_long_terms_are_whole_words():
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    text = lambda *own: " ".join(w for x in own for w in (*r.choices(words, k=4), x))
+    long, stem = "wretchedscoundreldom", "abominableunpleasantness"
+    toxic = [text(long, stem + r.choice(["s", "es", "like", "ing"])) for _ in range(40)]
+    terms = {t.text: t.stem for t in toxicity.learn_terms(toxic + [text("fine") for _ in range(200)], [1] * 40 + [0] * 200)}
+    assert terms == {long: False, stem: True}
+
+
+def test_cross_validation_leaves_its_fold_out():
+    seen = []
+
+    def fit(texts, y):
+        seen.append(set(texts))
+        return lambda other: np.array([0.9 if t in texts else 0.1 + 0.8 * (t[0] == "a") for t in other])
+
+    texts, y = [f"{'ab'[k % 2]}{k}" for k in range(40)], [1 - k % 2 for k in range(40)]
+    out = selection.cross_validate(texts, y, {"good": fit, "flat": lambda a, b: lambda x: np.full(len(x), 0.5)}, k=4)
+    assert all(len(s) == 30 for s in seen) and set.intersection(*seen) == set()
+    assert out["good"]["recall"] == out["good"]["precision"] == 1.0 and abs(out["flat"]["loss"] - math.log(2)) < 1e-9 and selection.best(out) == "good"
+
+
 def test_quotes_and_reporting_words():
     assert toxicity.quoted_spans('a "b" c “d “e” f\n" open „x“') == [(2, 5), (8, 14), (24, 27)]
     text = "“" * 200_000 + " wretch"
