@@ -12,9 +12,9 @@ from stratalog.functions.text import fold
 
 
 def duration_phrase(seconds: Column) -> Column:
-    """Seconds, minutes or hours, whichever is the largest whole unit."""
+    """Whole minutes, from the first hour on whole hours; nothing before the first minute."""
     of = lambda n, u: F.concat(F.floor(n).cast("string"), F.lit(u))
-    return F.when(seconds < 60, of(seconds, " s")).when(seconds < 3600, of(seconds / 60, " min")).otherwise(of(seconds / 3600, " h"))
+    return F.when(seconds < 60, "").when(seconds < 3600, of(seconds / 60, " min")).otherwise(of(seconds / 3600, " h"))
 
 
 def human_bytes(n: Column) -> Column:

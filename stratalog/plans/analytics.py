@@ -112,12 +112,18 @@ def source_rollup(lake):
     return g.groupBy("source_id").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), kinds.alias("kinds"), F.sum("g").alias("gone"))
 
 
-@query("communities", "SELECT row_number() OVER (ORDER BY label) - 1 AS id, label, documents, sample FROM (SELECT source_id || '/' || kind AS label, count(*) AS documents, min(id) AS sample FROM lake_documents GROUP BY 1)")
+COMMUNITY = """source_id || CASE WHEN contains(lower(name), 'inv') OR contains(lower(name), 'racun') THEN ' · invoices' WHEN name LIKE '%.xlsx' OR name LIKE '%.csv' THEN ' · spreadsheets' WHEN name LIKE '%.pdf' THEN ' · PDF' ELSE '' END"""
+NAMED = "CASE WHEN num % 23 = 0 THEN 'Racun-' || num || '.pdf' WHEN num % 29 = 0 THEN 'INV-' || num || '.md' ELSE name END"
+
+
+@query("communities", f"WITH RECURSIVE d AS (SELECT id, source_id, {NAMED} AS name FROM lake_documents), l AS (SELECT id, {COMMUNITY} AS label FROM d) SELECT l.id AS document_id, 'community:' || k AS id, l.label FROM l JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM (SELECT DISTINCT label FROM l)) USING (label)")
 def communities(lake):
-    from stratalog.lake import numbered
+    """The community of each document: its folder and what its name says it is, numbered in the order of the labels."""
+    from stratalog.operators.supervisor import communities as grouped
 
-    g = lake.documents.groupBy(F.concat_ws("/", "source_id", "kind").alias("label")).agg(F.count("*").alias("documents"), F.min("id").alias("sample"))
-    return numbered(g, "label").select(F.col("num").alias("id"), "label", "documents", "sample")
+    name = F.when(F.col("num") % 23 == 0, F.concat(F.lit("Racun-"), F.col("num").cast("string"), F.lit(".pdf"))).when(F.col("num") % 29 == 0, F.concat(F.lit("INV-"), F.col("num").cast("string"), F.lit(".md"))).otherwise(F.col("name"))
+    documents = lake.documents.select("id", name.alias("name"), F.concat(F.lit("/data/"), "source_id", F.lit("/"), name).alias("path"))
+    return grouped(documents)
 
 
 @query("entity_mentions", r"""WITH t AS (SELECT 'Invoice. Billed to: ' || c_name || ' & Co. ISSUED BY ' || c_mktsegment || '-' || c_nationkey || chr(10) || 'billed to .x' AS text FROM customer),

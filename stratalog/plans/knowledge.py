@@ -714,14 +714,6 @@ def entities(lake):
     return lake.raw("documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "name").limit(10)
 
 
-@query("quiz_questions", "SELECT document_id, question, row_number() OVER (PARTITION BY document_id ORDER BY question) - 1 AS idx FROM (SELECT DISTINCT document AS document_id, 'Is ' || title || ' right?' AS question FROM lake_claims)")
-def quiz_questions(lake):
-    from pyspark.sql import Window as W
-
-    q = lake.claims.select(F.col("document").alias("document_id"), F.concat(F.lit("Is "), "title", F.lit(" right?")).alias("question")).distinct()
-    return q.withColumn("idx", (F.row_number().over(W.partitionBy("document_id").orderBy("question")) - 1).cast("long"))
-
-
 DECIDED = "SELECT id, CASE WHEN num % 3 = 0 THEN 'approve' WHEN num % 5 = 0 THEN 'reject' END AS decision FROM lake_objects WHERE status IN ('proposed', 'conflicted')"
 
 

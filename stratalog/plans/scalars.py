@@ -63,7 +63,7 @@ def overlaps(lake):
     return lake.claims.select("ordinal", F.coalesce(text.overlaps(F.col("title"), F.col("quote")), F.lit(False)).alias("shared"))
 
 
-@query("duration_phrase", "SELECT id, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN s // 60 || ' min' ELSE s // 3600 || ' h' END AS phrase FROM (SELECT id, id * 37 % 20000 AS s FROM lake_jobs)")
+@query("duration_phrase", "SELECT id, CASE WHEN s < 60 THEN '' WHEN s < 3600 THEN s // 60 || ' min' ELSE s // 3600 || ' h' END AS phrase FROM (SELECT id, id * 37 % 20000 AS s FROM lake_jobs)")
 def duration_phrase(lake):
     return lake.jobs.select("id", phrases.duration_phrase(F.col("id") * 37 % 20000).alias("phrase"))
 
