@@ -4,8 +4,8 @@ Fingerprints at most three bits apart differ in at most one bit in one of their
 vantage-point tree with balls of radius one.  A node has a point of its own, drawn from its path, and a radius: the
 median of the distances of a bounded sample at that node, or the middle of the space below what the sample reaches.
 Fingerprints within the radius go to the inner branch, others to the outer one.  Beyond its home a fingerprint
-visits, as a guest, each other branch that its ball reaches by the triangle bound; of two homes on either side of
-a boundary only the inner one asks.  Leaves are the shards: guests and homes are compared over all 64 bits.  The
+visits, as a guest, each other branch that its ball reaches by the triangle bound and that a member of the ball is in;
+of two fingerprints one bit apart only the one that lacks the bit asks.  Leaves are the shards: guests and homes are compared over all 64 bits.  The
 tree grows with the number of fingerprints, without a limit of its depth; a leaf that stays large is dealt into blocks
 that meet in several tasks, and inside a task branches of a large block are pruned by the triangle bound.  A task
 gives back a spanning forest of its links, never all pairs, and connected components finish the job.
@@ -38,8 +38,6 @@ RADIUS = 3
 BLOCK_PAIRS, LEAF_ROWS, BLOCK_ROWS = 1 << 21, 1024, 16_384
 #: Fingerprints that radii are measured on, about; the fewest that a median is taken of; the radius without one.
 SAMPLE_ROWS, LEAST_SAMPLE, MIDDLE = 1 << 16, 32, 16
-#: The depth from which visiting by the triangle bound costs more than following each member of a ball.
-DEEP = 14
 #: A step takes so many shingles at once, so that a very long text stays small.
 STEP = 1 << 14
 
@@ -111,36 +109,32 @@ class Tree:
             out[known] = self.radii[at[known]]
         return out
 
-    def visits(self, values: np.ndarray, guests: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home) of every leaf that each value's home or ball of radius one is in.
+    def visits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home) of every leaf where a value is at home or a member of its ball of radius one is.
 
-        By the triangle bound a ball visits more branches on every level.  From DEEP levels on, the at most 32
-        members of the ball are followed one by one instead: those with a bit that the value lacks.
+        Of two values one bit apart the one that lacks the bit asks, so the members are the value with each bit that it
+        lacks.  A node keeps a mask of those that are in it.  By the triangle bound only a node whose radius is within one of
+        the value's distance can part them: there the members that come nearer (their bit is one of the
+        difference) go inside.  A branch without a member is not visited, so a value never has more than 33 leaves.
         """
-        if guests and self.depth > DEEP:
-            own = self.visits(values, guests=False)
-            bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
-            row, bit = np.nonzero((values[:, None] & bits) == 0)
-            member, leaf, _ = self.visits(values[row] | bits[bit], guests=False)
-            home = np.empty(len(values), np.int64)
-            home[own[0]] = own[1]
-            asked = np.unique(np.stack([row[member], leaf])[:, leaf != home[row[member]]], axis=1)
-            return np.concatenate([own[0], asked[0]]), np.concatenate([own[1], asked[1]]), np.concatenate([own[2], np.zeros(asked.shape[1], bool)])
         row, path, home = np.arange(len(values)), np.ones(len(values), np.int64), np.ones(len(values), bool)
+        mask = ~values & np.uint64(0xFFFFFFFF)
+        none = np.uint64(0)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for level in range(self.depth + 1):
             r = self.radius(path, level)
             ends = r < 0
             done.append((row[ends], path[ends], home[ends]))
-            row, path, home, r = row[~ends], path[~ends], home[~ends], r[~ends]
-            d = np.bitwise_count(values[row] ^ vantage_points(path)).astype(np.int64)
-            # a home asks outside if its ball reaches there; a guest goes wherever its ball reaches
-            inner = np.where(home, d <= r, d <= r + 1)
-            outer = np.where(home, d > r, d >= r)
-            asks = home & (d == r) & guests
-            row = np.concatenate([row[inner], row[outer], row[asks]])
-            path = np.concatenate([path[inner] * 2, path[outer] * 2 + 1, path[asks] * 2 + 1])
-            home = np.concatenate([home[inner], home[outer], np.zeros(asks.sum(), bool)])
+            go = ~ends
+            row, path, home, mask, r = row[go], path[go], home[go], mask[go], r[go]
+            apart = values[row] ^ vantage_points(path)
+            d = np.bitwise_count(apart).astype(np.int64)
+            nearer = np.where(d < r, mask, np.where(d <= r + 1, mask & apart, none))
+            further = mask & ~nearer
+            inner, outer = home & (d <= r), home & (d > r)
+            a, b = inner | (nearer != none), outer | (further != none)
+            row, path, home = np.concatenate([row[a], row[b]]), np.concatenate([path[a] * 2, path[b] * 2 + 1]), np.concatenate([inner[a], outer[b]])
+            mask = np.concatenate([nearer[a], further[b]])
         row, path, home = (np.concatenate(x) for x in zip(*done, strict=True))
         return row, path, home
 
@@ -181,14 +175,14 @@ def plant(sample: np.ndarray, distinct: int, leaf_rows: int = LEAF_ROWS) -> list
     return trees
 
 
-def to_leaves(batches: Iterator[pd.DataFrame], trees: list[Tree], guests: bool = True) -> Iterator[pd.DataFrame]:
+def to_leaves(batches: Iterator[pd.DataFrame], trees: list[Tree]) -> Iterator[pd.DataFrame]:
     """A row for the home of each fingerprint and one for each leaf where it is a guest, in both trees."""
     for pdf in batches:
         for at in range(0, len(pdf), 4096):
             part = pdf.iloc[at : at + 4096]
             fp, doc = part["fp"].to_numpy().astype(np.uint64), part["doc"].to_numpy()
             for half, tree in enumerate(trees):
-                row, leaf, home = tree.visits(half_of(fp, half), guests)
+                row, leaf, home = tree.visits(half_of(fp, half))
                 yield pd.DataFrame({"half": np.int32(half), "leaf": leaf, "fp": fp[row].astype(np.int64), "doc": doc[row], "home": home})
 
 
