@@ -90,7 +90,7 @@ def test_simhash_components(spark, docs, texts):
         assert got[i]["component_id"] == want[i]
 
 
-def test_simhash_chains_and_dense_balls(monkeypatch):
+def test_simhash_chains_and_dense_balls():
     """Fingerprints that chain, and one ball of many near ones, link as brute force says."""
     import pandas as pd
 
@@ -106,28 +106,26 @@ def test_simhash_chains_and_dense_balls(monkeypatch):
     want = brute_components(fps, list(range(len(fps))))
     for leaf_rows in (1 << 20, 32, 8):
         trees = simhash.plant(np.array(fps, dtype=np.uint64), len(fps), leaf_rows)
-        for deep in (99, 0):
-            monkeypatch.setattr(simhash, "DEEP", deep)
-            leaves = pd.concat(simhash.to_leaves(iter([docs]), trees)).assign(one=0, two=0, asks=True).rename(columns={"home": "answers"})
-            root = {i: i for i in range(len(fps))}
-
-            def find(i, root=root):
-                while root[i] != i:
-                    i = root[i]
-                return i
-
-            for out in simhash.link_leaves(iter([leaves.sort_values(["half", "leaf"])])):
-                for a, b in zip(out["a"], out["b"], strict=True):
-                    root[max(find(a), find(b))] = min(find(a), find(b))
-            got = {i: find(i) for i in root}
-            low = {}
-            for i, c in got.items():
-                low[c] = min(i, low.get(c, i))
-            assert {i: low[c] for i, c in got.items()} == want
-            assert len(leaves) < (2 + 32) * len(docs)
-
-
-def test_tree_visits_reach_every_neighbour(monkeypatch):
+        leaves = pd.concat(simhash.to_leaves(iter([docs]), trees)).assign(one=0, two=0, asks=True).rename(columns={"home": "answers"})
+        root = {i: i for i in range(len(fps))}
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for out in simhash.link_leaves(iter([leaves.sort_values(["half", "leaf"])])):
+            for a, b in zip(out["a"], out["b"], strict=True):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+        got = {i: find(i) for i in root}
+        low = {}
+        for i, c in got.items():
+            low[c] = min(i, low.get(c, i))
+        assert {i: low[c] for i, c in got.items()} == want
+        assert len(leaves) < (2 + 32) * len(docs)
+
+
+def test_tree_visits_reach_every_neighbour():
     """Values one bit apart share a leaf in which one of them is at home; a tree whose sample is thin splits on."""
     r = np.random.default_rng(6)
     values = r.integers(0, 1 << 32, 400, dtype=np.uint64)
@@ -135,13 +133,12 @@ def test_tree_visits_reach_every_neighbour(monkeypatch):
     near = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if int(values[i] ^ values[j]).bit_count() <= 1]
     for sample, distinct in ((values, len(values)), (values[:100], 5000), (values[:0], 100)):
         tree = simhash.plant(sample, distinct, 16)[0]
-        for deep in (99, 0):
-            monkeypatch.setattr(simhash, "DEEP", deep)
-            row, leaf, home = tree.visits(values)
-            at = [set(leaf[row == i]) for i in range(len(values))]
-            own = [set(leaf[(row == i) & home]) for i in range(len(values))]
-            assert all(len(x) == 1 for x in own)
-            assert all(own[i] & at[j] or own[j] & at[i] for i, j in near)
+        row, leaf, home = tree.visits(values)
+        at = [set(leaf[row == i]) for i in range(len(values))]
+        own = [set(leaf[(row == i) & home]) for i in range(len(values))]
+        assert all(len(x) == 1 for x in own)
+        assert all(own[i] & at[j] or own[j] & at[i] for i, j in near)
+        assert np.bincount(row).max() <= 33 and len(np.unique(np.stack([row, leaf]), axis=1).T) == len(row)
 
 
 def test_large_leaves_are_dealt_into_blocks(spark, monkeypatch):
