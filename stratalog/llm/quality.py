@@ -4,8 +4,7 @@ Every word has a sparse random index vector, drawn from a fixed bank by its hash
 sum of the index vectors met around it in a bounded sample of labelled documents; words outside the vocabulary
 share the context of their shape.  A word's vector is the sum of both.  A document is pooled from its words' vectors
 and nothing else: their mean over tokens, over distinct words and by squared frequency, and the mean of the
-products of neighbours' vectors (componentwise, the usual binding of such vectors), next to each other and two
-to four apart, which keeps word order.  A network of two layers, written in numpy, is trained on the sample and its
+products of neighbours' vectors (componentwise, the usual binding of such vectors), which keeps word order.  A network of two layers, written in numpy, is trained on the sample and its
 probabilities are calibrated by a temperature fitted on rows that the training left out.
 
 Behaviour: a null text is an empty one; an empty text has zero vectors and gets the network's score for them;
@@ -36,7 +35,7 @@ VECTOR, NONZERO, WINDOW, VOCABULARY, LEAST_DOCS = 64, 6, 2, 8000, 3
 BANK, STEP = 4096, 1 << 15
 HIDDEN, EPOCHS, RATE, DECAY = 32, 250, 0.01, 1e-4
 #: Distances at which neighbours are bound, by pool, and what damps the pools of short texts.
-APART, DAMP = ((1,), (2, 3, 4)), 5
+APART, DAMP = ((1,),), 5
 POOLS = 3 + len(APART)
 
 
