@@ -37,12 +37,6 @@ def inventory_types(lake):
     return lake.documents.groupBy("kind").agg(F.count("*").alias("files"), F.sum("byte_len").alias("bytes"), F.max("modified").alias("newest"))
 
 
-@query("inventory_dups", "SELECT count(*) - count(DISTINCT (lower(name), n)) AS duplicates FROM (SELECT 'file-' || doc_id % 100 AS name, n_chars // 1000 AS n FROM documents)")
-def inventory_dups(lake):
-    d = lake.raw("documents").select(F.concat(F.lit("file-"), (F.col("doc_id") % 100).cast("string")).alias("name"), F.floor(F.col("n_chars") / 1000).alias("n"))
-    return d.agg((F.count("*") - F.count_distinct(F.struct(F.lower("name"), "n"))).alias("duplicates"))
-
-
 @query("document_identity", "SELECT doc_id, 'doc:' || substr(sha256(text), 1, 16) AS id, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM documents")
 def document_identity(lake):
     return lake.raw("documents").select("doc_id", F.concat(F.lit("doc:"), F.substring(F.sha2("text", 256), 1, 16)).alias("id"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
