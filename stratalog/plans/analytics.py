@@ -166,7 +166,7 @@ def conflict_sides(lake):
 @query("first_evidence", "SELECT object_id, document_id, quote, first_seen FROM lake_evidence QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY first_seen) = 1")
 def first_evidence(lake):
     rank = F.row_number().over(W.partitionBy("object_id").orderBy("first_seen"))
-    return lake.evidence.withColumn("rank", rank).where("rank = 1").drop("rank")
+    return lake.evidence.withColumn("rank", rank).where("rank = 1").select("object_id", "document_id", "quote", "first_seen")
 
 
 @query("conflicts", "SELECT id, n_disagree, n_evidence FROM lake_objects WHERE n_disagree > 0")
