@@ -6,7 +6,6 @@ for the last, which returns token ids.  Null and empty texts pass through all st
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -35,20 +34,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     scratch = Scratch(spark, "near")
     found = scratch.save(simhash.survivors(spark, docs), "found")
     ids = found.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"), F.count("*").alias("n"), F.max("kept").alias("kept"))
-    # written, so that the planner knows their sizes: while they are small, no text is shuffled
-    ids = scratch.save(ids.where("kept"), "ids")
-    rows, repeated, several = ids.agg(F.sum("n"), F.sum((F.expr("a = b and n > 1")).cast("long")), F.sum((F.expr("a <> b")).cast("long"))).first()
-    only = lambda part: scratch.save(ids.where(part).select("doc_id"), f"ids-{uuid.uuid4().hex}")
-    kept = docs.join(only("a = b and n = 1"), "doc_id", "left_semi").select(*NAMES)
+    ids = scratch.save(ids, "ids")
+    rows, repeated, several = ids.agg(F.sum("n"), F.sum(F.expr("kept and a = b and n > 1").cast("long")), F.sum(F.expr("kept and a <> b").cast("long"))).first()
+    # an id with at least HOT_SHARE of the rows is one of few; its rows aren't shuffled before they have collapsed
+    hot = max(2, int((rows or 0) * HOT_SHARE))
+    cold = docs.join(F.broadcast(ids.where(f"n >= {hot}").select("doc_id")), "doc_id", "left_anti")
+    # ids grow with the documents, so texts meet them in a shuffle, at every size alike
+    only = lambda part: ids.where(f"kept and {part}").select("doc_id").hint("merge")
+    kept = cold.join(only(f"a = b and n = 1 and n < {hot}"), "doc_id", "left_semi").select(*NAMES)
     if repeated:
-        # an id with at least HOT_SHARE of the rows is one of few; its rows collapse where they are read
-        hot = max(2, int(rows * HOT_SHARE))
-        for ids_of in (F.broadcast(ids.where(f"a = b and n >= {hot}").select("doc_id")), only(f"a = b and n > 1 and n < {hot}")):
-            kept = kept.unionByName(docs.join(ids_of, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*NAMES))
+        frequent = F.broadcast(ids.where(f"kept and a = b and n >= {hot}").select("doc_id"))
+        for part in (docs.join(frequent, "doc_id", "left_semi"), cold.join(only(f"a = b and n > 1 and n < {hot}"), "doc_id", "left_semi")):
+            kept = kept.unionByName(part.dropDuplicates(["doc_id"]).select(*NAMES))
     if several:
         # of these few ids the texts are hashed again, to tell which rows are meant
         own = found.where("kept").select("doc_id", "fingerprint").distinct()
-        again = simhash.with_fingerprint(docs.join(only("a <> b"), "doc_id", "left_semi").select(*NAMES), COLUMNS)
+        again = simhash.with_fingerprint(docs.join(ids.where("kept and a <> b").select("doc_id"), "doc_id", "left_semi").select(*NAMES), COLUMNS)
         kept = kept.unionByName(again.join(own, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id", "fingerprint"]).select(*NAMES))
     return kept.unionByName(docs.where("doc_id is null").select(*NAMES))
 
