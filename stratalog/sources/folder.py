@@ -140,6 +140,11 @@ class FileWriter(DataSourceWriter):
             n += 1
         return Written(n)
 
+    def commit(self, messages: list) -> None:
+        """The folder is there even if no row came."""
+        system, root = open_folder(self.root)
+        system.create_dir(root, recursive=True)
+
 
 class FileSink(DataSource):
     @classmethod
