@@ -1,4 +1,4 @@
-"""Raw full-text search: phrases, prefixes, AND, OR, NOT and brackets over positional postings.
+"""Raw full-text search: phrases, prefixes, AND, OR, NOT and brackets over whole texts.
 
 ``apache licen*`` asks for both, ``"the version"`` for words in a row, ``a NOT b`` for what has the first and lacks the
 second.  NOT binds closer than AND, and AND closer than OR; operators are in upper case.  Every quoted or bare piece is
@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.operators.search import K1, LEAST_IDF, B, plain, terms
+from stratalog.operators.graph import keep
+from stratalog.operators.search import K1, LEAST_IDF, B, plain, unaccented
 
 
 @dataclass(frozen=True)
@@ -67,21 +68,15 @@ def atoms(tree) -> list[Atom]:
     return [tree] if isinstance(tree, Atom) else list(dict.fromkeys(a for part in tree[1:] for a in atoms(part)))
 
 
-def positions(docs: DataFrame, asked: list[Atom]) -> DataFrame:
-    """(id, term, at, length): the places of every word that an atom asks for; documents are (id, text)."""
-    exact = {w for a in asked for w in (a.words[:-1] if a.prefix else a.words)}
-    starts = {a.words[-1] for a in asked if a.prefix}
-    wanted = lambda w: reduce(lambda x, y: x | y, [F.startswith(w, F.lit(s)) for s in sorted(starts)], w.isin(*sorted(exact)) if exact else F.lit(False))
-    placed = F.filter(F.transform(terms(F.col("text")), lambda w, i: F.struct(w.alias("term"), i.alias("at"))), lambda x: wanted(x["term"]))
-    return docs.select("id", F.size(terms(F.col("text"))).alias("length"), F.explode(placed).alias("p")).select("id", "p.term", "p.at", "length")
+def counted(docs: DataFrame, asked: dict[Atom, str]) -> DataFrame:
+    """(id, length and a count under each atom's name) of documents (id, text).
 
-
-def occurrences(a: Atom, index: DataFrame) -> Column:
-    """How often a group of postings holds the atom: places of its first word that the others follow."""
-    last = len(a.words) - 1
-    places = [F.collect_list(F.when(F.startswith("term", F.lit(w)) if a.prefix and k == last else F.col("term") == w, F.col("at"))) for k, w in enumerate(a.words)]
-    follows = lambda p: reduce(lambda x, y: x & y, [F.array_contains(places[k], p + k) for k in range(1, last + 1)], F.lit(True))
-    return F.size(F.filter(places[0], follows))
+    A text becomes its words with single spaces around them.  An atom is met at a space that its words follow, and only
+    that space is taken, so occurrences may overlap; each is one search through the text.
+    """
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(unaccented(F.col("text")), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    follows = {n: F.lit(f" (?={' '.join(a.words)}{'' if a.prefix else ' '})") for a, n in asked.items()}
+    return docs.select("id", spaced.alias("words_")).select("id", F.regexp_count("words_", F.lit("[^ ]+")).alias("length"), *[F.regexp_count("words_", p).alias(n) for n, p in follows.items()])
 
 
 def holds(tree, found: dict[Atom, Column]) -> Column:
@@ -94,21 +89,19 @@ def holds(tree, found: dict[Atom, Column]) -> Column:
 def match(docs: DataFrame, raw: str) -> DataFrame:
     """(id, score) of documents (id, text) that the search finds; a higher score is better.
 
-    Only asked words' places leave the scan.  They meet once, by document; counts of documents are one row.
+    Texts are read once and shuffled never: what is kept of a document is its length and a count for each atom.  Counts of
+    documents are one row.
     """
     tree = parse(raw)
-    asked = atoms(tree)
-    names = {a: f"f{k}" for k, a in enumerate(asked)}
-    index = positions(docs, asked)
-    by_id = index.groupBy("id").agg(F.first("length").alias("length"), *[occurrences(a, index).alias(n) for a, n in names.items()])
-    stats = docs.agg(F.count("*").alias("all"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
-    counts = by_id.agg(*[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()])
+    names = {a: f"f{k}" for k, a in enumerate(atoms(tree))}
+    by_id = keep(counted(docs, names))
+    stats = by_id.agg(F.count("*").alias("all"), F.avg("length").alias("mean"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names.values()])
     scores = []
     for n in names.values():
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("all") - F.col(f"n_{n}") + 0.5) / (F.col(f"n_{n}") + 0.5)))
         scores.append(idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
     hit = by_id.where(holds(tree, {a: F.col(n) for a, n in names.items()}))
-    return hit.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(stats)).select("id", F.round(reduce(lambda x, y: x + y, scores), 6).alias("score"))
+    return hit.crossJoin(F.broadcast(stats)).select("id", F.round(reduce(lambda x, y: x + y, scores), 6).alias("score"))
 
 
 def match_sql(table: str, raw: str) -> str:
