@@ -106,7 +106,7 @@ def _outputs(lake):
     ]
     pick = F.col("event_id") % len(forms)
     chain = lambda j: F.coalesce(*[F.when(pick == i, f[j]) for i, f in enumerate(forms) if f[j] is not None])
-    return lake.raw("events").select(F.col("event_id").alias("id"), chain(0).alias("stdout"), chain(1).alias("stderr"))
+    return lake.spread("events", "event_id").select(F.col("event_id").alias("id"), chain(0).alias("stdout"), chain(1).alias("stderr"))
 
 
 @query("usage_records", f"""SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN {_K} WHEN 1 THEN {_K} * 2 WHEN 2 THEN {_K} * 3 WHEN 3 THEN {_K} * 4 END AS input_tokens,
