@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.graph import keep
-from stratalog.operators.search import K1, LEAST_IDF, B, plain, unaccented
+from stratalog.operators.search import K1, LEAST_IDF, B, n_words, plain, spaced
 
 
 @dataclass(frozen=True)
@@ -74,9 +74,9 @@ def counted(docs: DataFrame, asked: dict[Atom, str]) -> DataFrame:
     A text becomes its words with single spaces around them.  An atom is met at a space that its words follow, and only
     that space is taken, so occurrences may overlap; each is one search through the text.
     """
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(unaccented(F.col("text")), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     follows = {n: F.lit(f" (?={' '.join(a.words)}{'' if a.prefix else ' '})") for a, n in asked.items()}
-    return docs.select("id", spaced.alias("words_")).select("id", F.regexp_count("words_", F.lit("[^ ]+")).alias("length"), *[F.regexp_count("words_", p).alias(n) for n, p in follows.items()])
+    words = docs.select("id", spaced(F.col("text")).alias("words_"))
+    return words.select("id", n_words(F.col("words_")).alias("length"), *[F.regexp_count("words_", p).alias(n) for n, p in follows.items()])
 
 
 def holds(tree, found: dict[Atom, Column]) -> Column:

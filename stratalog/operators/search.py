@@ -34,6 +34,17 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(unaccented(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def spaced(c: Column) -> Column:
+    """The same words as one text, with single spaces between them and around them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(unaccented(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def n_words(c: Column) -> Column:
+    """How many words a spaced text has: one less than its spaces, so that no word is cut out to be counted."""
+    rest = F.replace(c, F.lit(" "), F.lit(""))
+    return F.when(rest == "", 0).otherwise(F.octet_length(c) - F.octet_length(rest) - 1)
+
+
 def _weighed(words: Column, weight: float) -> Column:
     return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight")))
 
