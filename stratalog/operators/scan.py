@@ -23,13 +23,12 @@ def types(files: DataFrame) -> DataFrame:
 
 def inventory(files: DataFrame) -> DataFrame:
     """One row: files, readable, bytes of these, duplicates by name and size, old versions, newest; from the listing alone."""
-    readable = labelled(files).where("readable")
-    groups = readable.groupBy(F.lower("name").alias("name"), "bytes").agg(F.count("*").alias("n"), F.count_if(is_old_version(F.col("name"))).alias("old"), F.max("modified").alias("newest"))
-    known = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("readable"), F.coalesce(F.sum(F.col("n") * F.col("bytes")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum("old"), F.lit(0)).alias("old_versions"), F.max("newest").alias("newest"),
+    groups = labelled(files).groupBy(F.lower("name").alias("name"), "bytes", "readable").agg(F.count("*").alias("n"), F.count_if(is_old_version(F.col("name"))).alias("old"), F.max("modified").alias("newest"))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("readable"), c)), F.lit(0))
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("files"), of(F.col("n")).alias("readable"), of(F.col("n") * F.col("bytes")).alias("bytes"), of(F.col("n") - 1).alias("duplicates"), of(F.col("old")).alias("old_versions"),
+        F.max(F.when(F.col("readable"), F.col("newest"))).alias("newest"),
     )
-    return labelled(files).agg(F.count("*").alias("files")).crossJoin(F.broadcast(known))
 
 
 def compare(found: DataFrame, stored: DataFrame) -> DataFrame:

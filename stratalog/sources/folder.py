@@ -23,9 +23,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from stratalog.functions.phrases import NOISE_NAMES, SECRET_ENDINGS, SECRET_NAMES
+from stratalog.operators.graph import keep
 from stratalog.sources.files import BLOCKS, KINDS, parse
 
 PARTITION_BYTES = 32 << 20
@@ -49,6 +51,48 @@ def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def known(path: str) -> bool:
+    """Whether tasks can list and open what is there; some stores are only known to Spark's readers."""
+    try:
+        return bool(open_folder(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modificationTime) of the files below a folder, paths as Spark writes them; no file is opened.
+
+    A round lists the folders of one depth, each in one task, and leaves its files and the folders below in the
+    checkpoint folder; the driver sees neither.  Left out are files of no bytes and hidden names, as by Spark's readers.
+    """
+    root = root.rstrip("/")
+    inside = open_folder(root)[1].rstrip("/")
+    shown = root if "://" in root and not root.startswith("file:") else f"file:{inside}"
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modificationTime", pa.timestamp("us", tz="UTC"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = open_folder(root)[0]
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                found = [f for f in system.get_file_info(fs.FileSelector(inside + path)) if not hidden(f.base_name) and (f.type == fs.FileType.Directory or f.size)]
+                for k in range(0, len(found), BATCH):
+                    part = found[k : k + BATCH]
+                    sizes = [None if f.type == fs.FileType.Directory else f.size for f in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path[len(inside) :] for f in part]), pa.array(sizes, pa.int64()), pa.array([f.mtime_ns // 1000 for f in part], kinds.field(2).type)], schema=kinds)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, out = spark.createDataFrame([("",)], "path string"), None
+    while out is None or not level.isEmpty():
+        met = keep(level.repartition(tasks).mapInArrow(run, "path string, length long, modificationTime timestamp"))
+        files = met.where("length is not null")
+        out, level = files if out is None else out.unionByName(files), met.where("length is null").select("path")
+    return out.withColumn("path", F.concat(F.lit(shown), "path"))
+
+
+def hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
 @dataclass
 class Files(InputPartition):
     """Files of one task: path below the folder, and why it isn't opened, if so."""
