@@ -20,9 +20,9 @@ def _written(lake, where: str = "true", copies: bool = True) -> str:
     """A new folder with the lake's documents under their names, some of them twice."""
     root = f"{shared_folder(lake.spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
     d = lake.documents.where(where)
-    own = d.select(F.concat(F.lit("d"), (F.col("num") % 10).cast("string"), F.lit("/"), "name").alias("path"), F.col("text").alias("content"))
-    again = d.where("num % 7 = 0").select(F.concat(F.lit("copies/"), "name").alias("path"), F.col("text").alias("content"))
-    folder.write_files(own.unionByName(again) if copies else own, root)
+    own, again = F.concat(F.lit("d"), (F.col("num") % 10).cast("string"), F.lit("/"), "name"), F.when(F.col("num") % 7 == 0, F.concat(F.lit("copies/"), "name"))
+    # one pass makes both, so that documents are found once
+    folder.write_files(d.select(F.explode(F.array_compact(F.array(own, again))).alias("path"), F.col("text").alias("content")) if copies else d.select(own.alias("path"), F.col("text").alias("content")), root)
     return root
 
 
