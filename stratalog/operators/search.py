@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.graph import keep
+
 #: Fixed values of the ranking.
 K1, B, LEAST_IDF, MOST_TERMS = 1.2, 0.75, 1e-6, 24
 
@@ -66,21 +69,31 @@ def query_terms(question: str) -> list[str]:
 def bm25(docs: DataFrame, question: str, weights: dict[str, float]) -> DataFrame:
     """(id, score) of documents that hold a term of the question; a higher score is better.
 
-    Only postings of the question's terms are counted, in one pass over the texts; the number of documents and
-    the mean length are one aggregated row, the frequencies one row for each term.
+    Texts are read once and shuffled never: a document that holds a term is one row with its length and a frequency for
+    each term, and all others of a task are one row together, which counts them.
     """
     asked = query_terms(question)
-    cols = [terms(F.col(c)) for c in weights]
-    length = sum((F.size(c) for c in cols[1:]), F.size(cols[0])).cast("double")
-    stats = docs.agg(F.count("*").alias("all"), F.avg(length).alias("mean"))
-    held = F.filter(F.concat(*[_weighed(c, k) for c, k in zip(cols, weights.values(), strict=True)]), lambda w: w["term"].isin(*asked) if asked else F.lit(False))
-    rows = docs.select("id", length.alias("length"), F.explode(held).alias("w"))
-    hits = rows.groupBy("id", F.col("w.term").alias("term")).agg(F.sum("w.weight").alias("f"), F.first("length").alias("length"))
-    df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("all") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score"))
-    return scored.select("id", F.round("score", 6).alias("score"))
+    names = [f"f{k}" for k in range(len(asked))]
+    texts = docs.select("id", *[spaced(F.col(c)).alias(f"words{i}_") for i, c in enumerate(weights)])
+    one_of = F.lit(f" ({'|'.join(asked)})(?= )") if asked else F.lit("(?!)()")
+    rows = texts.select(
+        "id", sum((n_words(F.col(f"words{i}_")) for i in range(1, len(weights))), n_words(F.col("words0_"))).cast("double").alias("length"),
+        *[F.coalesce(F.regexp_extract_all(f"words{i}_", one_of, F.lit(1)), F.array().cast("array<string>")).alias(f"held{i}_") for i in range(len(weights))],
+    )
+    times = lambda held, w: F.size(held) - F.size(F.array_remove(held, w))
+    counts = [sum(times(F.col(f"held{i}_"), w) * float(k) for i, k in enumerate(weights.values())).alias(n) for w, n in zip(asked, names, strict=True)]
+    held = reduce(lambda x, y: x | y, [F.size(f"held{i}_") > 0 for i in range(len(weights))])
+    rows = rows.select("id", "length", held.alias("hit"), *counts)
+    by_id = keep(
+        rows.groupBy("hit", F.when(F.col("hit"), F.col("id")).alias("id"))
+        .agg(F.count("*").alias("n"), F.count("length").alias("known"), F.sum("length").alias("words"), F.first("length").alias("length"), *[F.sum(n).alias(n) for n in names])
+    )
+    stats = by_id.agg(F.sum("n").alias("all"), (F.sum("words") / F.nullif(F.sum("known"), F.lit(0))).alias("mean"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
+    score = F.lit(0.0)
+    for n in names:
+        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("all") - F.col(f"n_{n}") + 0.5) / (F.col(f"n_{n}") + 0.5)))
+        score += F.when(F.col(n) > 0, idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("length") / F.col("mean")))).otherwise(0.0)
+    return by_id.where("hit").crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
